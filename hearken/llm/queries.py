@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_windows, exact_dedup, mixing, quality, sentencepiece_codec, simhash, warc, word_windows
+from . import byte_windows, exact_dedup, mixing, nearest, page_text, quality, sentencepiece_codec, simhash, warc, word_windows
 from .common import table
 
 
+def op1_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_windows.dedup(table(spark, sf_dir, "documents"))
 
@@ -48,7 +52,12 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "ids", "n_ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), same.alias("lossless"))
 
 
+def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.search(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_page_text": op1_page_text,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_warc": op3_warc,
     "op4_substring_dedup": op4_substring_dedup,
@@ -57,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_mixing": op7_mixing,
     "op8_quality": op8_quality,
     "op9_sentencepiece": op9_sentencepiece,
+    "op10_nearest": op10_nearest,
 }
 
 SQL: dict[str, str] = {
