@@ -23,8 +23,8 @@ from .common import cut, stored
 NEIGHBOURS = 20
 #: Rows that the centres are fitted on, at most; rows of a list that one task scans at once, and queries.
 SAMPLE, ROWS, QUERIES = 20_000, 4096, 2048
-#: Share of the lists that a query probes, and how many at least.
-PROBED, LEAST_PROBED = 0.35, 24
+#: Queries of the sample that settle how many lists are probed, and the share of their neighbours there to be found.
+TRIED, REACHED = 512, 0.96
 #: Rows a list should have on average.
 LIST_ROWS = 1024
 COLUMNS = 16
@@ -63,6 +63,23 @@ def nearest_centres(x: np.ndarray, c: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+def lists_to_probe(raw: np.ndarray, rows: np.ndarray, queries: np.ndarray, own: np.ndarray, centres: np.ndarray, k: int) -> int:
+    """How many lists hold ``REACHED`` of the sample's true neighbours of its queries (brute force on the sample)."""
+    if len(raw) < 2:
+        return len(centres)
+    home = nearest_centres(rows, centres, 1)[:, 0]
+    ranks = []
+    for at in range(0, len(own), 64):
+        o = own[at : at + 64]
+        near = raw[o] @ raw.T
+        near[np.arange(len(o)), o] = -np.inf
+        top = np.argpartition(-near, min(k, len(raw) - 1) - 1, axis=1)[:, : min(k, len(raw) - 1)]
+        far = (centres * centres).sum(1)[None, :] - 2 * queries[at : at + 64] @ centres.T
+        place = far.argsort(axis=1).argsort(axis=1)
+        ranks.append(np.take_along_axis(place, home[top], axis=1).ravel())
+    return int(np.quantile(np.concatenate(ranks), REACHED, method="higher")) + 1
+
+
 def scan(rows: np.ndarray, ids: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int, margin: float = MARGIN):
     """For each query the (up to) ``k`` nearest of ``rows`` (both rotated), without its own id: (query, row) indices."""
     n, dim = rows.shape
@@ -122,7 +139,6 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
     dim, n, longest = sizes
     base = base.filter(F.col("dim") == dim)
     lists = max(1, n // LIST_ROWS)
-    probes = min(lists, max(LEAST_PROBED, int(PROBED * lists) if lists <= 256 else LEAST_PROBED + int(2 * lists**0.5)))
     share = min(1.0, SAMPLE / n)
     # a bounded sample by hash: the same rows in every run
     taken = base.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) <= int(share * (1 << 30))).orderBy(F.xxhash64("id")).limit(SAMPLE).select("v", "norm").toPandas()
@@ -134,8 +150,10 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
 
     sample = rotated(_matrix(taken["v"].tolist(), len(taken)), taken["norm"].to_numpy(), False)
     lists = min(lists, len(sample))
-    probes = min(probes, lists)
     centres = fit_centres(sample, lists)
+    raw = _matrix(taken["v"].tolist(), len(taken))
+    tried = np.unique(np.linspace(0, len(raw) - 1, min(TRIED, len(raw))).astype(int))
+    probes = lists_to_probe(raw, sample, rotated(raw[tried], np.zeros(len(tried)), True), tried, centres, k)
 
     def assign(count: int, query: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
