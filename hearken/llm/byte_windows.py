@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .suffix_sort import equal_groups
-from .superkmers import NONE, Hashes, find_covered, mask, sliding_min, with_spans
+from .superkmers import NONE, find_covered, gram_hashes, mask, sliding_min, with_spans
 
 LENGTH, GRAM = 100, 16
 
@@ -30,12 +30,8 @@ def byte_runs(texts: list[bytes]):
         return b"", none, none, none, (none, none), none.astype(np.uint64)
     a = np.frombuffer(big, np.uint8)
     end = np.cumsum(size)
-    h = Hashes(a)
     n = len(a) - LENGTH + 1
-    at = np.arange(len(a) - GRAM + 1)
-    gram = h.of(at, at + GRAM)
-    del h, at
-    least = sliding_min(gram, LENGTH - GRAM + 1)[:n]
+    least = sliding_min(gram_hashes(a, GRAM), LENGTH - GRAM + 1)[:n]
     # the last 99 places of each text start no string
     edge = np.zeros(len(a) + 1, np.int8)
     edge[end - LENGTH + 1] += 1
@@ -67,10 +63,7 @@ def settle(doc, tag, at, start, size, text: bytes) -> np.ndarray:
     a = np.frombuffer(text, np.uint8)
     # strings with no partner of equal minimiser, and none within themselves, need no sorting
     s, n = start[k], size[k].astype(np.int64)
-    h = Hashes(a)
-    grams = np.arange(len(a) - GRAM + 1)
-    grams = h.of(grams, grams + GRAM)
-    del h
+    grams = gram_hashes(a, GRAM)
     by = np.argsort(s)
     bounds = np.stack([s[by], s[by] + n[by] - GRAM + 1], axis=1).ravel()
     grams = np.append(grams, NONE)[bounds[0] :]

@@ -24,7 +24,10 @@ NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Documents without an id sort last.
 NO_ID = np.iinfo(np.int64).max
 #: Bytes of text a task handles at once, and bytes of packed strings a bucket should get.
-BATCH_BYTES, BUCKET_BYTES = 6 << 20, 16 << 20
+BATCH_BYTES, BUCKET_BYTES = 4 << 20, 6 << 20
+#: Bytes of packed strings that a task gets at most on average; it handles one bucket after another.
+TASK_BYTES = 256 << 20
+BLOCK = 1 << 19
 
 
 @lru_cache(4)
@@ -45,7 +48,7 @@ class Hashes:
 
     def __init__(self, a: np.ndarray):
         n = len(a)
-        size = 1 << max(n, 1).bit_length()
+        size = (n >> 20) + 1 << 20
         self.sum = np.zeros(n + 1, np.uint64)
         np.cumsum((a.astype(np.uint64) + np.uint64(1)) * _powers(BASE, size)[:n], out=self.sum[1:])
         self.back = _powers(pow(BASE, -1, 1 << 64), size)  # the base is odd
@@ -54,6 +57,16 @@ class Hashes:
         return mixed((self.sum[end] - self.sum[start]) * self.back[start])
 
 
+def gram_hashes(a: np.ndarray, g: int) -> np.ndarray:
+    """Hashes of all slices of ``g`` bytes, a block at a time."""
+    n = max(len(a) - g + 1, 0)
+    out = np.empty(n, np.uint64)
+    for k in range(0, n, BLOCK):
+        at = np.arange(min(BLOCK, n - k))
+        out[k : k + BLOCK] = Hashes(a[k : k + BLOCK + g - 1]).of(at, at + g)
+    return out
+
+
 def sliding_min(h: np.ndarray, w: int) -> np.ndarray:
     """Least of each ``w`` neighbours."""
     out, have = h, 1
@@ -116,8 +129,8 @@ def find_covered(
     """
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = n_tasks(spark, 3 * total, 2 * BUCKET_BYTES)
-    buckets = 2 * parts
+    parts = n_tasks(spark, 3 * total, TASK_BYTES)
+    buckets = max(4 * parts, 3 * total // BUCKET_BYTES)
     bounded_batches(spark)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,7 +207,7 @@ def find_covered(
             )
 
     sent = docs.select("doc", "tag", "text").mapInArrow(send, "bucket int, blob binary")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
     rows = sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(receive, "doc long, tag short, start long, end long")
     return rows.groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
