@@ -15,8 +15,9 @@ Tasks work on Arrow batches next to the data; nothing is shuffled.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
-from functools import cache, lru_cache
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -91,7 +92,16 @@ class Model:
         # a mark inside a piece, after another character, would join words
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("pieces that span words are not supported")
-        self.apart = lru_cache(1 << 20)(self._apart)
+        self.pairs: dict[tuple[str, str], bool] = {}
+        # pieces that merging their own characters gives; others never come up
+        self.whole = {p for p in self.ids if len(p) == 1 or self.merges([*p]) == [p]} if self.bpe else set(self.ids)
+        self.words = self._word_pattern()
+        self.id_bytes = {p: array("i", [i]).tobytes() for p, i in self.ids.items()}
+        # by their last two characters, the length of the longest of them
+        self.reach: dict[str, int] = {}
+        for p in self.whole:
+            self.reach[p[-2:]] = max(len(p), self.reach.get(p[-2:], 1))
+        self.bytes_of = [self._piece_bytes(i) for i in range(len(self.pieces))]
 
     def has_user_pieces(self) -> bool:
         return self.USER in self.kinds
@@ -113,57 +123,87 @@ class Model:
             symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
         return symbols
 
-    def _apart(self, a: str, b: str) -> bool:
-        return self.merges([*a, *b]) == [a, b]
-
-    @cache
-    def alone(self, piece: str) -> bool:
-        """Whether merging the characters of a piece gives the piece."""
-        return len(piece) == 1 or self.merges([*piece]) == [piece]
-
-    def extend(self, word: str, states: list, k: int):
-        """The forward state of ``word[:k]`` from the states of its prefixes: (score, start of the last piece)."""
-        best = None
-        for i in range(max(0, k - self.longest), k):
+    def _word_pattern(self) -> re.Pattern[str]:
+        """Where texts may be cut, by the vocabulary: before marks; and between letters, digits and others if no piece has
+        a character of one next to one of another."""
+        kinds = [(re.compile(r"[^\W\d_]"), "l"), (re.compile(r"\d"), "d")]
+        kind = lambda c: "m" if c == MARK else next((k for r, k in kinds if r.match(c)), "o")
+        self.glue = {c for p in self.ids for x, y in zip(p, p[1:], strict=False) if x != MARK and kind(x) != kind(y) for c in (x, y)}
+        return re.compile(rf"{MARK}*(?:[^\W\d_]+|\d+|(?:[^\w{MARK}]|_)+)|{MARK}+")
+
+    def _piece_bytes(self, i: int) -> bytes:
+        kind = self.kinds[i]
+        if kind == self.BYTE:
+            return bytes([int(self.pieces[i][3:5], 16)])
+        if kind == self.UNKNOWN:
+            return " ⁇ ".encode()
+        return b"" if kind == self.CONTROL else self.pieces[i].replace(MARK, " ").encode()
+
+    def apart(self, key: tuple[str, str]) -> bool:
+        """BPE: whether two pieces next to each other stay two."""
+        if len(self.pairs) > 1 << 20:
+            self.pairs.clear()
+        found = self.pairs[key] = self.merges([*key[0], *key[1]]) == [*key]
+        return found
+
+    def best_piece(self, word: str, score: list[float], k: int) -> tuple[int, float]:
+        """Unigram: where the last piece of the best split of ``word[:k]`` starts, and that split's score."""
+        at, best = k - 1, score[k - 1] + self.score.get(word[k - 1], self.unknown_score)
+        for i in range(max(0, k - self.longest), k - 1):
             piece = word[i:k]
-            known = piece in self.ids
-            if not known and i < k - 1:
-                continue
-            if self.bpe:
-                if known and not self.alone(piece):
-                    continue
-                if i == 0 or self.apart(word[states[i][1] : i], piece):
-                    return (0.0, i)
-            else:
-                s = states[i][0] + (self.score[piece] if known else self.unknown_score)
-                if best is None or s > best[0]:
-                    best = (s, i)
-        if best is None:
-            raise ValueError("no piece ends here")
-        return best
-
-    def encode_words(self, words: list[str]) -> dict[str, list[int]]:
-        """Ids of distinct words. Sorted words share their prefixes' states with the word before: a trie, depth first."""
-        out, states, last = {}, [(0.0, 0)], ""
+            if piece in self.ids and (s := score[i] + self.score[piece]) > best:
+                at, best = i, s
+        return at, best
+
+    def unknown_bytes(self, piece: str) -> bytes:
+        return array("i", self.piece_ids(piece)).tobytes()
+
+    def encode_words(self, words: list[str]) -> dict[str, bytes]:
+        """Ids (as bytes of 32-bit integers) of distinct words. Sorted, they stand in the depth-first order of their trie:
+        the forward states of the prefix that a word shares with the one before it are kept, with their ids."""
+        out, before = {}, ""
+        # by length of prefix: its last piece, the ids of its encoding and, for unigram models, its score
+        last, made, score = [""], [b""], [0.0]
+        bpe, whole, pairs, reach, made_of = self.bpe, self.whole, self.pairs, self.reach, self.id_bytes
         for w in sorted(words):
-            same = 0
-            for x, y in zip(w, last, strict=False):
-                if x != y:
-                    break
+            same, most = 0, min(len(w), len(before))
+            while same < most and w[same] == before[same]:
                 same += 1
-            del states[same + 1 :]
+            del last[same + 1 :], made[same + 1 :]
+            if not bpe:
+                del score[same + 1 :]
             for k in range(same + 1, len(w) + 1):
-                states.append(self.extend(w, states, k))
-            cuts, k = [], len(w)
-            while k:
-                cuts.append((states[k][1], k))
-                k = states[k][1]
-            out[w] = [i for a, b in reversed(cuts) for i in self.piece_ids(w[a:b])]
-            if not self.bpe and not self.byte_ids:  # runs of unknown characters are one unknown
-                out[w] = [x for n, x in enumerate(out[w]) if n == 0 or x != self.unknown or out[w][n - 1] != self.unknown]
-            last = w
+                at = k - 1  # one character, known or not, unless another piece fits
+                piece = w[at]
+                if bpe:
+                    for i in range(max(0, k - reach.get(w[k - 2 : k], 1)), k - 1):
+                        longer = w[i:k]
+                        if longer in whole:
+                            key = (last[i], longer)
+                            if i == 0 or (pairs[key] if key in pairs else self.apart(key)):
+                                at, piece = i, longer
+                                break
+                else:
+                    at, best = self.best_piece(w, score, k)
+                    piece = w[at:k]
+                    score.append(best)
+                last.append(piece)
+                made.append(made[at] + (made_of.get(piece) or self.unknown_bytes(piece)))
+            ids = made[-1]
+            if not bpe and not self.byte_ids:  # runs of unknown characters are one unknown
+                x = np.frombuffer(ids, np.int32)
+                ids = x[np.append(True, (x[1:] != x[:-1]) | (x[1:] != self.unknown))].tobytes()
+            out[w] = ids
+            before = w
         return out
 
+    def cut(self, text: str) -> list[str]:
+        """A text's marked words."""
+        m = self.marked(text)
+        if self.glue and not self.glue.isdisjoint(m):
+            return WORDS.findall(m)
+        return self.words.findall(m)
+
     def marked(self, text: str) -> str:
         if self.squeeze:
             text = re.sub(" +", " ", text).strip(" ")
@@ -173,16 +213,7 @@ class Model:
 
     def decode(self, ids: list[int]) -> str:
         """Text of ``ids``; runs of byte pieces are UTF-8, invalid bytes become U+FFFD."""
-        out = bytearray()
-        for i in ids:
-            kind = self.kinds[i]
-            if kind == self.BYTE:
-                out.append(int(self.pieces[i][3:5], 16))
-            elif kind == self.UNKNOWN:
-                out += " ⁇ ".encode()
-            elif kind != self.CONTROL:
-                out += self.pieces[i].encode()
-        text = out.decode("utf-8", "replace").replace(MARK, " ")
+        text = b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if self.dummy_prefix and text.startswith(" ") else text
 
 
@@ -196,24 +227,17 @@ class Codec:
     def __init__(self, data: bytes):
         self.model, self.known = Model(data), {}
 
-    def encode_batch(self, texts: list[str]) -> list[list[int]]:
-        cut = [WORDS.findall(self.model.marked(t)) for t in texts]
-        new = set().union(*cut) - self.known.keys()
-        fresh = self.model.encode_words(list(new))
+    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
+        cut = [self.model.cut(t) for t in texts]
+        wanted = set().union(*cut)
+        fresh = self.model.encode_words([w for w in wanted if w not in self.known])
         if len(self.known) + len(fresh) > REMEMBERED:
-            self.known = {}
-            fresh |= self.model.encode_words(list(set().union(*cut) - fresh.keys()))
-        known = self.known
-        known.update(fresh)
-        out = []
-        for words in cut:
-            ids: list[int] = []
-            for w in words:
-                ids += known[w]
-            out.append(ids)
+            self.known = {w: self.known[w] for w in wanted if w in self.known}
+        self.known.update(fresh)
+        out = [np.frombuffer(b"".join(map(self.known.__getitem__, words)), np.int32) for words in cut]
         for w in fresh:
             if len(w) > SHORT:
-                del known[w]
+                del self.known[w]
         return out
 
 
@@ -248,9 +272,9 @@ def encode(docs: DataFrame, model_path: str = DEFAULT_MODEL, columns: list[str]
             ids = c.encode_batch(b.column(len(carried)).to_pylist())
             offsets = np.zeros(len(ids) + 1, np.int32)
             np.cumsum([len(x) for x in ids], out=offsets[1:])
-            flat = np.fromiter((i for x in ids for i in x), np.int32, int(offsets[-1]))
+            flat = np.concatenate([*ids, np.zeros(0, np.int32)])
             cols = [*b.columns[: len(carried)], pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))]
-            cols += [pa.array(np.diff(offsets)), pa.array([c.model.decode(x) for x in ids], pa.string())]
+            cols += [pa.array(np.diff(offsets)), pa.array([c.model.decode(x.tolist()) for x in ids], pa.string())]
             yield pa.RecordBatch.from_arrays(cols, [*carried, *made])
 
     from pyspark.sql import types as T
