@@ -3,9 +3,10 @@
 Vectors get one more component so that the largest inner product becomes the smallest distance, and are rotated at
 random. Coarse centres are fitted on a bounded sample; every row is assigned to its list, every query probes the nearest
 lists. Inside a list the rotated vectors stand in blocks of columns. After each block a hypothesis test on the partial
-distance drops candidates that are unlikely to come under the query's current k-th distance, so most rows are never read
+distance drops candidates that are unlikely to come under the query's distance to beat, so most rows are never read
 to the end. Lists and their queries are dealt in blocks of bounded size, whatever their number. What survives is scored
-again in double precision on the original vectors.
+again in double precision on the original vectors. The distance to beat is the k-th one among the sample: no nearer k
+rows can be missed by it, and few rows beyond the result pass it.
 """
 
 from __future__ import annotations
@@ -80,35 +81,49 @@ def lists_to_probe(raw: np.ndarray, rows: np.ndarray, queries: np.ndarray, own:
     return int(np.quantile(np.concatenate(ranks), REACHED, method="higher")) + 1
 
 
-def scan(rows: np.ndarray, ids: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int, margin: float = MARGIN):
-    """For each query the (up to) ``k`` nearest of ``rows`` (both rotated), without its own id: (query, row) indices."""
+def sample_bounds(queries: np.ndarray, own: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each query its ``k`` nearest of the sample (indices, -1 for none) and the ``k``-th distance: no row beyond it
+    can be among the nearest of all."""
+    out, top = np.full(len(queries), np.inf), np.full((len(queries), k), -1)
+    norms, m = (rows * rows).sum(1), min(k, len(rows))
+    for at in range(0, len(queries), 128):
+        q = queries[at : at + 128]
+        d = norms[None, :] - 2 * q @ rows.T + (q * q).sum(1)[:, None]
+        d[own[at : at + 128, None] == ids[None, :]] = np.inf
+        best = np.argpartition(d, m - 1, axis=1)[:, :m]
+        far = np.take_along_axis(d, best, axis=1)
+        top[at : at + 128, :m] = np.where(np.isfinite(far), best, -1)
+        if m == k:
+            out[at : at + 128] = far.max(axis=1)
+    return out * (1 + 1e-9) + 1e-9, top
+
+
+def scan(rows: np.ndarray, ids: np.ndarray, queries: np.ndarray, own: np.ndarray, bounds: np.ndarray, k: int, margin: float = MARGIN):
+    """For each query the nearest of ``rows`` (both rotated; rows by rising id) within its bound, without its own id, and
+    what ties with the ``k``-th: (query, row) indices."""
     n, dim = rows.shape
     edges = [*range(0, dim, COLUMNS), dim]
     blocks = [np.ascontiguousarray(rows[:, a:b]) for a, b in zip(edges, edges[1:], strict=False)]
     norms = [(b * b).sum(1) for b in blocks]
-    out_q, out_r = [], []
-    first = min(n, 4 * k)
+    out_q, out_r = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for i, q in enumerate(queries):
-        # a first few rows in full give the distance to beat
-        d0 = ((rows[:first] - q) ** 2).sum(1)
-        d0[ids[:first] == own[i]] = np.inf
-        bound = np.partition(d0, k - 1)[k - 1] if first >= k else np.inf
-        live = np.arange(n)
-        part = np.zeros(n)
+        live, part = np.arange(n), np.zeros(n)
         for b, (block, norm) in enumerate(zip(blocks, norms, strict=True)):
             qb = q[edges[b] : edges[b + 1]]
             part = part + (norm[live] - 2 * (block[live] if len(live) < n else block) @ qb + qb @ qb)
             seen = edges[b + 1]
-            if seen < dim and np.isfinite(bound):
-                # under the null hypothesis (the row is near) the partial distance is about seen / dim of it
-                stay = part <= bound * (seen / dim) * (1 + margin / np.sqrt(seen)) ** 2
-                live, part = live[stay], part[stay]
+            # under the null hypothesis (the row is near) the partial distance is about seen / dim of it
+            stay = part <= bounds[i] * ((seen / dim) * (1 + margin / np.sqrt(seen)) ** 2 if seen < dim else 1.0)
+            live, part = live[stay], part[stay]
+            if not len(live):
+                break
         other = ids[live] != own[i]
         live, part = live[other], part[other]
         if len(live) > k:
-            top = np.argpartition(part, k - 1)[:k]
-            # rows at the k-th distance may tie: all of them go on
-            live = live[part <= part[top].max() * (1 + 1e-9) + 1e-12] if len(live) <= 4 * k else live[top]
+            last = np.partition(part, k - 1)[k - 1]
+            slack = 1e-9 * (1 + last)
+            # those that are nearer, and of those at the k-th distance the smallest ids
+            live = np.concatenate([live[part < last - slack], live[np.abs(part - last) <= slack][:k]])
         out_q.append(np.full(len(live), i))
         out_r.append(live)
     return np.concatenate(out_q), np.concatenate(out_r)
@@ -141,7 +156,7 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
     lists = max(1, n // LIST_ROWS)
     share = min(1.0, SAMPLE / n)
     # a bounded sample by hash: the same rows in every run
-    taken = base.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) <= int(share * (1 << 30))).orderBy(F.xxhash64("id")).limit(SAMPLE).select("v", "norm").toPandas()
+    taken = base.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) <= int(share * (1 << 30))).orderBy(F.xxhash64("id")).limit(SAMPLE).select("id", "v", "norm").toPandas()
     turn = rotation(dim + 1)
 
     def rotated(v: np.ndarray, norm: np.ndarray, query: bool) -> np.ndarray:
@@ -155,22 +170,31 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
     tried = np.unique(np.linspace(0, len(raw) - 1, min(TRIED, len(raw))).astype(int))
     probes = lists_to_probe(raw, sample, rotated(raw[tried], np.zeros(len(tried)), True), tried, centres, k)
 
+    sample_ids = taken["id"].to_numpy()
+
     def assign(count: int, query: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 v = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-                near = nearest_centres(rotated(v, b.column(2).to_numpy(zero_copy_only=False), query), centres, count)
+                x = rotated(v, b.column(2).to_numpy(zero_copy_only=False), query)
+                near = nearest_centres(x, centres, count)
                 lists_ = pa.ListArray.from_arrays(pa.array(np.arange(0, near.size + 1, count, dtype=np.int32)), pa.array(near.ravel()))
-                yield pa.RecordBatch.from_arrays([*b.columns, lists_], ["id", "v", "norm", "lists"])
+                own = b.column(0).to_numpy(zero_copy_only=False)
+                bound, top = sample_bounds(x, own, sample, sample_ids, k) if query else (np.zeros(len(x)), np.zeros((len(x), 0), int))
+                seen = [
+                    [{"vec_id": int(sample_ids[j]), "score": float(np.einsum("i,i->", v[i], raw[j]))} for j in row if j >= 0] for i, row in enumerate(top)
+                ]
+                seen = pa.array(seen, pa.list_(pa.struct([("vec_id", pa.int64()), ("score", pa.float64())])))
+                yield pa.RecordBatch.from_arrays([*b.columns, lists_, pa.array(bound), seen], ["id", "v", "norm", "lists", "bound", "seen"])
 
         return run
 
-    kinds = "id long, v array<double>, norm double, lists array<long>"
-    rows = base.select("id", "v", "norm").mapInArrow(assign(1, False), kinds).withColumn("list", F.element_at("lists", 1)).drop("lists")
+    kinds = "id long, v array<double>, norm double, lists array<long>, bound double, seen array<struct<vec_id:long,score:double>>"
+    rows = base.select("id", "v", "norm").mapInArrow(assign(1, False), kinds).withColumn("list", F.element_at("lists", 1)).drop("lists", "seen")
     rows = stored(rows, "rows")
     asked = base.filter(F.col("id") % every == 0).select("id", "v", "norm").mapInArrow(assign(probes, True), kinds)
-    asked = asked.withColumn("list", F.explode("lists")).drop("lists")
-    asked = stored(asked, "asked")
+    queries = stored(asked, "queries")
+    asked = queries.withColumn("list", F.explode("lists")).drop("lists", "seen")
     # one row a list: into how many blocks its rows and its queries are cut
     plan = cut(
         rows.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / ROWS).alias("r"))
@@ -182,7 +206,7 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
         .withColumn("theirs", F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)))
     )
     left = deal(rows, "r", "q").select("list", F.col("mine").alias("a"), F.col("theirs").alias("b"), "id", "v", "norm")
-    right = deal(asked, "q", "r").select("list", F.col("theirs").alias("a"), F.col("mine").alias("b"), "id", "v", "norm")
+    right = deal(asked, "q", "r").select("list", F.col("theirs").alias("a"), F.col("mine").alias("b"), "id", "v", "norm", "bound")
 
     def block(r: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         if not len(r) or not len(q):
@@ -190,12 +214,14 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
         r, q = r.sort_values("id"), q.sort_values("id")
         rv, qv = _matrix(r["v"].tolist(), len(r)), _matrix(q["v"].tolist(), len(q))
         ids, own = r["id"].to_numpy(), q["id"].to_numpy()
-        i, j = scan(rotated(rv, r["norm"].to_numpy(), False), ids, rotated(qv, q["norm"].to_numpy(), True), own, k)
+        i, j = scan(rotated(rv, r["norm"].to_numpy(), False), ids, rotated(qv, q["norm"].to_numpy(), True), own, q["bound"].to_numpy(), k)
         score = np.einsum("ij,ij->i", qv[i], rv[j])
         d = pd.DataFrame({"query_id": own[i], "vec_id": ids[j], "score": score})
         return d.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True]).groupby("query_id").head(k)
 
     key = ["list", "a", "b"]
     found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(block, "query_id long, vec_id long, score double")
+    known = queries.select(F.col("id").alias("query_id"), F.explode("seen").alias("s")).select("query_id", "s.vec_id", "s.score")
+    found = found.unionByName(known).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
