@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .suffix_sort import equal_groups
-from .superkmers import NONE, find_covered, gram_hashes, mask, sliding_min, with_spans
+from .superkmers import BLOCK, NONE, find_covered, gram_hashes, mask, sliding_min, with_spans
 
 LENGTH, GRAM = 100, 16
 
@@ -63,16 +63,16 @@ def settle(doc, tag, at, start, size, text: bytes) -> np.ndarray:
     a = np.frombuffer(text, np.uint8)
     # strings with no partner of equal minimiser, and none within themselves, need no sorting
     s, n = start[k], size[k].astype(np.int64)
-    grams = gram_hashes(a, GRAM)
-    by = np.argsort(s)
-    bounds = np.stack([s[by], s[by] + n[by] - GRAM + 1], axis=1).ravel()
-    grams = np.append(grams, NONE)[bounds[0] :]
-    bounds -= bounds[0]
-    found = np.minimum.reduceat(grams, bounds)
-    times = np.add.reduceat(grams == np.repeat(found, np.diff(np.append(bounds, len(grams)))), bounds, dtype=np.int64)
     least, inside = np.empty(len(k), np.uint64), np.empty(len(k), np.int64)
-    least[by], inside[by] = found[::2], times[::2]
-    del grams
+    by = np.argsort(s)
+    block = (np.cumsum(n[by]) - 1) // BLOCK
+    for own in np.split(by, np.flatnonzero(np.diff(block)) + 1):
+        begin, end = int(s[own[0]]), int(s[own[-1]] + n[own[-1]])
+        grams = np.append(gram_hashes(a[begin:end], GRAM), NONE)
+        bounds = np.stack([s[own], s[own] + n[own] - GRAM + 1], axis=1).ravel() - begin
+        found = np.minimum.reduceat(grams, bounds)
+        times = np.add.reduceat(grams == np.repeat(found, np.diff(np.append(bounds, len(grams)))), bounds, dtype=np.int64)
+        least[own], inside[own] = found[::2], times[::2]
     _, which, counts = np.unique(least, return_inverse=True, return_counts=True)
     k = k[(counts[which] > 1) | (inside > 1)]
     if not len(k):
@@ -121,11 +121,11 @@ def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, gone, runs, sha, left = [], [], [], [], []
-            for text, starts, ends in zip(*(b.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
-                kept = text
+            for text, spans in zip(b.column(1), b.column(2), strict=True):
+                kept = text = text.as_py()
                 g = r = 0
-                if starts:
-                    m = mask(len(text), starts, ends)
+                if spans.is_valid:
+                    m = mask(len(text), spans.values.to_numpy())
                     g, r = int(m.sum()), int(m[0]) + int((m[1:] & ~m[:-1]).sum())
                     kept = np.frombuffer(text, np.uint8)[~m].tobytes()
                 n.append(len(text))

@@ -24,7 +24,7 @@ NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Documents without an id sort last.
 NO_ID = np.iinfo(np.int64).max
 #: Bytes of text a task handles at once, and bytes of packed strings a bucket should get.
-BATCH_BYTES, BUCKET_BYTES = 4 << 20, 6 << 20
+BATCH_BYTES, BUCKET_BYTES = 4 << 20, 8 << 20
 #: Bytes of packed strings that a task gets at most on average; it handles one bucket after another.
 TASK_BYTES = 256 << 20
 BLOCK = 1 << 19
@@ -92,7 +92,7 @@ def pack(doc: np.ndarray, tag: np.ndarray, at: np.ndarray, strings: list[bytes],
     size = np.array([len(s) for s in strings], np.int32)
     parts = [shuffled(doc), shuffled(tag), shuffled(at), shuffled(size), b"".join(strings), shuffled(gone.ravel())]
     head = np.array([len(p) for p in parts], np.int64).tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(parts))
+    return zstandard.ZstdCompressor(level=3).compress(head + b"".join(parts))
 
 
 def unpack(blob: bytes):
@@ -202,28 +202,26 @@ def find_covered(
         rows = np.concatenate(gone)
         for k in range(0, len(rows), 1 << 16):
             r = rows[k : k + (1 << 16)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(r[:, 0]), pa.array(r[:, 1].astype(np.int16)), pa.array(r[:, 2]), pa.array(r[:, 3])], ["doc", "tag", "start", "end"]
-            )
+            # a span is one number: start, then end, of 32 bits each
+            yield pa.RecordBatch.from_arrays([pa.array(r[:, 0]), pa.array(r[:, 1].astype(np.int16)), pa.array((r[:, 2] << 32) | r[:, 3])], ["doc", "tag", "span"])
 
     sent = docs.select("doc", "tag", "text").mapInArrow(send, "bucket int, blob binary")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
-    rows = sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(receive, "doc long, tag short, start long, end long")
-    return rows.groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    rows = sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(receive, "doc long, tag short, span long")
+    return rows.groupBy("doc", "tag").agg(F.collect_list("span").alias("spans"))
 
 
 def with_spans(docs: DataFrame, find: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """``doc_id, text`` (bytes) of each row of ``docs`` with ``starts`` and ``ends`` of what ``find`` covers."""
+    """``doc_id, text`` (bytes) of each row of ``docs`` with the ``spans`` that ``find`` covers, null for none."""
     rows = docs.select("doc_id", text_or_empty("text").alias("text")).withColumns(doc_key()).withColumn("text", F.col("text").cast("binary"))
     spans = find(rows).hint("shuffle_hash")
     joined = rows.join(spans, ["doc", "tag"], "left")
-    return joined.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("spans.start").alias("starts"), F.col("spans.end").alias("ends"))
+    return joined.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "spans")
 
 
-def mask(n: int, starts, ends) -> np.ndarray:
+def mask(n: int, spans: np.ndarray) -> np.ndarray:
     """Which of ``n`` places the spans cover."""
     d = np.zeros(n + 1, np.int32)
-    if starts:
-        np.add.at(d, np.array(starts), 1)
-        np.add.at(d, np.array(ends), -1)
+    np.add.at(d, spans >> 32, 1)
+    np.add.at(d, spans & 0xFFFFFFFF, -1)
     return np.cumsum(d[:n]) > 0

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .superkmers import NONE, Hashes, find_covered, mask, sliding_min, with_spans
+from .superkmers import BLOCK, NONE, Hashes, find_covered, mask, sliding_min, with_spans
 
 WINDOW, GRAM = 13, 3
 
@@ -45,28 +45,32 @@ def word_runs(texts: list[bytes]):
     return big, text[at], place[at], place[stop], (starts[at], ends[stop + WINDOW - 1]), least[at]
 
 
+def _windows(text: bytes, start: np.ndarray, size: np.ndarray, own: np.ndarray):
+    """All windows of some neighbouring strings: hash, first and last byte, string, and number of the first word."""
+    base, stop = int(start[own[0]]), int(start[own[-1]] + size[own[-1]])
+    a = np.frombuffer(text, np.uint8, stop - base, base)
+    first = start[own] - base
+    gaps = np.flatnonzero(a == 32)
+    # a string ends where the next begins
+    w_start = np.sort(np.concatenate([first, gaps + 1]))
+    w_end = np.sort(np.concatenate([first + size[own], gaps]))
+    which = np.searchsorted(first, w_start, side="right") - 1
+    word = np.arange(len(w_start)) - np.searchsorted(w_start, first)[which]
+    n = max(len(w_start) - WINDOW + 1, 0)
+    win = np.flatnonzero(which[:n] == which[WINDOW - 1 :])
+    s, e = w_start[win], w_end[win + WINDOW - 1]
+    return Hashes(a).of(s, e), s + base, e + base, own[which[win]], word[win]
+
+
 def settle(doc, tag, at, start, size, text: bytes) -> np.ndarray:
     """Spans of words in windows that a smaller document has too. Sorting by hash brings equal windows together; their
     words are compared before they count as equal."""
     order = np.argsort(start)
-    a = np.frombuffer(text, np.uint8)
-    # words of the strings as they stand in ``text``; a string ends where the next begins
-    first = start[order]
-    space = a == 32
-    gaps = np.flatnonzero(space)
-    ends_of = first + size[order]
-    w_start = np.sort(np.concatenate([first, gaps + 1]))
-    w_end = np.sort(np.concatenate([ends_of, gaps]))
-    owner = order[np.searchsorted(first, w_start, side="right") - 1]
-    word = np.arange(len(w_start)) - np.searchsorted(w_start, start[owner])
-    n = len(w_start) - WINDOW + 1
-    if n <= 0:
-        return np.zeros((0, 4), np.int64)
-    win = np.flatnonzero(owner[:n] == owner[WINDOW - 1 :])
-    s, e, o = w_start[win], w_end[win + WINDOW - 1], owner[win]
-    h = Hashes(a).of(s, e)
+    block = (np.cumsum(size[order], dtype=np.int64) - 1) // BLOCK
+    found = [_windows(text, start, size, own) for own in np.split(order, np.flatnonzero(np.diff(block)) + 1)]
+    h, s, e, o, word = (np.concatenate(x) for x in zip(*found, strict=True))
     by = np.lexsort((doc[o], h))
-    h, s, e, o, win = h[by], s[by], e[by], o[by], win[by]
+    h, s, e, o, word = h[by], s[by], e[by], o[by], word[by]
     head = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
     lead = np.repeat(head, np.diff(np.append(head, len(h))))
     later = np.flatnonzero(doc[o] > doc[o[lead]])
@@ -81,7 +85,7 @@ def settle(doc, tag, at, start, size, text: bytes) -> np.ndarray:
         if any(text[s[x] : e[x]] == text[s[k] : e[k]] and doc[o[x]] < doc[o[k]] for x in others):
             hit.append(k)
     hit = np.array(hit, np.int64)
-    begin = at[o[hit]] + word[win[hit]]
+    begin = at[o[hit]] + word[hit]
     own = o[hit]
     # neighbouring windows of one string make one span
     by = np.lexsort((begin, own))
@@ -108,10 +112,10 @@ def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, gone, sha, left = [], [], [], []
-            for text, starts, ends in zip(*(b.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
-                words = text.split()
-                if starts:
-                    m = mask(len(words), starts, ends)
+            for text, spans in zip(b.column(1), b.column(2), strict=True):
+                words = text.as_py().split()
+                if spans.is_valid:
+                    m = mask(len(words), spans.values.to_numpy())
                     kept = b" ".join(compress(words, (~m).tolist()))
                     gone.append(int(m.sum()))
                 else:
