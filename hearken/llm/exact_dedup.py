@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, text_or_empty
+from .common import cut, text_or_empty, unused
 
 #: A key counts as heavy when it holds more than 1/HEAVY of all rows.
 HEAVY = 1024
@@ -78,11 +78,8 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """``docs`` without its exact copies, all columns kept; of rows repeated with one id and text one is left."""
-    kept = exact_groups(docs).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    cols = docs.columns
-    marked = docs.withColumns(
-        {"_sha": F.sha2(text_or_empty("text").cast("binary"), 256), "_id": F.col("doc_id").cast("long")}
-    )
-    once = marked.dropDuplicates(["_id", "_sha"])
-    on = once["_id"].eqNullSafe(kept["_id"]) & (once["_sha"] == kept["_sha"])
-    return once.join(kept, on, "left_semi").select(*cols)
+    cols, (id_, sha) = docs.columns, unused(docs, "_id", "_sha")
+    kept = exact_groups(docs).filter("kept").select(F.col("doc_id").alias("k_id"), F.col("text_sha256").alias("k_sha"))
+    marked = docs.withColumns({sha: F.sha2(text_or_empty("text").cast("binary"), 256), id_: F.col("doc_id").cast("long")})
+    once = marked.dropDuplicates([id_, sha])
+    return once.join(kept, once[id_].eqNullSafe(kept["k_id"]) & (once[sha] == kept["k_sha"]), "left_semi").select(*cols)

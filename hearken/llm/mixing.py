@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_BREAK, bounded_batches, cut, text_or_empty
+from .common import WORD_BREAK, bounded_batches, cut, text_or_empty, unused
 
 #: Weights by the source's place in code point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -173,16 +173,17 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_TI
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mix itself: every document of ``docs`` as often as :func:`mix` takes it, all columns kept."""
-    picked = mix(docs).filter("times > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_src"), "size", "times")
+    cols, (size, times, k) = docs.columns, unused(docs, "_size", "_times", "_k")
+    picked = mix(docs).filter("times > 0").select(F.col("doc_id").alias("p_id"), F.col("source").alias("p_source"), F.col("size").alias("p_size"), "times")
     # equal rows (same id, source and size) share one entry, so a repeated row isn't multiplied by the join
-    picked = picked.groupBy("_id", "_src", "size").agg(F.sum("times").alias("_sum"), F.count(F.lit(1)).alias("_n"))
-    cols = docs.columns
+    picked = picked.groupBy("p_id", "p_source", "p_size").agg(F.sum("times").alias("sum"), F.count(F.lit(1)).alias("n"))
+    picked = picked.select("p_id", "p_source", "p_size", F.ceil(F.col("sum") / F.col("n")).cast("int").alias(times))
     words = F.size(F.filter(F.split(text_or_empty("text"), WORD_BREAK), lambda w: w != "")).cast("long")
-    rows = docs.withColumn("_size", words)
+    rows = docs.withColumn(size, words)
     on = (
-        rows["doc_id"].cast("long").eqNullSafe(picked["_id"])
-        & rows["source"].cast("string").eqNullSafe(picked["_src"])
-        & (rows["_size"] == picked["size"])
+        rows["doc_id"].cast("long").eqNullSafe(picked["p_id"])
+        & rows["source"].cast("string").eqNullSafe(picked["p_source"])
+        & (rows[size] == picked["p_size"])
     )
-    times = F.ceil(F.col("_sum") / F.col("_n")).cast("int")
-    return rows.join(picked.hint("shuffle_hash"), on).withColumn("_k", F.explode(F.sequence(F.lit(1), times))).select(*cols)
+    taken = rows.join(picked.hint("shuffle_hash"), on).select(*[rows[c] for c in cols], picked[times])
+    return taken.withColumn(k, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*cols)

@@ -105,19 +105,20 @@ def score(docs: DataFrame, labels: DataFrame, host: str = "source", path: str =
     """``doc_id, p_text, p_site, p_good, accepted`` for every row of ``docs``.
 
     ``labels`` has ``doc_id`` and ``quality``; null or repeated labels: nulls are left out, of several the lower
-    counts. Without labels of both classes every document is accepted with probability 1. Null host or path is a site of
+    counts. Without labelled documents of both classes every document is accepted with probability 1. Null host or path is a site of
     its own. Empty and null texts are scored by their features (no words); repeated rows get equal scores.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(host).cast("string").alias("host"), F.col(path).cast("string").alias("path"), text_or_empty("text").alias("text"))
     feats = stored(features(base).drop("text"), "features")
     marks = labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
     marks = marks.agg(F.min("quality").cast("double").alias("label"))
-    n, good = marks.agg(F.count(F.lit(1)), F.sum("label")).first()
+    known = feats.join(marks, "doc_id")
+    n, good = known.agg(F.count(F.lit(1)), F.sum("label")).first()
     if not n or not 0 < good < n:
         return feats.select("doc_id", *[F.lit(1.0).alias(c) for c in ("p_text", "p_site", "p_good")], F.lit(True).alias("accepted"))
     if n > MAX_LABELS:  # by hash, so that reruns agree
-        marks = marks.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * MAX_LABELS / n))
-    model = fit(assembled(feats.join(marks, "doc_id")).select("x", "label"))
+        known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * MAX_LABELS / n))
+    model = fit(assembled(known).select("x", "label"))
     p = vector_to_array(F.col("probability"))[1]
     scored = model.transform(assembled(feats).select("doc_id", "host", "path", "x")).select("doc_id", "host", "path", p.alias("p"))
     scored = stored(scored, "scored")
