@@ -10,6 +10,7 @@ from functools import cache
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .terms import UI_NOISE_TERMS
 
@@ -56,7 +57,7 @@ def strip_diacritics(c: Column | str) -> Column:
     return F.translate(as_col(c), *_decompositions())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def strip_diacritics_full(s: pd.Series) -> pd.Series:
     """NFKD without combining marks, for all of Unicode; vectorized over Arrow batches."""
     return s.map(lambda x: None if x is None else "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c)))

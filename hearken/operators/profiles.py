@@ -8,6 +8,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions import terms as T
 from ..functions.text import as_col, collapse, contains_any, dedupe_ci, dedupe_keep_order, let, normalize_text, slugify
@@ -313,7 +314,7 @@ def normalize_validity_spec(specs: DataFrame, topic: str = "topic", spec: str =
     return specs.withColumn(spec, out)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def contract_hash(contract: pd.Series) -> pd.Series:
     """First ten hex digits of the SHA-256 of a JSON document with sorted keys, spaces after separators, as Python prints it."""
     text = contract.map(lambda x: json.dumps(json.loads(x or "{}"), ensure_ascii=False, sort_keys=True))
