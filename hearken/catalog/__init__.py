@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import answers, gating, labelling, streams, text
+from . import answers, gating, labelling, streams, tables, text
 
-MODULES = (text, gating, labelling, answers, streams)
+MODULES = (text, gating, labelling, answers, streams, tables)
 
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in MODULES for k, v in m.SQL.items()}

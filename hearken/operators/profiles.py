@@ -324,3 +324,28 @@ def contract_hash(contract: pd.Series) -> pd.Series:
 def with_arrival(df: DataFrame, key: str, order: list[Column | str]) -> DataFrame:
     """``ordinal`` within each ``key``, from 1."""
     return df.withColumn("ordinal", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+
+
+def contexts_of_runs(runs: DataFrame, plans: DataFrame, contexts: DataFrame) -> DataFrame:
+    """Runs with their plan's context: ``run_id, topic, profile, spec``. Missing plans, contexts and broken JSON give nulls.
+
+    ``contexts`` holds its profile and spec as JSON text; both are parsed once a context, before the joins.
+    """
+    from ..sources.tables import lenient_json
+
+    c = contexts.select(
+        "context_id",
+        "topic",
+        lenient_json(PROFILE_JSON, "retrieval_profile_json").alias("profile"),
+        lenient_json(SPEC_JSON, "validity_spec_json").alias("spec"),
+    )
+    return runs.join(plans.select("plan_id", "context_id"), "plan_id", "left").join(c, "context_id", "left").select(*runs.columns, "topic", "profile", "spec")
+
+
+PROFILE_JSON = f"anchors array<string>, related_terms array<string>, negative_terms array<string>, query_families array<{FAMILY}>, source_hints array<string>"
+SPEC_JSON = (
+    "spec_id string, spec_version string, research_objective string, target_signal_types array<string>, target_author_types array<string>, non_target_author_types array<string>, must_have_signals array<string>, "
+    "nice_to_have_signals array<string>, hard_reject_signals array<string>, valid_examples array<string>, invalid_examples array<string>, "
+    "comment_policy struct<allow_parent_context:boolean,reject_transactional_only_comments:boolean,minimum_comment_text_length:int>, "
+    "batch_policy struct<min_accept_ratio:double,min_high_conf_accept_ratio:double,max_consecutive_weak_batches:int,uncertain_reformulation_floor:double>"
+)

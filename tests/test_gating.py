@@ -218,3 +218,14 @@ def test_contract_hash(spark):
     import hashlib
 
     assert df.select(profiles.contract_hash("j")).first()[0] == hashlib.sha256('{"a": "đ", "b": 1}'.encode()).hexdigest()[:10]
+
+
+def test_validity_specs(spark):
+    own = '{"target_signal_types": ["Pain", "pain ", "fee"], "valid_examples": ["a","b","c","d","e","f"], "batch_policy": {"min_accept_ratio": 7, "max_consecutive_weak_batches": 0}, "comment_policy": {"minimum_comment_text_length": -3}}'
+    base = '{"research_objective": "base", "target_signal_types": ["x"], "comment_policy": {"reject_transactional_only_comments": false}, "batch_policy": {"min_accept_ratio": 0.15, "min_high_conf_accept_ratio": -1, "max_consecutive_weak_batches": 2, "uncertain_reformulation_floor": 0.25}}'
+    df = spark.createDataFrame([("Đồng hồ", own, base), ("t", "{}", base)], "topic string, s string, f string")
+    df = df.select("topic", F.from_json("s", profiles.SPEC_JSON).alias("spec"), F.from_json("f", profiles.SPEC_JSON).alias("fallback"))
+    a, b = [r.spec for r in profiles.normalize_validity_spec(df).collect()]
+    assert a.target_signal_types == ["Pain", "fee"] and len(a.valid_examples) == 5 and a.spec_id.startswith("spec-dong-ho-") and a.research_objective == "base"
+    assert tuple(a.batch_policy) == (1.0, 0.0, 1, 0.25) and tuple(a.comment_policy) == (True, False, 0) and b.target_signal_types == ["x"] and tuple(b.comment_policy) == (True, False, 8)
+    assert a.spec_version != b.spec_version
