@@ -147,9 +147,12 @@ class Induced:
     def seam(self, left: int, right: int) -> int:
         return min(self.run(left), self.run(right), self.cap)
 
-    def induce(self, seeds: np.ndarray, lcp: np.ndarray) -> Iterator[tuple[int, list[np.ndarray], list[np.ndarray]]]:
-        """From seeds in order with common prefixes: by symbol from the largest, its L and its S tuples in order."""
-        t = self.t
+    def induce(self, seeds: np.ndarray, lcp: np.ndarray | None = None) -> Iterator[tuple[int, list[np.ndarray], list[np.ndarray]]]:
+        """From seeds in order with common prefixes: by symbol from the largest, its L and its S tuples in order.
+
+        Without ``lcp`` common prefixes are left at zero: naming only needs the order."""
+        t, plain = self.t, lcp is None
+        lcp = np.zeros(len(seeds), np.int64) if plain else lcp
         first = t[seeds]
         bounds = np.searchsorted(first, np.arange(self.symbols + 1))
         present = np.flatnonzero(np.bincount(t, minlength=self.symbols)).tolist()
@@ -163,7 +166,8 @@ class Induced:
             ok = keep(t[before], t[pos[at]])
             at, before = at[ok], before[ok]
             symbol = t[before].astype(np.int64)
-            queue.push(symbol, np.stack([before, minima.step(rows[:, 1], at, symbol, self.cap)], axis=1))
+            prefix = np.zeros(len(at), np.int64) if plain else minima.step(rows[:, 1], at, symbol, self.cap)
+            queue.push(symbol, np.stack([before, prefix], axis=1))
 
         store = self._store()
         for c in present:
@@ -221,7 +225,7 @@ class Induced:
         rough = seeds[np.argsort(t[seeds], kind="stable")]
         is_seed = np.zeros(len(t), bool)
         is_seed[seeds] = True
-        parts = [x[:, 0] for _, _, smaller in self.induce(rough, np.zeros(len(rough), np.int64)) for x in smaller]
+        parts = [x[:, 0] for _, _, smaller in self.induce(rough) for x in smaller]
         order = np.concatenate(parts)[::-1]
         order = order[is_seed[order]]
         size = np.zeros(len(t), np.int64)
@@ -245,7 +249,7 @@ class Induced:
             return seeds[self._doubled(names)]
         deeper = Induced(np.append(names + 1, 0), len(names), self.memory, self.small)
         ranked = []  # from the largest
-        for _, larger, smaller in deeper.induce(s := deeper.sorted_seeds(), np.zeros(len(s), np.int64)):
+        for _, larger, smaller in deeper.induce(deeper.sorted_seeds()):
             ranked += [x[:, 0] for x in smaller] + [x[::-1, 0] for x in reversed(larger)]
         order = np.concatenate(ranked)[::-1]
         return seeds[order[order < len(names)]]
