@@ -192,7 +192,7 @@ def wn_latest_step(spark: SparkSession, d: str) -> DataFrame:
 @query(f"{with_views('candidates', 'judged')}, {STEPS}" + """, s4 AS (SELECT ['en', 'fr', 'de', 'es'][(substr(run_id, 2)::INT % 4) + 1] AS run_id, status FROM m),
     p AS (SELECT run_id, count(*) FILTER (pre_ai_status = 'ACCEPTED') AS accepted_total, count(*) FILTER (judge_used_image_understanding) AS image_fallback_total, min(crawled_s) - 1704067200.0::DOUBLE AS time_to_first_record_sec FROM judged GROUP BY 1),
     s AS (SELECT run_id, count(*) FILTER (status = 'DONE') AS done_steps, count(*) FILTER (status = 'PENDING') AS pending_steps, count(*) FILTER (status = 'FAILED') AS failed_steps FROM s4 GROUP BY 1)
-    SELECT p.*, done_steps, pending_steps, failed_steps, 'failed_steps,accepted_without_themes' AS concerns FROM p JOIN s USING (run_id)""")
+    SELECT p.*, done_steps, pending_steps, failed_steps, 'failed_steps,accepted_without_themes' || CASE WHEN image_fallback_total = 0 THEN ',no_image_understanding' ELSE '' END AS concerns FROM p JOIN s USING (run_id)""")
 def ag_run_analysis(spark: SparkSession, d: str) -> DataFrame:
     a = audit.run_analysis(_runs(spark, d), judged(spark, d), _steps_of(spark, d))
     known = F.filter("concerns", lambda c: c != "group_search_without_yield")
