@@ -15,9 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .suffix_sort import equal_groups
-from .superkmers import BLOCK, NONE, find_covered, gram_hashes, mask, sliding_min, with_spans
+from .superkmers import BLOCK, GRAM, K1, MB, NONE, find_covered, gram_hashes, mixed, mask, sliding_min, unpacked, with_spans, words_at
 
-LENGTH, GRAM = 100, 16
+LENGTH = 100
+#: Bytes next to a minimiser that two equal strings must share on one side at least: half of what is not the minimiser.
+SIDE = (LENGTH - GRAM) // 2
+#: Packed strings of a bucket, and of the parts of it that are settled at once.
+BUCKET_BYTES, PART_BYTES = 24 * MB, 8 * MB
 
 
 def byte_runs(texts: list[bytes]):
@@ -31,7 +35,7 @@ def byte_runs(texts: list[bytes]):
     a = np.frombuffer(big, np.uint8)
     end = np.cumsum(size)
     n = len(a) - LENGTH + 1
-    least = sliding_min(gram_hashes(a, GRAM), LENGTH - GRAM + 1)[:n]
+    least = sliding_min(gram_hashes(a), LENGTH - GRAM + 1)[:n]
     # the last 99 places of each text start no string
     edge = np.zeros(len(a) + 1, np.int8)
     edge[end - LENGTH + 1] += 1
@@ -47,48 +51,87 @@ def byte_runs(texts: list[bytes]):
     return big, np.array(used)[which], at - begin, stop - begin, (at, stop + LENGTH), least[at]
 
 
+def _grams_of(a: np.ndarray, s: np.ndarray, n: np.ndarray):
+    """For each string: its minimiser, how often it stands there, and hashes of it with ``SIDE`` bytes to its left and to
+    its right (unique numbers where there are fewer). A block of strings at a time."""
+    least, times, left, right = (np.empty(len(s), np.uint64) for _ in range(4))
+    alone = mixed(np.arange(len(s), dtype=np.uint64) + K1)
+    span = SIDE + GRAM
+    offsets = [*range(0, span - 8, 8), span - 8]
+
+    def slice_hash(w: np.ndarray, at: np.ndarray) -> np.ndarray:
+        h = np.zeros(len(at), np.uint64)
+        for k in offsets:
+            h = mixed(h ^ w[at + k]) * K1
+        return h
+
+    by = np.argsort(s)
+    block = (np.cumsum(n[by]) - 1) // BLOCK
+    for own in np.split(by, np.flatnonzero(np.diff(block)) + 1):
+        begin, end = int(s[own[0]]), int(s[own[-1]] + n[own[-1]])
+        part = a[begin:end]
+        w = words_at(part)
+        grams = np.append(gram_hashes(part, w), NONE)
+        bounds = np.stack([s[own], s[own] + n[own] - GRAM + 1], axis=1).ravel() - begin
+        found = np.minimum.reduceat(grams, bounds)
+        hit = grams == np.repeat(found, np.diff(np.append(bounds, len(grams))))
+        least[own], times[own] = found[::2], np.add.reduceat(hit, bounds, dtype=np.int64)[::2]
+        places = np.flatnonzero(hit)
+        place = places[np.searchsorted(places, bounds[::2])]  # the first in each string
+        ok = place - SIDE >= bounds[::2]
+        left[own] = alone[own]
+        left[own[ok]] = slice_hash(w, place[ok] - SIDE)
+        ok = place + span <= bounds[::2] + n[own]
+        right[own] = alone[own] + K1
+        right[own[ok]] = slice_hash(w, place[ok])
+    return least, times, left, right
+
+
+def _several(x: np.ndarray) -> np.ndarray:
+    _, which, counts = np.unique(x, return_inverse=True, return_counts=True)
+    return counts[which] > 1
+
+
 def settle(doc, tag, at, start, size, text: bytes) -> np.ndarray:
     """Spans of bytes under strings that start earlier too. The runs stand in the order of their owners."""
+    a = np.frombuffer(text, np.uint8)
+    least, times, left, right = _grams_of(a, start, size.astype(np.int64))
+    parts = max(1, len(text) // PART_BYTES)
+    part = (least // np.uint64(parts)) % np.uint64(parts)
+    return np.concatenate([_settle_part(np.flatnonzero(part == p), times, left, right, doc, tag, at, start, size, text) for p in range(parts)])
+
+
+def _settle_part(k, times, left, right, doc, tag, at, start, size, text: bytes) -> np.ndarray:
+    """The same for runs ``k``, among which are all that share a minimiser with one of them."""
     seen: set[bytes] = set()
-    fresh = np.zeros(len(doc), bool)
-    for k, (s, n) in enumerate(zip(start.tolist(), size.tolist(), strict=True)):
+    fresh = np.zeros(len(k), bool)
+    for i, (s, n) in enumerate(zip(start[k].tolist(), size[k].tolist(), strict=True)):
         x = text[s : s + n]
         if x not in seen:
             seen.add(x)
-            fresh[k] = True
+            fresh[i] = True
     del seen
-    copies = np.flatnonzero(~fresh)
+    copies, k = k[~fresh], k[fresh]
     gone = [np.stack([doc[copies], tag[copies].astype(np.int64), at[copies], at[copies] + size[copies]], axis=1)]
-    k = np.flatnonzero(fresh)
-    a = np.frombuffer(text, np.uint8)
-    # strings with no partner of equal minimiser, and none within themselves, need no sorting
-    s, n = start[k], size[k].astype(np.int64)
-    least, inside = np.empty(len(k), np.uint64), np.empty(len(k), np.int64)
-    by = np.argsort(s)
-    block = (np.cumsum(n[by]) - 1) // BLOCK
-    for own in np.split(by, np.flatnonzero(np.diff(block)) + 1):
-        begin, end = int(s[own[0]]), int(s[own[-1]] + n[own[-1]])
-        grams = np.append(gram_hashes(a[begin:end], GRAM), NONE)
-        bounds = np.stack([s[own], s[own] + n[own] - GRAM + 1], axis=1).ravel() - begin
-        found = np.minimum.reduceat(grams, bounds)
-        times = np.add.reduceat(grams == np.repeat(found, np.diff(np.append(bounds, len(grams)))), bounds, dtype=np.int64)
-        least[own], inside[own] = found[::2], times[::2]
-    _, which, counts = np.unique(least, return_inverse=True, return_counts=True)
-    k = k[(counts[which] > 1) | (inside > 1)]
+    # two equal strings share their minimiser and what is next to it, on the left or on the right; a run that has no
+    # partner in that, nor its minimiser more than once, needs no sorting
+    k = k[_several(left[k]) | _several(right[k]) | (times[k] > 1)]
     if not len(k):
         return gone[0]
     s, n = start[k], size[k].astype(np.int64)
     first = np.cumsum(n + 1) - n - 1
     # symbols: byte + 2; 1 between strings, 0 at the end
     t = np.ones(int(n.sum()) + len(n) + 1, np.uint16)
-    owner = np.repeat(np.arange(len(k)), n)
-    inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-    t[first[owner] + inside] = a[s[owner] + inside].astype(np.uint16) + 2
+    inside = np.ones(len(t), bool)
+    inside[first + n] = inside[-1] = False
+    joined = b"".join([text[i : i + m] for i, m in zip(s.tolist(), n.tolist(), strict=True)])
+    t[inside] = np.frombuffer(joined, np.uint8).astype(np.uint16) + 2
     t[-1] = 0
-    valid = np.zeros(len(t), bool)
-    ok = inside + LENGTH <= n[owner]
-    valid[first[owner[ok]] + inside[ok]] = True
-    del inside, owner, ok
+    edge = np.zeros(len(t), np.int8)
+    edge[first] += 1
+    edge[first + n - LENGTH + 1] -= 1
+    valid = np.cumsum(edge, dtype=np.int8) > 0
+    del inside, edge, joined
     raw = t.tobytes()
     for rows in equal_groups(t, LENGTH, valid):
         if not len(rows):
@@ -106,7 +149,7 @@ def settle(doc, tag, at, start, size, text: bytes) -> np.ndarray:
 
 
 def covered(rows: DataFrame) -> DataFrame:
-    return find_covered(rows, byte_runs, settle, same_doc_counts=True, reach=LENGTH)
+    return find_covered(rows, byte_runs, settle, same_doc_counts=True, reach=LENGTH, bucket_bytes=BUCKET_BYTES)
 
 
 def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
@@ -121,8 +164,8 @@ def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, gone, runs, sha, left = [], [], [], [], []
-            for text, spans in zip(b.column(1), b.column(2), strict=True):
-                kept = text = text.as_py()
+            for text, spans in zip(unpacked(b.column(1)), b.column(2), strict=True):
+                kept = text
                 g = r = 0
                 if spans.is_valid:
                     m = mask(len(text), spans.values.to_numpy())

@@ -23,11 +23,14 @@ BASE = 0x9E3779B97F4A7C15
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Documents without an id sort last.
 NO_ID = np.iinfo(np.int64).max
+MB = 1 << 20
 #: Bytes of text a task handles at once, and bytes of packed strings a bucket should get.
 BATCH_BYTES, BUCKET_BYTES = 4 << 20, 8 << 20
 #: Bytes of packed strings that a task gets at most on average; it handles one bucket after another.
 TASK_BYTES = 256 << 20
 BLOCK = 1 << 19
+#: Bytes of the grams of byte strings.
+GRAM = 12
 
 
 @lru_cache(4)
@@ -57,13 +60,26 @@ class Hashes:
         return mixed((self.sum[end] - self.sum[start]) * self.back[start])
 
 
-def gram_hashes(a: np.ndarray, g: int) -> np.ndarray:
-    """Hashes of all slices of ``g`` bytes, a block at a time."""
-    n = max(len(a) - g + 1, 0)
+K1, K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+def words_at(a: np.ndarray) -> np.ndarray:
+    """The eight bytes at each place, as one number."""
+    n = max(len(a) - 7, 0)
+    out = np.empty(n, np.uint64)
+    for k in range(min(8, n)):
+        m = (n - k + 7) // 8
+        out[k::8] = a[k : k + 8 * m].view(np.uint64)
+    return out
+
+
+def gram_hashes(a: np.ndarray, words: np.ndarray | None = None) -> np.ndarray:
+    """Hashes of all slices of 12 bytes, a block at a time; ``words``: what :func:`words_at` gave, if at hand."""
+    n = max(len(a) - GRAM + 1, 0)
     out = np.empty(n, np.uint64)
     for k in range(0, n, BLOCK):
-        at = np.arange(min(BLOCK, n - k))
-        out[k : k + BLOCK] = Hashes(a[k : k + BLOCK + g - 1]).of(at, at + g)
+        w = words_at(a[k : k + BLOCK + GRAM - 1]) if words is None else words[k : k + BLOCK + 4]
+        out[k : k + BLOCK] = mixed(w[:-4] * K1 + w[4:] * K2)
     return out
 
 
@@ -120,6 +136,7 @@ def find_covered(
     settle: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes], np.ndarray],
     same_doc_counts: bool,
     reach: int,
+    bucket_bytes: int = BUCKET_BYTES,
 ) -> DataFrame:
     """``doc, tag, spans``: what is covered in each row of ``docs`` (doc, tag, text as bytes).
 
@@ -130,7 +147,7 @@ def find_covered(
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = n_tasks(spark, 3 * total, TASK_BYTES)
-    buckets = max(4 * parts, 3 * total // BUCKET_BYTES)
+    buckets = max(parts * max(1, 32 * MB // bucket_bytes), 3 * total // bucket_bytes)
     bounded_batches(spark)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,11 +229,22 @@ def find_covered(
 
 
 def with_spans(docs: DataFrame, find: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """``doc_id, text`` (bytes) of each row of ``docs`` with the ``spans`` that ``find`` covers, null for none."""
+    """``doc_id, text`` (compressed bytes, see :func:`unpacked`) of each row of ``docs`` with the ``spans`` that ``find`` covers, null for none."""
     rows = docs.select("doc_id", text_or_empty("text").alias("text")).withColumns(doc_key()).withColumn("text", F.col("text").cast("binary"))
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z = zstandard.ZstdCompressor(level=3)
+        for b in batches:
+            yield b.set_column(3, "text", pa.array([z.compress(x.as_py()) for x in b.column(3)], pa.binary()))
+
     spans = find(rows).hint("shuffle_hash")
-    joined = rows.join(spans, ["doc", "tag"], "left")
-    return joined.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "spans")
+    texts = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "doc", "tag", "text").mapInArrow(packed, "doc_id long, doc long, tag short, text binary")
+    return texts.join(spans, ["doc", "tag"], "left").select("doc_id", "text", "spans")
+
+
+def unpacked(texts: pa.Array) -> Iterator[bytes]:
+    z = zstandard.ZstdDecompressor()
+    return (z.decompress(x.as_py()) for x in texts)
 
 
 def mask(n: int, spans: np.ndarray) -> np.ndarray:

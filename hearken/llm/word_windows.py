@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .superkmers import BLOCK, NONE, Hashes, find_covered, mask, sliding_min, with_spans
+from .superkmers import BLOCK, NONE, Hashes, find_covered, mask, sliding_min, unpacked, with_spans
 
 WINDOW, GRAM = 13, 3
 
@@ -112,8 +112,8 @@ def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, gone, sha, left = [], [], [], []
-            for text, spans in zip(b.column(1), b.column(2), strict=True):
-                words = text.as_py().split()
+            for text, spans in zip(unpacked(b.column(1)), b.column(2), strict=True):
+                words = text.split()
                 if spans.is_valid:
                     m = mask(len(words), spans.values.to_numpy())
                     kept = b" ".join(compress(words, (~m).tolist()))
