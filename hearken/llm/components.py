@@ -7,18 +7,33 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
+#: Fewer nodes than this are handled as hubs, whatever the size of the graph.
+HUBS, LEAST_DEGREE = 4096, 256
 
-def _large_star(edges: DataFrame) -> DataFrame:
+
+def _meet_least(rows: DataFrame, n_rows: int, least) -> DataFrame:
+    """``rows`` with ``m``, the least neighbour of their node ``a``.
+
+    Nodes with more than ``1 / HUBS`` of all rows are fewer than ``HUBS``: they are broadcast and their rows stay where
+    they are. The rows of the others are shuffled.
+    """
+    stars = rows.groupBy("a").agg(least.alias("m"), F.count(F.lit(1)).alias("_n"))
+    hubs = cut(stars.filter(F.col("_n") > max(LEAST_DEGREE, n_rows // HUBS)).select("a", "m"))
+    at_hubs = rows.join(F.broadcast(hubs), "a")
+    others = rows.join(F.broadcast(hubs.select("a")), "a", "left_anti").join(stars.select("a", "m"), "a")
+    return at_hubs.unionByName(others)
+
+
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-    return both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
+    met = _meet_least(both, 2 * n, F.least(F.col("a"), F.min("b")))
+    return met.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.unionByName(least.select("a", F.col("m").alias("b")))
+    moved = _meet_least(down, n, F.min("b")).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return moved.unionByName(down.groupBy("a").agg(F.min("b").alias("b")))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -31,7 +46,8 @@ def components(edges: DataFrame) -> DataFrame:
     now = cut(edges.select("a", "b").filter("a <> b").distinct())
     seen = mark(now)
     while seen[0]:
-        now = cut(_small_star(_large_star(now)).distinct())
+        big = cut(_large_star(now, seen[0]))
+        now = cut(_small_star(big, big.count()).distinct())
         before, seen = seen, mark(now)
         if before == seen:
             break

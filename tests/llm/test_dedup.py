@@ -11,6 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from hearken.llm import byte_windows, exact_dedup, simhash, suffix_sort, superkmers, word_windows
+from hearken.llm import components as components_module
 from hearken.llm.components import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, sha string, _row long"
@@ -239,7 +240,9 @@ def test_thresholds_cover_the_distance():
     assert [round(near[d][77]) for d in range(4)] == [round(c[dist == d].sum()) for d in range(4)]
 
 
-def test_components(spark):
+@pytest.mark.parametrize("degree", [256, 3])
+def test_components(spark, monkeypatch, degree):
+    monkeypatch.setattr(components_module, "LEAST_DEGREE", degree)
     edges = [(i, i + 1) for i in range(40)] + [(100, 50), (100, 60), (7, 7)] + [(200, 200 + i) for i in range(1, 30)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, 50: 50, 60: 50, 100: 50, **{200 + i: 200 for i in range(30)}}
