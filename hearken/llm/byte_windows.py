@@ -21,7 +21,7 @@ LENGTH = 100
 #: Bytes next to a minimiser that two equal strings must share on one side at least: half of what is not the minimiser.
 SIDE = (LENGTH - GRAM) // 2
 #: Packed strings of a bucket, and of the parts of it that are settled at once.
-BUCKET_BYTES, PART_BYTES = 24 * MB, 8 * MB
+BUCKET_BYTES, PART_BYTES = 16 * MB, 8 * MB
 
 
 def byte_runs(texts: list[bytes]):

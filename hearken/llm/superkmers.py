@@ -25,7 +25,7 @@ NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 NO_ID = np.iinfo(np.int64).max
 MB = 1 << 20
 #: Bytes of text a task handles at once, and bytes of packed strings a bucket should get.
-BATCH_BYTES, BUCKET_BYTES = 4 << 20, 8 << 20
+BATCH_BYTES, BUCKET_BYTES = 3 << 20, 6 << 20
 #: Bytes of packed strings that a task gets at most on average; it handles one bucket after another.
 TASK_BYTES = 256 << 20
 BLOCK = 1 << 19
