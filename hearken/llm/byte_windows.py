@@ -52,10 +52,10 @@ def byte_runs(texts: list[bytes]):
 
 
 def _grams_of(a: np.ndarray, s: np.ndarray, n: np.ndarray):
-    """For each string: its minimiser, how often it stands there, and hashes of it with ``SIDE`` bytes to its left and to
-    its right (unique numbers where there are fewer). A block of strings at a time."""
-    least, times, left, right = (np.empty(len(s), np.uint64) for _ in range(4))
-    alone = mixed(np.arange(len(s), dtype=np.uint64) + K1)
+    """For each string its minimiser, and for each place where it stands there (``own``: the string's number) hashes of it
+    with ``SIDE`` bytes to its left and to its right (unique numbers where there are fewer). A block of strings at a time."""
+    least = np.empty(len(s), np.uint64)
+    got: list[tuple[np.ndarray, ...]] = []
     span = SIDE + GRAM
     offsets = [*range(0, span - 8, 8), span - 8]
 
@@ -67,6 +67,7 @@ def _grams_of(a: np.ndarray, s: np.ndarray, n: np.ndarray):
 
     by = np.argsort(s)
     block = (np.cumsum(n[by]) - 1) // BLOCK
+    seen = 0
     for own in np.split(by, np.flatnonzero(np.diff(block)) + 1):
         begin, end = int(s[own[0]]), int(s[own[-1]] + n[own[-1]])
         part = a[begin:end]
@@ -75,16 +76,20 @@ def _grams_of(a: np.ndarray, s: np.ndarray, n: np.ndarray):
         bounds = np.stack([s[own], s[own] + n[own] - GRAM + 1], axis=1).ravel() - begin
         found = np.minimum.reduceat(grams, bounds)
         hit = grams == np.repeat(found, np.diff(np.append(bounds, len(grams))))
-        least[own], times[own] = found[::2], np.add.reduceat(hit, bounds, dtype=np.int64)[::2]
+        least[own] = found[::2]
         places = np.flatnonzero(hit)
-        place = places[np.searchsorted(places, bounds[::2])]  # the first in each string
-        ok = place - SIDE >= bounds[::2]
-        left[own] = alone[own]
-        left[own[ok]] = slice_hash(w, place[ok] - SIDE)
-        ok = place + span <= bounds[::2] + n[own]
-        right[own] = alone[own] + K1
-        right[own[ok]] = slice_hash(w, place[ok])
-    return least, times, left, right
+        where = np.searchsorted(bounds, places, side="right") - 1
+        # odd ones lie between two strings
+        places, where = places[where % 2 == 0], where[where % 2 == 0]
+        alone = mixed(np.arange(seen, seen + len(places), dtype=np.uint64) + K1)
+        seen += len(places)
+        left, right = alone, alone + K1
+        ok = places - SIDE >= bounds[where]
+        left[ok] = slice_hash(w, places[ok] - SIDE)
+        ok = places + span <= bounds[where] + n[own[where // 2]]
+        right[ok] = slice_hash(w, places[ok])
+        got.append((own[where // 2], left, right))
+    return least, *(np.concatenate(x) for x in zip(*got, strict=True))
 
 
 def _several(x: np.ndarray) -> np.ndarray:
@@ -95,13 +100,13 @@ def _several(x: np.ndarray) -> np.ndarray:
 def settle(doc, tag, at, start, size, text: bytes) -> np.ndarray:
     """Spans of bytes under strings that start earlier too. The runs stand in the order of their owners."""
     a = np.frombuffer(text, np.uint8)
-    least, times, left, right = _grams_of(a, start, size.astype(np.int64))
+    least, own, left, right = _grams_of(a, start, size.astype(np.int64))
     parts = max(1, len(text) // PART_BYTES)
     part = (least // np.uint64(parts)) % np.uint64(parts)
-    return np.concatenate([_settle_part(np.flatnonzero(part == p), times, left, right, doc, tag, at, start, size, text) for p in range(parts)])
+    return np.concatenate([_settle_part(np.flatnonzero(part == p), own, left, right, doc, tag, at, start, size, text) for p in range(parts)])
 
 
-def _settle_part(k, times, left, right, doc, tag, at, start, size, text: bytes) -> np.ndarray:
+def _settle_part(k, own, left, right, doc, tag, at, start, size, text: bytes) -> np.ndarray:
     """The same for runs ``k``, among which are all that share a minimiser with one of them."""
     seen: set[bytes] = set()
     fresh = np.zeros(len(k), bool)
@@ -113,9 +118,14 @@ def _settle_part(k, times, left, right, doc, tag, at, start, size, text: bytes)
     del seen
     copies, k = k[~fresh], k[fresh]
     gone = [np.stack([doc[copies], tag[copies].astype(np.int64), at[copies], at[copies] + size[copies]], axis=1)]
-    # two equal strings share their minimiser and what is next to it, on the left or on the right; a run that has no
-    # partner in that, nor its minimiser more than once, needs no sorting
-    k = k[_several(left[k]) | _several(right[k]) | (times[k] > 1)]
+    # two equal strings share their minimiser and what is next to it, on the left or on the right, at the place where it
+    # stands first in them, which may be any of its places in their runs; a run that shares none of these needs no sorting
+    inside = np.zeros(len(start), bool)
+    inside[k] = True
+    among = np.flatnonzero(inside[own])
+    inside[:] = False
+    inside[own[among[_several(left[among]) | _several(right[among])]]] = True
+    k = k[inside[k]]
     if not len(k):
         return gone[0]
     s, n = start[k], size[k].astype(np.int64)

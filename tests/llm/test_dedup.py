@@ -101,6 +101,28 @@ def test_what_is_left(spark):
     assert {r.doc_id: bytes(r.kept) for r in byte_windows.dedup(docs(spark, [(1, long), (2, "ab" + long)]), with_text=True).collect()}[2] == b"ab"
 
 
+def test_repeated_minimiser_against_single_one():
+    """A short line that stands twice in one document and once before the same text in another."""
+    removed = 0
+    for seed in range(60):
+        rng = random.Random(seed)
+        p1, p2, line, rest = ("".join(rng.choices("abcdefghij ", k=n)).encode() for n in (150, 150, 60, 90))
+        texts = [p1 + line + line + rest, p2 + line + rest]
+        big, text, first, _, (begin, end), _ = byte_windows.byte_runs(texts)
+        strings = [big[i:j] for i, j in zip(begin.tolist(), end.tolist(), strict=True)]
+        size = (end - begin).astype(np.int32)
+        start = np.cumsum(size, dtype=np.int64) - size
+        spans = byte_windows.settle(text.astype(np.int64), np.zeros(len(text), np.int16), first.astype(np.int64), start, size, b"".join(strings))
+        got = [np.zeros(len(t), bool) for t in texts]
+        for doc, _, i, j in spans.tolist():
+            got[doc][i:j] = True
+        want = brute_bytes([(d, t.decode()) for d, t in enumerate(texts)])
+        for d, t in enumerate(texts):
+            assert hashlib.sha256(np.frombuffer(t, np.uint8)[~got[d]].tobytes()).hexdigest() == want[d][3], (seed, d)
+        removed += int(got[1].sum())
+    assert removed >= 60 * 150
+
+
 @pytest.mark.parametrize("op", [byte_windows.dedup, word_windows.dedup, exact_dedup.exact_groups, exact_dedup.drop_copies, simhash.near_groups, simhash.one_of_each])
 def test_empty_tables_and_null_ids(spark, op):
     assert op(docs(spark, [])).count() == 0
