@@ -24,12 +24,13 @@ def parent_context(comments: DataFrame, posts: DataFrame) -> DataFrame:
     return out.withColumns({"parent_text": p["text"], "parent_status": p["status"]}).select(*comments.columns, "parent_text", "parent_status")
 
 
-def thread_context(records: DataFrame, max_depth: int = 64) -> DataFrame:
+def thread_context(records: DataFrame) -> DataFrame:
     """Add ``parent_post_summary``, ``parent_comment_summary`` and ``thread_context`` to comments; posts have none.
 
     The walk goes up the parents that are in ``records``, to the nearest comment with text and to the post at the root;
-    it ends where a parent is missing, comes back, or is more than ``max_depth`` (rounded up to a power of two) above. Hops
-    double with each join, only ids and short summaries move, and each round is cut from its lineage.
+    it ends where a parent is missing or comes back, at any depth. Hops double with each join until no row moves or, where
+    parents come back, there are as many as the largest run has records. Only ids and short summaries move, and each round
+    is cut from its lineage.
     """
     summary = F.substring(F.coalesce(F.nullif(F.col("content_masked"), F.lit("")), F.col("content"), F.lit("")), 1, 240)
     nodes = records.groupBy("run_id", "post_id").agg(
@@ -43,7 +44,8 @@ def thread_context(records: DataFrame, max_depth: int = 64) -> DataFrame:
         "run_id", "post_id", comment.alias("c"), post.alias("p"), at_post.alias("done"), F.when(~at_post, F.col("n.parent")).alias("next")
     )
     hops, up = 1, cut(up)
-    while hops < max_depth and up.filter("next is not null").limit(1).count():
+    most = up.groupBy("run_id").count().agg(F.max("count")).first()[0] or 0
+    while hops < most and up.filter("next is not null").limit(1).count():
         far = up.select(F.col("run_id").alias("_r"), F.col("post_id").alias("_i"), *[F.col(x).alias(f"_{x}") for x in ("c", "p", "done", "next")])
         j = up.join(far, (F.col("run_id") == F.col("_r")) & (F.col("next") == F.col("_i")), "left")
         up = j.select(

@@ -52,6 +52,15 @@ def test_deep_thread(spark):
     assert r.thread_context == "Parent post: root\nParent comment: c58"
 
 
+def test_thread_of_any_depth(spark):
+    """A chain far beyond 64 steps, beside a cycle of comments."""
+    rows = [("r", "p0", "POST", None, "root", None)] + [("r", f"p{i}", "COMMENT", f"p{i - 1}", "" if i < 200 else f"c{i}", None) for i in range(1, 210)]
+    rows += [("r", "x", "COMMENT", "y", "one", None), ("r", "y", "COMMENT", "x", "two", None)]
+    got = {r.post_id: (r.parent_post_summary, r.parent_comment_summary) for r in threads.thread_context(spark.createDataFrame(rows, POST)).collect()}
+    assert got["p199"] == ("root", None) and got["p209"] == ("root", "c208")
+    assert got["x"] == (None, "two") and got["y"] == (None, "one")
+
+
 def test_nesting(spark):
     rows = [("a", 1, 40.0), ("a", 2, 60.0), ("a", 3, 80.0), ("a", 4, 60.0), ("a", 5, 65.0), ("a", 6, 40.0), ("b", 1, None), ("b", 2, 20.0)]
     got = [(r.post, r.ordinal, r.parent) for r in threads.nest_by_indent(spark.createDataFrame(rows, "post string, ordinal int, indent double")).orderBy("post", "ordinal").collect()]
