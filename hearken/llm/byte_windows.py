@@ -14,17 +14,22 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .suffix_sort import equal_groups
-from .superkmers import BLOCK, GRAM, K1, MB, NONE, find_covered, gram_hashes, mixed, mask, sliding_min, unpacked, with_spans, words_at
+from .suffix_sort import MEMORY, equal_groups, room
+from .superkmers import BLOCK, GRAM, K1, MB, NONE, demoted, find_covered, gram_hashes, mixed, mask, sliding_min, unpacked, with_spans, words_at
 
 LENGTH = 100
 #: Bytes next to a minimiser that two equal strings must share on one side at least: half of what is not the minimiser.
 SIDE = (LENGTH - GRAM) // 2
 #: Packed strings of a bucket, and of the parts of it that are settled at once.
-BUCKET_BYTES, PART_BYTES = 16 * MB, 8 * MB
+BUCKET_BYTES, PART_BYTES = 16 * MB, 6 * MB
 
 
-def byte_runs(texts: list[bytes]):
+def byte_grams(texts: list[bytes]) -> np.ndarray:
+    """Hashes of the grams that are in a 100-byte string, and of some that two texts share."""
+    return gram_hashes(np.frombuffer(b"".join([t for t in texts if len(t) >= LENGTH]), np.uint8))
+
+
+def byte_runs(texts: list[bytes], frequent: np.ndarray):
     """Runs of consecutive 100-byte strings with one minimiser."""
     used = [k for k, t in enumerate(texts) if len(t) >= LENGTH]
     big = b"".join(texts[k] for k in used)
@@ -35,7 +40,7 @@ def byte_runs(texts: list[bytes]):
     a = np.frombuffer(big, np.uint8)
     end = np.cumsum(size)
     n = len(a) - LENGTH + 1
-    least = sliding_min(gram_hashes(a), LENGTH - GRAM + 1)[:n]
+    least = sliding_min(demoted(gram_hashes(a), frequent), LENGTH - GRAM + 1)[:n]
     # the last 99 places of each text start no string
     edge = np.zeros(len(a) + 1, np.int8)
     edge[end - LENGTH + 1] += 1
@@ -51,7 +56,7 @@ def byte_runs(texts: list[bytes]):
     return big, np.array(used)[which], at - begin, stop - begin, (at, stop + LENGTH), least[at]
 
 
-def _grams_of(a: np.ndarray, s: np.ndarray, n: np.ndarray):
+def _grams_of(a: np.ndarray, s: np.ndarray, n: np.ndarray, frequent: np.ndarray):
     """For each string its minimiser, and for each place where it stands there (``own``: the string's number) hashes of it
     with ``SIDE`` bytes to its left and to its right (unique numbers where there are fewer). A block of strings at a time."""
     least = np.empty(len(s), np.uint64)
@@ -72,7 +77,7 @@ def _grams_of(a: np.ndarray, s: np.ndarray, n: np.ndarray):
         begin, end = int(s[own[0]]), int(s[own[-1]] + n[own[-1]])
         part = a[begin:end]
         w = words_at(part)
-        grams = np.append(gram_hashes(part, w), NONE)
+        grams = np.append(demoted(gram_hashes(part, w), frequent), NONE)
         bounds = np.stack([s[own], s[own] + n[own] - GRAM + 1], axis=1).ravel() - begin
         found = np.minimum.reduceat(grams, bounds)
         hit = grams == np.repeat(found, np.diff(np.append(bounds, len(grams))))
@@ -97,10 +102,10 @@ def _several(x: np.ndarray) -> np.ndarray:
     return counts[which] > 1
 
 
-def settle(doc, tag, at, start, size, text: bytes) -> np.ndarray:
+def settle(doc, tag, at, start, size, text: bytes, frequent: np.ndarray) -> np.ndarray:
     """Spans of bytes under strings that start earlier too. The runs stand in the order of their owners."""
     a = np.frombuffer(text, np.uint8)
-    least, own, left, right = _grams_of(a, start, size.astype(np.int64))
+    least, own, left, right = _grams_of(a, start, size.astype(np.int64), frequent)
     parts = max(1, len(text) // PART_BYTES)
     part = (least // np.uint64(parts)) % np.uint64(parts)
     return np.concatenate([_settle_part(np.flatnonzero(part == p), own, left, right, doc, tag, at, start, size, text) for p in range(parts)])
@@ -108,16 +113,16 @@ def settle(doc, tag, at, start, size, text: bytes) -> np.ndarray:
 
 def _settle_part(k, own, left, right, doc, tag, at, start, size, text: bytes) -> np.ndarray:
     """The same for runs ``k``, among which are all that share a minimiser with one of them."""
-    seen: set[bytes] = set()
-    fresh = np.zeros(len(k), bool)
-    for i, (s, n) in enumerate(zip(start[k].tolist(), size[k].tolist(), strict=True)):
-        x = text[s : s + n]
-        if x not in seen:
+    fresh = np.ones(len(k), bool)
+    if int(size[k].sum()) <= 2 * PART_BYTES:  # beyond that copies of whole runs are found by the sorting only
+        seen: set[bytes] = set()
+        for i, (s, n) in enumerate(zip(start[k].tolist(), size[k].tolist(), strict=True)):
+            x = text[s : s + n]
+            fresh[i] = x not in seen
             seen.add(x)
-            fresh[i] = True
-    del seen
+        del seen
     copies, k = k[~fresh], k[fresh]
-    gone = [np.stack([doc[copies], tag[copies].astype(np.int64), at[copies], at[copies] + size[copies]], axis=1)]
+    gone = [np.stack([doc[copies], tag[copies], at[copies], at[copies] + size[copies]], axis=1)]
     # two equal strings share their minimiser and what is next to it, on the left or on the right, at the place where it
     # stands first in them, which may be any of its places in their runs; a run that shares none of these needs no sorting
     inside = np.zeros(len(start), bool)
@@ -131,35 +136,32 @@ def _settle_part(k, own, left, right, doc, tag, at, start, size, text: bytes) ->
     s, n = start[k], size[k].astype(np.int64)
     first = np.cumsum(n + 1) - n - 1
     # symbols: byte + 2; 1 between strings, 0 at the end
-    t = np.ones(int(n.sum()) + len(n) + 1, np.uint16)
-    inside = np.ones(len(t), bool)
-    inside[first + n] = inside[-1] = False
-    joined = b"".join([text[i : i + m] for i, m in zip(s.tolist(), n.tolist(), strict=True)])
-    t[inside] = np.frombuffer(joined, np.uint8).astype(np.uint16) + 2
+    t, valid = room(int(n.sum()) + len(n) + 1, np.uint16, MEMORY, 1), room(int(n.sum()) + len(n) + 1, bool, MEMORY, False)
     t[-1] = 0
-    edge = np.zeros(len(t), np.int8)
-    edge[first] += 1
-    edge[first + n - LENGTH + 1] -= 1
-    valid = np.cumsum(edge, dtype=np.int8) > 0
-    del inside, edge, joined
-    raw = t.tobytes()
+    for o in np.split(np.arange(len(k)), np.flatnonzero(np.diff(first // BLOCK)) + 1):
+        i, j = int(first[o[0]]), int(first[o[-1]] + n[o[-1]] + 1)
+        joined = b"\0".join([text[x : x + m] for x, m in zip(s[o].tolist(), n[o].tolist(), strict=True)])
+        part = np.frombuffer(joined, np.uint8).astype(np.uint16) + 2
+        part[(first[o[1:]] - 1 - i)] = 1
+        t[i : j - 1] = part
+        edge = np.zeros(j - i, np.int8)
+        edge[first[o] - i] += 1
+        edge[first[o] - i + n[o] - LENGTH + 1] -= 1
+        valid[i:j] = np.cumsum(edge, dtype=np.int8) > 0
     for rows in equal_groups(t, LENGTH, valid):
         if not len(rows):
             continue
-        exact = [raw[2 * p : 2 * p + 2 * LENGTH] == raw[2 * q : 2 * q + 2 * LENGTH] for p, q in rows.tolist()]
-        if not all(exact):
-            raise ValueError("a slice hash took unequal strings for equal")
         p = np.sort(rows[:, 0])
         o = np.searchsorted(first, p, side="right") - 1
         i = np.flatnonzero(np.append(True, (o[1:] != o[:-1]) | (p[1:] != p[:-1] + 1)))
         j = np.append(i[1:], len(p)) - 1
         own, begin = k[o[i]], at[k[o[i]]] - first[o[i]]
-        gone.append(np.stack([doc[own], tag[own].astype(np.int64), begin + p[i], begin + p[j] + LENGTH], axis=1))
+        gone.append(np.stack([doc[own], tag[own], begin + p[i], begin + p[j] + LENGTH], axis=1))
     return np.concatenate(gone)
 
 
 def covered(rows: DataFrame) -> DataFrame:
-    return find_covered(rows, byte_runs, settle, same_doc_counts=True, reach=LENGTH, bucket_bytes=BUCKET_BYTES)
+    return find_covered(rows, byte_grams, byte_runs, settle, same_doc_counts=True, reach=LENGTH, bucket_bytes=BUCKET_BYTES)
 
 
 def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
@@ -167,8 +169,9 @@ def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
 
     A byte goes if a 100-byte string that covers it also starts earlier: in a document of smaller ``doc_id`` or at an
     earlier place of the same one; strings are those of the input and never cross documents. Null text is empty; texts
-    under 100 bytes stay whole; a null id counts as larger than any other; rows that share an id count as one document,
-    the row of the smaller text hash first. Other columns are ignored; an empty table gives no rows.
+    under 100 bytes stay whole; a null id counts as larger than any other. Rows that share an id (or have none) count as
+    one document, the row of the smaller text hash first; rows that are equal in id and text are the same row and get equal
+    results. Texts may be of any length. Other columns are ignored; an empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,13 +1,19 @@
 """Runs of windows that share a minimiser, packed and sent to buckets; the helpers of both substring deduplications.
 
-A window's minimiser is the least hash of the short grams inside it, so equal windows have equal minimisers and meet
-in one bucket. Consecutive windows mostly share theirs and travel as one string. Tasks drop repeats of a string within
-their batch: only its first owner is sent on, the others are settled at once. So a passage that a third of all documents
-share arrives at its bucket once a batch, not once a document.
+A window's minimiser is the first of the short grams inside it, in an order of hashes in which grams that are frequent
+in the whole table come last. Equal windows have equal minimisers and meet in one bucket; consecutive windows mostly
+share theirs and travel as one string. Frequent grams are found by Misra-Gries counters over all texts. Where a passage
+of many documents meets each one's own words, the windows then go by the own words, not all to the passage's bucket.
+
+Tasks drop repeats of a string within their batch, and repeats of strings with a frequent minimiser within the task: only
+its first owner is sent on, the others are settled at once. So what a third of all documents share arrives at its bucket
+about once a task, not once a document.
 """
 
 from __future__ import annotations
 
+import mmap
+import tempfile
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -17,7 +23,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, n_tasks, text_or_empty
+from .common import bounded_batches, cut, n_tasks, text_or_empty
 
 BASE = 0x9E3779B97F4A7C15
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -28,9 +34,17 @@ MB = 1 << 20
 BATCH_BYTES, BUCKET_BYTES = 3 << 20, 6 << 20
 #: Bytes of packed strings that a task gets at most on average; it handles one bucket after another.
 TASK_BYTES = 256 << 20
+#: Bytes of a bucket's text that are held in memory; more is on disk.
+SHARD_BYTES = 48 << 20
 BLOCK = 1 << 19
 #: Bytes of the grams of byte strings.
 GRAM = 12
+#: A gram is frequent with more than 1/HEAVY of all places, and at least so many. A task counts with so many counters, so
+#: at most 2 * HEAVY grams are named frequent, whatever the table.
+HEAVY, LEAST_PLACES, COUNTERS = 1 << 16, 1024, 1 << 18
+#: Strings with a frequent minimiser that a task remembers; further ones are sent once a batch.
+REMEMBERED = 1 << 16
+TOP = np.uint64(1 << 63)
 
 
 @lru_cache(4)
@@ -114,78 +128,180 @@ def pack(doc: np.ndarray, tag: np.ndarray, at: np.ndarray, strings: list[bytes],
 def unpack(blob: bytes):
     raw = zstandard.ZstdDecompressor().decompress(blob)
     ends = np.cumsum(np.frombuffer(raw, np.int64, 6)) + 48
-    cut = [raw[a:b] for a, b in zip(np.append(48, ends), ends, strict=False)]
-    size = unshuffled(cut[3], np.int32)
-    return unshuffled(cut[0], np.int64), unshuffled(cut[1], np.int16), unshuffled(cut[2], np.int64), size, cut[4], unshuffled(cut[5], np.int64).reshape(-1, 4)
+    part = [raw[a:b] for a, b in zip(np.append(48, ends), ends, strict=False)]
+    size = unshuffled(part[3], np.int32)
+    return unshuffled(part[0], np.int64), unshuffled(part[1], np.int64), unshuffled(part[2], np.int64), size, part[4], unshuffled(part[5], np.int64).reshape(-1, 4)
 
 
-def doc_key() -> dict[str, Column]:
-    """``doc`` and ``tag`` stand for a row in both scans; the tag tells rows apart that share an id."""
+def doc_key(docs: DataFrame) -> dict[str, Column]:
+    """``doc`` and ``tag`` stand for a row in both scans. The tag, a hash of the text, tells rows apart that share an id;
+    it is zero where no id repeats."""
+    again = docs.groupBy(F.col("doc_id").cast("long").alias("d")).count().filter("count > 1").limit(1).count()
     return {
         "doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NO_ID))),
-        "tag": F.pmod(F.xxhash64("text"), F.lit(1 << 15)).cast("short"),
+        "tag": F.xxhash64("text") if again else F.lit(0).cast("long"),
     }
 
 
+def demoted(h: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """Hashes of grams, changed so that those of ``frequent`` (sorted) come after all others."""
+    out = h >> np.uint64(1)
+    if len(frequent):
+        flags = np.zeros(1 << 20, bool)
+        flags[frequent >> np.uint64(44)] = True
+        at = np.flatnonzero(flags[h >> np.uint64(44)])
+        k = np.minimum(np.searchsorted(frequent, h[at]), len(frequent) - 1)
+        out[at[frequent[k] == h[at]]] |= TOP
+    return out
+
+
+class Counters:
+    """Misra-Gries: counts of hashes, each too low by at most ``seen / most``."""
+
+    def __init__(self, most: int):
+        self.most, self.seen = most, 0
+        self.key, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def add(self, h: np.ndarray) -> None:
+        self.seen += len(h)
+        key, n = np.unique(h, return_counts=True)
+        both = np.concatenate([self.key, key])
+        self.key, where = np.unique(both, return_inverse=True)
+        self.n = np.bincount(where, np.concatenate([self.n, n]), len(self.key)).astype(np.int64)
+        if len(self.n) > self.most:
+            # taking the same from most + 1 counters at once is so many single steps of the method
+            self.n -= np.partition(self.n, -self.most - 1)[-self.most - 1]
+            self.key, self.n = self.key[self.n > 0], self.n[self.n > 0]
+
+
+def held_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """Rows (their last column a text) in lists of about ``BATCH_BYTES``."""
+    held, size = [], 0
+    for b in batches:
+        for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            held.append(row)
+            size += len(row[-1])
+            if size >= BATCH_BYTES:
+                yield held
+                held, size = [], 0
+    yield held
+
+
+def frequent_grams(docs: DataFrame, grams: Callable[[list[bytes]], np.ndarray], heavy: int, least: int, counters: int) -> np.ndarray:
+    """Sorted hashes of the frequent grams among all of ``docs``: every one with more than 1/``heavy`` of all places (and
+    ``least``), none with fewer than half of that."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = Counters(counters)
+        for rows in held_texts(batches):
+            c.add(grams([r[0] for r in rows]))
+        some = c.n > c.seen // counters  # costs each count as much again
+        key = pa.array([*c.key[some].view(np.int64).tolist(), None], pa.int64())
+        yield pa.RecordBatch.from_arrays([key, pa.array([*c.n[some].tolist(), c.seen], pa.int64())], ["key", "n"])
+
+    counts = cut(docs.select("text").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")))
+    seen = counts.filter("key is null").first()
+    bound = max(seen["n"] / heavy, least) if seen else 0
+    rows = counts.filter(F.col("key").isNotNull() & (F.col("n") > bound - 2 * seen["n"] / counters)).collect() if seen else []  # fewer than 2 * heavy
+    return np.sort(np.array([r["key"] for r in rows], np.int64).view(np.uint64))
+
+
+class Shard:
+    """The strings of one bucket, unpacked as they come: owners and places in memory, text in a temporary file if it is large."""
+
+    def __init__(self):
+        self.columns, self.parts, self.inside, self.file = ([], [], [], []), [], 0, None
+
+    def add(self, blob: bytes) -> np.ndarray:
+        """Take in a blob; the rows that it brings settled."""
+        *columns, text, gone = unpack(blob)
+        for have, x in zip(self.columns, columns, strict=True):
+            have.append(x)
+        self.parts.append(text)
+        self.inside += len(text)
+        if self.inside > SHARD_BYTES:
+            self.file = self.file or tempfile.TemporaryFile(prefix="shard-")
+            self.file.write(b"".join(self.parts))
+            self.parts, self.inside = [], 0
+        return gone
+
+    def text(self) -> bytes | mmap.mmap:
+        if self.file is None:
+            return b"".join(self.parts)
+        self.file.write(b"".join(self.parts))
+        self.file.flush()
+        return mmap.mmap(self.file.fileno(), 0, access=mmap.ACCESS_READ)
+
+
 Runs = tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
 def find_covered(
     docs: DataFrame,
-    runs: Callable[[list[bytes]], Runs],
-    settle: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes], np.ndarray],
+    grams: Callable[[list[bytes]], np.ndarray],
+    runs: Callable[[list[bytes], np.ndarray], Runs],
+    settle: Callable[..., np.ndarray],
     same_doc_counts: bool,
     reach: int,
     bucket_bytes: int = BUCKET_BYTES,
 ) -> DataFrame:
     """``doc, tag, spans``: what is covered in each row of ``docs`` (doc, tag, text as bytes).
 
-    ``runs(texts)`` gives a byte string and, for each run of windows in it, the text's number, first place, last place
-    (of windows), and byte range, with its minimiser. ``settle(doc, tag, at, start, size, text)`` gets a bucket's strings,
-    earliest owner first, and gives rows (doc, tag, start, end) of what an earlier owner has too. ``same_doc_counts``: whether an earlier place in the same document counts as earlier.
+    ``grams(texts)`` gives the hashes of all grams. ``runs(texts, frequent)`` gives a byte string and, for each run of
+    windows in it, the text's number, first place, last place (of windows), and byte range, with its minimiser.
+    ``settle(doc, tag, at, start, size, text, frequent)`` gets a bucket's strings, earliest owner first, and gives rows
+    (doc, tag, start, end) of what an earlier owner has too. ``same_doc_counts``: whether an earlier place in the same
+    document counts as earlier. Rows of equal ``doc`` and ``tag`` are one.
     """
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = n_tasks(spark, 3 * total, TASK_BYTES)
     buckets = max(parts * max(1, 32 * MB // bucket_bytes), 3 * total // bucket_bytes)
     bounded_batches(spark)
+    frequent = frequent_grams(docs, grams, HEAVY, LEAST_PLACES, COUNTERS)
+    remembered = REMEMBERED
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, bytes]] = []
-        size = 0
-        for b in batches:
-            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                held.append(row)
-                size += len(row[2])
-                if size >= BATCH_BYTES:
-                    yield from emit(held)
-                    held, size = [], 0
-        yield from emit(held)
-
-    def emit(held: list[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, tuple[int, int, int]] = {}
+        for rows in held_texts(batches):
+            yield from emit(list({r[:2]: r for r in rows}.values()), known)
+
+    def emit(held: list[tuple[int, int, bytes]], known: dict[bytes, tuple[int, int, int]]) -> Iterator[pa.RecordBatch]:
         held.sort(key=lambda r: (r[0], r[1]))
-        big, text, first, last, (start, end), least = runs([r[2] for r in held])
+        big, text, first, last, (start, end), least = runs([r[2] for r in held], frequent)
         if not len(text):
             return
-        seen: dict[bytes, tuple[int, int]] = {}
+        seen: dict[bytes, tuple[int, int, int]] = {}
         keep, strings, gone = [], [], []
-        for k, (t, a, b, s, e) in enumerate(zip(text.tolist(), first.tolist(), last.tolist(), start.tolist(), end.tolist(), strict=True)):
-            x = big[s:e]
+        often = least >= TOP
+        for k, (t, a, b, s, e, o) in enumerate(zip(*(x.tolist() for x in (text, first, last, start, end, often)), strict=True)):
+            x, me = big[s:e], (*held[t][:2], a)
             owner = seen.get(x)
+            if o and owner is None:
+                owner = known.get(x)
+                if owner is not None and owner > me:  # one that comes earlier still is sent too
+                    owner = None
             if owner is None:
-                seen[x] = held[t][:2]
-            elif same_doc_counts or owner[0] < held[t][0]:
-                gone.append((*held[t][:2], a, b + reach))
+                seen[x] = me
+                if o and (x in known or len(known) < remembered):
+                    known[x] = me
+            elif owner == me:
+                continue
+            elif same_doc_counts or owner[0] < me[0]:
+                gone.append((*me[:2], a, b + reach))
                 continue
             keep.append(k)
             strings.append(x)
-        idx = np.array(keep)
+        idx = np.array(keep, np.int64)
         doc = np.array([r[0] for r in held], np.int64)[text[idx]]
-        tag = np.array([r[1] for r in held], np.int16)[text[idx]]
+        tag = np.array([r[1] for r in held], np.int64)[text[idx]]
         at, bucket = first[idx].astype(np.int64), (least[idx] % np.uint64(buckets)).astype(np.int32)
         order = np.argsort(bucket, kind="stable")
         cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
         settled = np.array(gone, np.int64).reshape(-1, 4)
+        if not len(cuts):
+            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([pack(doc, tag, at, [], settled)], pa.binary())], ["bucket", "blob"])
+            return
         share = np.array_split(settled, len(cuts))
         ids, blobs = [], []
         for part, (i, j) in enumerate(zip(cuts, np.append(cuts[1:], len(order)), strict=True)):
@@ -195,42 +311,43 @@ def find_covered(
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
     def receive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
+        now, shard = None, Shard()
         for b in batches:
-            for bucket, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if bucket != now and held:
-                    yield from answer(held)
-                    held = []
+            for bucket, blob in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                if bucket != now and now is not None:
+                    yield from answer(shard)
+                    shard = Shard()
                 now = bucket
-                held.append(blob)
-        if held:
-            yield from answer(held)
-
-    def answer(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
-        got = [unpack(b) for b in blobs]
-        blobs.clear()
-        doc, tag, at, size = (np.concatenate([g[k] for g in got]) for k in range(4))
-        text, gone = b"".join(g[4] for g in got), [g[5] for g in got]
-        del got
-        # earliest owner first
+                yield from spans_of(shard.add(blob.as_py()))
+        if now is not None:
+            yield from answer(shard)
+
+    def answer(shard: Shard) -> Iterator[pa.RecordBatch]:
+        doc, tag, at, size = (np.concatenate(x) for x in shard.columns)
+        if not len(doc):
+            return
+        # earliest owner first, each once
         start = np.cumsum(size, dtype=np.int64) - size
         order = np.lexsort((at, tag, doc))
-        gone.append(settle(doc[order], tag[order], at[order], start[order], size[order], text))
-        rows = np.concatenate(gone)
+        d, g, a = doc[order], tag[order], at[order]
+        order = order[np.append(True, (d[1:] != d[:-1]) | (g[1:] != g[:-1]) | (a[1:] != a[:-1]))]
+        yield from spans_of(settle(doc[order], tag[order], at[order], start[order], size[order], shard.text(), frequent))
+
+    def spans_of(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
         for k in range(0, len(rows), 1 << 16):
             r = rows[k : k + (1 << 16)]
             # a span is one number: start, then end, of 32 bits each
-            yield pa.RecordBatch.from_arrays([pa.array(r[:, 0]), pa.array(r[:, 1].astype(np.int16)), pa.array((r[:, 2] << 32) | r[:, 3])], ["doc", "tag", "span"])
+            yield pa.RecordBatch.from_arrays([pa.array(r[:, 0]), pa.array(r[:, 1]), pa.array((r[:, 2] << 32) | r[:, 3])], ["doc", "tag", "span"])
 
     sent = docs.select("doc", "tag", "text").mapInArrow(send, "bucket int, blob binary")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
-    rows = sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(receive, "doc long, tag short, span long")
-    return rows.groupBy("doc", "tag").agg(F.collect_list("span").alias("spans"))
+    rows = sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(receive, "doc long, tag long, span long")
+    return rows.groupBy("doc", "tag").agg(F.collect_set("span").alias("spans"))
 
 
 def with_spans(docs: DataFrame, find: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``doc_id, text`` (compressed bytes, see :func:`unpacked`) of each row of ``docs`` with the ``spans`` that ``find`` covers, null for none."""
-    rows = docs.select("doc_id", text_or_empty("text").alias("text")).withColumns(doc_key()).withColumn("text", F.col("text").cast("binary"))
+    rows = docs.select("doc_id", text_or_empty("text").alias("text")).withColumns(doc_key(docs)).withColumn("text", F.col("text").cast("binary"))
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=3)
@@ -238,7 +355,7 @@ def with_spans(docs: DataFrame, find: Callable[[DataFrame], DataFrame]) -> DataF
             yield b.set_column(3, "text", pa.array([z.compress(x.as_py()) for x in b.column(3)], pa.binary()))
 
     spans = find(rows).hint("shuffle_hash")
-    texts = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "doc", "tag", "text").mapInArrow(packed, "doc_id long, doc long, tag short, text binary")
+    texts = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "doc", "tag", "text").mapInArrow(packed, "doc_id long, doc long, tag long, text binary")
     return texts.join(spans, ["doc", "tag"], "left").select("doc_id", "text", "spans")
 
 

@@ -10,29 +10,42 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .superkmers import BLOCK, NONE, Hashes, find_covered, mask, sliding_min, unpacked, with_spans
+from .superkmers import BLOCK, NONE, Hashes, demoted, find_covered, mask, sliding_min, unpacked, with_spans
 
 WINDOW, GRAM = 13, 3
 
 
-def word_runs(texts: list[bytes]):
-    """Runs of consecutive windows with one minimiser, over texts of words joined by one space."""
+def _grams(texts: list[bytes], size: int):
+    """The texts of at least ``size`` words: their numbers, all words joined, for each word its text, place, start and end
+    in that, and the hash of each gram (in which of them two texts meet)."""
     split = [t.split() for t in texts]  # bytes: at \\x20 and \\x09-\\x0D only
-    used = [k for k, w in enumerate(split) if len(w) >= WINDOW]
+    used = [k for k, w in enumerate(split) if len(w) >= size]
     big = b"\n".join(b" ".join(split[k]) for k in used)
     counts = np.array([len(split[k]) for k in used], np.int64)
-    if not len(used):
-        none = np.zeros(0, np.int64)
-        return b"", none, none, none, (none, none), none.astype(np.uint64)
-    text = np.repeat(np.array(used), counts)
+    text = np.repeat(np.array(used, np.int64), counts)
     place = np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts)
     a = np.frombuffer(big, np.uint8)
     gaps = np.flatnonzero((a == 32) | (a == 10))
-    starts, ends = np.append(0, gaps + 1), np.append(gaps, len(a))
-    h = Hashes(a)
-    g = len(starts) - GRAM + 1
-    gram = h.of(starts[:g], ends[GRAM - 1 :])
-    gram[text[:g] != text[GRAM - 1 :]] = NONE
+    starts, ends = np.append(0, gaps + 1)[: len(text)], np.append(gaps, len(a))[: len(text)]
+    g = max(len(text) - GRAM + 1, 0)
+    gram = Hashes(a).of(starts[:g], ends[len(ends) - g :])
+    return big, text, place, starts, ends, gram, text[:g] != text[len(text) - g :]
+
+
+def word_grams(texts: list[bytes]) -> np.ndarray:
+    """Hashes of the three-word grams that are in a window."""
+    *_, gram, torn = _grams(texts, WINDOW)
+    return gram[~torn]
+
+
+def word_runs(texts: list[bytes], frequent: np.ndarray):
+    """Runs of consecutive windows with one minimiser, over texts of words joined by one space."""
+    big, text, place, starts, ends, gram, torn = _grams(texts, WINDOW)
+    if not len(text):
+        none = np.zeros(0, np.int64)
+        return b"", none, none, none, (none, none), none.astype(np.uint64)
+    gram = demoted(gram, frequent)
+    gram[torn] = NONE
     n = len(starts) - WINDOW + 1
     least = sliding_min(gram, WINDOW - GRAM + 1)[:n]
     ok = text[:n] == text[WINDOW - 1 :]
@@ -62,7 +75,7 @@ def _windows(text: bytes, start: np.ndarray, size: np.ndarray, own: np.ndarray):
     return Hashes(a).of(s, e), s + base, e + base, own[which[win]], word[win]
 
 
-def settle(doc, tag, at, start, size, text: bytes) -> np.ndarray:
+def settle(doc, tag, at, start, size, text: bytes, frequent: np.ndarray) -> np.ndarray:
     """Spans of words in windows that a smaller document has too. Sorting by hash brings equal windows together; their
     words are compared before they count as equal."""
     order = np.argsort(start)
@@ -94,19 +107,20 @@ def settle(doc, tag, at, start, size, text: bytes) -> np.ndarray:
         return np.zeros((0, 4), np.int64)
     i = np.flatnonzero(np.append(True, (own[1:] != own[:-1]) | (begin[1:] > begin[:-1] + 1)))
     j = np.append(i[1:], len(own)) - 1
-    return np.stack([doc[own[i]], tag[own[i]].astype(np.int64), begin[i], begin[j] + WINDOW], axis=1)
+    return np.stack([doc[own[i]], tag[own[i]], begin[i], begin[j] + WINDOW], axis=1)
 
 
 def covered(rows: DataFrame) -> DataFrame:
-    return find_covered(rows, word_runs, settle, same_doc_counts=False, reach=WINDOW)
+    return find_covered(rows, word_grams, word_runs, settle, same_doc_counts=False, reach=WINDOW)
 
 
 def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_sha256`` and, if asked for, ``kept`` (the text that is left).
 
     A word goes if a window of 13 words that covers it also starts in a document of smaller ``doc_id``; windows are those
-    of the input. Null text has no words; texts under 13 words keep all; a null id counts as larger than any other, rows
-    that share an id don't count against each other. Other columns are ignored; an empty table gives no rows.
+    of the input. Null text has no words; texts under 13 words keep all; a null id counts as larger than any other; rows
+    that share an id (or have none) are one document and don't count against each other; repeated rows get equal
+    results. Texts and words may be of any length. Other columns are ignored; an empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,6 +2,8 @@
 
 import hashlib
 import random
+import subprocess
+import sys
 
 import numpy as np
 import pytest
@@ -14,6 +16,7 @@ from hearken.llm import byte_windows, exact_dedup, simhash, suffix_sort, superkm
 from hearken.llm import components as components_module
 from hearken.llm.components import components
 
+NONE = np.zeros(0, np.uint64)
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, sha string, _row long"
 
 
@@ -108,11 +111,11 @@ def test_repeated_minimiser_against_single_one():
         rng = random.Random(seed)
         p1, p2, line, rest = ("".join(rng.choices("abcdefghij ", k=n)).encode() for n in (150, 150, 60, 90))
         texts = [p1 + line + line + rest, p2 + line + rest]
-        big, text, first, _, (begin, end), _ = byte_windows.byte_runs(texts)
+        big, text, first, _, (begin, end), _ = byte_windows.byte_runs(texts, NONE)
         strings = [big[i:j] for i, j in zip(begin.tolist(), end.tolist(), strict=True)]
         size = (end - begin).astype(np.int32)
         start = np.cumsum(size, dtype=np.int64) - size
-        spans = byte_windows.settle(text.astype(np.int64), np.zeros(len(text), np.int16), first.astype(np.int64), start, size, b"".join(strings))
+        spans = byte_windows.settle(text.astype(np.int64), np.zeros(len(text), np.int64), first.astype(np.int64), start, size, b"".join(strings), NONE)
         got = [np.zeros(len(t), bool) for t in texts]
         for doc, _, i, j in spans.tolist():
             got[doc][i:j] = True
@@ -135,6 +138,114 @@ def test_rows_that_share_an_id(spark):
     assert got == [0, 0, 0]
 
 
+@pytest.mark.parametrize("op, brute", [(byte_windows.dedup, brute_bytes), (word_windows.dedup, brute_words)])
+@pytest.mark.parametrize("back", [False, True])
+def test_repeated_rows(spark, op, brute, back):
+    """Rows repeated with id and text, ids shared by different texts, null ids: equal rows are one, equal ids one document."""
+    rnd = random.Random(3)
+    rows = sorted(corpus(5), key=lambda r: r[0])[:40]
+    rows += rnd.choices(rows, k=15) + [(rnd.randrange(40), t) for _, t in rnd.choices(rows, k=12)]
+    rows += [(None, t) for _, t in rnd.choices(rows, k=6)] * 3 + [(-3, "q" * 250)] * 3
+    rows = rows[::-1] if back else rows
+    tag = lambda t: np.uint64(xxhash.xxh64_intdigest((t or "").encode(), 42)).astype(np.int64)
+    order = sorted({(d is None, d or 0, tag(t), t or "") for d, t in rows})
+    if op is byte_windows.dedup:
+        want = brute([(n, t) for n, (*_, t) in enumerate(order)])
+        want = {order[n]: w for n, w in want.items()}
+        got = sorted((r.doc_id is None, r.doc_id or 0, *r[1:]) for r in op(docs(spark, rows).repartition(5, F.rand(1))).collect())
+        assert got == sorted((d is None, d or 0, *want[d is None, d or 0, tag(t), t or ""]) for d, t in rows)
+    else:
+        first = {}
+        for null, d, _, t in order:
+            w = t.split()
+            for i in range(len(w) - 12):
+                first.setdefault(tuple(w[i : i + 13]), (null, d))
+        got = sorted((r.doc_id is None, r.doc_id or 0, r.n_words, r.n_removed) for r in op(docs(spark, rows)).collect())
+        want = []
+        for d, t in rows:
+            w = (t or "").split()
+            m = [any(first[tuple(w[i : i + 13])] < (d is None, d or 0) for i in range(max(0, j - 12), min(j, len(w) - 13) + 1)) for j in range(len(w))]
+            want.append((d is None, d or 0, len(w), sum(m)))
+        assert got == sorted(want)
+
+
+@pytest.mark.parametrize("op, brute", [(byte_windows.dedup, brute_bytes), (word_windows.dedup, brute_words)])
+def test_frequent_grams_and_shards_on_disk(spark, monkeypatch, op, brute):
+    """A passage of many documents between their own words, with nearly every gram frequent and shards that don't fit."""
+    monkeypatch.setattr(superkmers, "HEAVY", 200)
+    monkeypatch.setattr(superkmers, "LEAST_PLACES", 20)
+    monkeypatch.setattr(superkmers, "COUNTERS", 800)
+    monkeypatch.setattr(superkmers, "REMEMBERED", 3)
+    monkeypatch.setattr(superkmers, "BATCH_BYTES", 900)
+    monkeypatch.setattr(superkmers, "SHARD_BYTES", 500)
+    rnd = random.Random(8)
+    text = lambda n: " ".join("".join(rnd.choices("abcdefgh", k=rnd.randrange(1, 9))) for _ in range(n))
+    hot, line = text(30), text(9)
+    rows = [(d, f"{text(rnd.randrange(9))} {hot if d % 3 == 0 else line} {text(rnd.randrange(25))}") for d in range(90)]
+    rows += [(100 + d, hot) for d in range(20)]
+    rnd.shuffle(rows)
+    d = docs(spark, rows).repartition(3)
+    keyed = d.select(F.col("text").cast("binary").alias("text"))
+    grams = byte_windows.byte_grams if op is byte_windows.dedup else word_windows.word_grams
+    assert len(superkmers.frequent_grams(keyed, grams, 200, 20, 800)) > 20
+    got = {r.doc_id: tuple(r)[1:] for r in op(d).collect()}
+    assert got == brute(rows)
+
+
+def test_counters_name_all_that_is_frequent():
+    rng = np.random.default_rng(1)
+    c, every = superkmers.Counters(50), []
+    for _ in range(40):
+        h = np.concatenate([rng.integers(0, 1 << 60, 300), rng.integers(0, 9, 100)]).astype(np.uint64)
+        every.append(h)
+        c.add(h)
+    key, n = np.unique(np.concatenate(every), return_counts=True)
+    have = dict(zip(c.key.tolist(), c.n.tolist(), strict=True))
+    assert c.seen == 16000 and len(have) <= 50
+    assert all(k - c.seen / 50 <= have.get(x, 0) <= k for x, k in zip(key.tolist(), n.tolist(), strict=True))
+    h = rng.integers(0, 1 << 63, 1000).astype(np.uint64)
+    low = superkmers.demoted(h, np.sort(h[::7]))
+    assert (np.flatnonzero(low >= superkmers.TOP) == np.arange(0, 1000, 7)).all()
+
+
+OUTER = """
+import sys
+import numpy as np
+from hearken.llm import suffix_sort
+suffix_sort.CHUNK = 1 << 14
+status = lambda: int(next(x for x in open("/proc/self/status") if x.startswith("RssAnon")).split()[1])
+rng = np.random.default_rng(2)
+base = rng.integers(0, 3, 40_000).astype(np.uint16) + 2
+memory, copies = int(sys.argv[1]), 24
+t = suffix_sort.on_disk(copies * 40_001 + 1, np.uint16)
+valid = suffix_sort.on_disk(len(t), bool)
+valid[:] = False
+for k in range(copies):
+    x = base.copy()
+    x[rng.integers(0, 40_000, 20)] = 2
+    t[k * 40_001 : k * 40_001 + 40_000] = x
+    t[k * 40_001 + 40_000] = 1
+    valid[k * 40_001 : k * 40_001 + 40_000 - 99] = True
+t[-1] = 0
+before, most, found, total = status(), 0, 0, 0
+for rows in suffix_sort.equal_groups(t, 100, valid, memory, 1 << 12):
+    most, found, total = max(most, status() - before), found + len(rows), total + int((rows[:, 0] ^ rows[:, 1]).sum())
+raw, first, n, s = t.tobytes(), {}, 0, 0
+for i in np.flatnonzero(valid).tolist():
+    j = first.setdefault(raw[2 * i : 2 * i + 200], i)
+    n, s = n + (i != j), s + (i ^ j if i != j else 0)
+assert (found, total) == (n, s), (found, n)
+print(most)
+"""
+
+
+def test_a_shard_larger_than_memory():
+    """About a million suffixes with room for 2 ** 16 entries an array: anonymous memory stays far below that of the arrays."""
+    run = lambda memory: int(subprocess.run([sys.executable, "-c", OUTER, str(memory)], capture_output=True, text=True, check=True).stdout)
+    outer, inner = run(1 << 16), run(1 << 24)
+    assert outer < 40_000 and outer < inner / 3, (outer, inner)
+
+
 @pytest.mark.parametrize("memory, small, chunk", [(5, 2, 3), (50, 8, 7), (10**6, 10**6, 1000)])
 def test_suffix_sorting_on_disk_and_in_recursion(memory, small, chunk, monkeypatch):
     monkeypatch.setattr(suffix_sort, "CHUNK", chunk)
