@@ -94,7 +94,7 @@ class Model:
             raise ValueError("pieces that span words are not supported")
         self.pairs: dict[tuple[str, str], bool] = {}
         # pieces that merging their own characters gives; others never come up
-        self.whole = {p for p in self.ids if len(p) == 1 or self.merges([*p]) == [p]} if self.bpe else set(self.ids)
+        self.whole = {p: p for p in self.ids if not self.bpe or len(p) == 1 or self.merges([*p]) == [p]}
         self.words = self._word_pattern()
         self.id_bytes = {p: array("i", [i]).tobytes() for p, i in self.ids.items()}
         # by their last two characters, the length of the longest of them
@@ -141,12 +141,12 @@ class Model:
 
     def apart(self, key: tuple[str, str]) -> bool:
         """BPE: whether two pieces next to each other stay two."""
-        if len(self.pairs) > 1 << 20:
+        if len(self.pairs) > 1 << 19:
             self.pairs.clear()
         found = self.pairs[key] = self.merges([*key[0], *key[1]]) == [*key]
         return found
 
-    def best_piece(self, word: str, score: list[float], k: int) -> tuple[int, float]:
+    def best_piece(self, word: str, score: array, k: int) -> tuple[int, float]:
         """Unigram: where the last piece of the best split of ``word[:k]`` starts, and that split's score."""
         at, best = k - 1, score[k - 1] + self.score.get(word[k - 1], self.unknown_score)
         for i in range(max(0, k - self.longest), k - 1):
@@ -160,16 +160,17 @@ class Model:
 
     def encode_words(self, words: list[str]) -> dict[str, bytes]:
         """Ids (as bytes of 32-bit integers) of distinct words. Sorted, they stand in the depth-first order of their trie:
-        the forward states of the prefix that a word shares with the one before it are kept, with their ids."""
+        the forward states of the prefix that a word shares with the one before it are kept. A state is where the prefix's
+        last piece begins, so memory is linear in the longest word; ids are read off once, from the end of a word."""
         out, before = {}, ""
-        # by length of prefix: its last piece, the ids of its encoding and, for unigram models, its score
-        last, made, score = [""], [b""], [0.0]
-        bpe, whole, pairs, reach, made_of = self.bpe, self.whole, self.pairs, self.reach, self.id_bytes
+        # by length of prefix: its last piece, where that begins and, for unigram models, the score of the best split
+        last, back, score = [""], array("q", [0]), array("d", [0.0])
+        bpe, whole, pairs, reach, ids_of = self.bpe, self.whole, self.pairs, self.reach, self.id_bytes
         for w in sorted(words):
             same, most = 0, min(len(w), len(before))
             while same < most and w[same] == before[same]:
                 same += 1
-            del last[same + 1 :], made[same + 1 :]
+            del last[same + 1 :], back[same + 1 :]
             if not bpe:
                 del score[same + 1 :]
             for k in range(same + 1, len(w) + 1):
@@ -177,8 +178,8 @@ class Model:
                 piece = w[at]
                 if bpe:
                     for i in range(max(0, k - reach.get(w[k - 2 : k], 1)), k - 1):
-                        longer = w[i:k]
-                        if longer in whole:
+                        longer = whole.get(w[i:k])
+                        if longer is not None:
                             key = (last[i], longer)
                             if i == 0 or (pairs[key] if key in pairs else self.apart(key)):
                                 at, piece = i, longer
@@ -186,10 +187,16 @@ class Model:
                 else:
                     at, best = self.best_piece(w, score, k)
                     piece = w[at:k]
+                    piece = whole.get(piece, piece)
                     score.append(best)
                 last.append(piece)
-                made.append(made[at] + (made_of.get(piece) or self.unknown_bytes(piece)))
-            ids = made[-1]
+                back.append(at)
+            parts, k = [], len(w)
+            while k:
+                piece = last[k]
+                parts.append(ids_of.get(piece) or self.unknown_bytes(piece))
+                k = back[k]
+            ids = b"".join(reversed(parts))
             if not bpe and not self.byte_ids:  # runs of unknown characters are one unknown
                 x = np.frombuffer(ids, np.int32)
                 ids = x[np.append(True, (x[1:] != x[:-1]) | (x[1:] != self.unknown))].tobytes()
@@ -255,7 +262,8 @@ def _model_name(spark, model_path: str) -> str:
 def encode(docs: DataFrame, model_path: str = DEFAULT_MODEL, columns: list[str] | None = None) -> DataFrame:
     """``docs`` with ``ids`` (array<int>), ``n_ids`` and ``decoded`` (the text that the ids give back).
 
-    Null text counts as empty; an empty text has no ids. Columns of ``docs`` named ``ids``, ``n_ids`` or ``decoded``
+    Null text counts as empty; an empty text has no ids. Texts and words may be of any length: memory is linear in the
+    longest word. Columns of ``docs`` named ``ids``, ``n_ids`` or ``decoded``
     are replaced. Rows are handled one by one, so repeated rows give equal ids and an empty table gives no rows.
     ``columns`` names the columns of ``docs`` to carry (default all).
     """

@@ -4,6 +4,8 @@ import gzip
 import hashlib
 import io
 import random
+import subprocess
+import sys
 
 import numpy as np
 import pytest
@@ -188,6 +190,33 @@ def test_words_and_long_texts(pieces):
     assert [x.tolist() for x in own.encode_batch(texts)] == sp.encode(texts)
 
 
+LONG = """
+import random, resource, sys, time
+import sentencepiece
+from hearken.llm import sentencepiece_codec as codec
+own = codec.Codec(open(codec.DEFAULT_MODEL, "rb").read())
+rnd = random.Random(0)
+text = "".join(rnd.choices("etaoinshrdluéüç日", k=1_000_000))
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+ids = own.encode_batch([text, text[:700_000] + "x"])
+used = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before
+sp = sentencepiece.SentencePieceProcessor(model_file=codec.DEFAULT_MODEL)
+for t, x in zip((text, text[:700_000] + "x"), ids):
+    for k in range(3):  # the library on a part takes long enough; merges don't reach far
+        part = t[k * 200_000 : k * 200_000 + 20_000]
+        assert own.encode_batch([part])[0].tolist() == sp.encode(part)
+    assert own.model.decode(x.tolist()) == t
+print(used)
+"""
+
+
+def test_a_million_letters_in_a_row():
+    """Memory is linear in the length of a word."""
+    out = subprocess.run([sys.executable, "-c", LONG], capture_output=True, text=True)
+    assert out.returncode == 0, out.stderr
+    assert int(out.stdout) < 300_000
+
+
 def test_unigram_viterbi():
     """A tiny unigram model: the best split is that of all splits."""
     scores = {"a": -3.0, "b": -3.1, "ab": -4.0, "ba": -3.9, "aba": -6.5, "▁": -2.0, "▁a": -4.1, "▁ab": -5.5}
