@@ -39,9 +39,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound what one Arrow batch holds, so that memory of Python workers doesn't grow with the texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+#: Bytes of one Arrow batch.
+ARROW_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound the bytes of one Arrow batch in this session, so that memory of Python workers doesn't grow with the texts. All
+    operators set the same bound, so it doesn't matter which of them was built last."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -242,10 +242,7 @@ def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
             yield work(held, True)[1]
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "65536")
-    out = cut(rows.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(run, "a long, b long"))
-    bounded_batches(spark)
-    return out
+    return cut(rows.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(run, "a long, b long"))
 
 
 def near_groups(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:

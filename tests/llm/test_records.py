@@ -6,6 +6,7 @@ import io
 import random
 import subprocess
 import sys
+import time
 
 import numpy as np
 import pytest
@@ -34,20 +35,106 @@ def page(body, **kw):
         ("<body><div role='navigation'>n</div><p>only text</p><div style='display: none'>h</div><div class='cookie-notice'>c</div>", "only text"),
         ("<article><header><h1>in</h1></header><ul><li>a<li>b</ul><table><tr><td>c<td>d</table></article><header>out</header>", "in\n\na\n\nb\n\nc\n\nd"),
         ("<article><p>one <i>two</i><b> three</b></article>", "one two three"),
+        # readers' articles, teasers, entry headers, names that only look like parts of a page
+        ("<main><p>story</p><article class='comment'>reader says</article></main>", "story"),
+        ("<div><p>The story, told at length.</p></div><article><a href=x>Other story</a></article>", "The story, told at length.\n\nOther story"),
+        ("<main><h1>Title</h1><p>Lead</p><article>teaser</article></main>", "Title\n\nLead\n\nteaser"),
+        ("<article><header class='entry-header'><h1>Title</h1></header><p class='share-price'>up</p></article>", "Title\n\nup"),
+        ("<div class='content with-sidebar'><p>a</p></div><div class='has-nav'>b</div><div class='social-science search-results'>c</div>", "a\n\nb\n\nc"),
+        ("<div class='page-footer'>f</div><div class='commentList'>c</div><div id='AdBox'>ad</div><div class='post-header'><h1>t</h1></div>", "t"),
+        # raw elements and quotes without an end
+        ("<p>a</p><button>b<p>c</p><select><option>d</p><p>e</p>", "a\n\nc\n\ne"),
+        ("<p>a</p><script>b<p>c</p>", "a"), ("<p>a</p><!-- b <p>c</p>", "a"),
+        ('<p>a</p><div class="x>b</div><p>c</p>', "a\n\nb\n\nc"), ("<p>1 < 2 <3 and a<b", "1 < 2 <3 and a<b"), ("<p>x &#99999999999999999999;", "x \ufffd"),
+        ("<article><p>" + "long " * 100 + "</p></article>", ("long " * 100).strip()),
     ],
 )
 def test_main_text(html, text):
     assert page_text.main_text(html or "") == text
 
 
+@pytest.mark.parametrize("unit", ['<a b="x ', "<a b='x>", '<x "', "<div>", "<button>", "<p", "</p>", "<!--", "<![CDATA[", "<!", "&#9", "a=", "<li><p>", "<svg>", "<b>&amp;", "<article class=a><h1>"])
+def test_broken_html_takes_linear_time(unit):
+    start = time.process_time()
+    page_text.main_text(unit * (1_000_000 // len(unit)))
+    assert time.process_time() - start < 8
+    start = time.process_time()
+    page_text.main_text('<a b="x ' * 125_000)
+    assert time.process_time() - start < 2
+
+
+def plain_pages(n):
+    """A host that marks nothing: a link list, a box whose text varies, a fixed notice over 300 letters, a story, a footer that varies."""
+    notice = "This notice stands on every page. " * 12
+    body = lambda i: (
+        f"<div><a href=a>Home</a> <a href=b>News</a></div><div><p>{notice}</p></div>"
+        f"<div><p>Story {i} about thing {i * 7}, told at some length here.</p><p>More {i}: {'word ' * (i % 5 + 9)}</p></div>"
+        + "".join(f"<div><a href={k}>Older story {k}</a></div>" for k in range(i, i + i % 3 + 1))
+    )
+    return [page(body(i)) for i in range(n)]
+
+
 def test_templates_without_semantic_tags(spark):
-    """A host whose pages name nothing: fixed lines and link lists go, what varies stays."""
-    rows = [(i, f"https://Plain.example/{i}", page(f"<div><a href=a>Home</a> <a href=b>News</a></div><div><p>Fixed line of the site</p></div><div><p>Story {i} about thing {i * 7}</p><p>More {i}</p></div>"), None, None) for i in range(12)]
+    """Fixed lines and link lists go, what varies stays; without the template the result is another."""
+    rows = [(i, f"https://Plain.example/{i}", h, None, None) for i, h in enumerate(plain_pages(12))]
     rows += [(99, "https://other.example/", page("<p>Fixed line of the site</p>"), None, None), (100, None, None, None, None), (101, "::bad::", "", None, None)]
+    rows += [(None, "https://under_score.example/", h, None, None) for h in plain_pages(5)] + [(200 + i, "https://copies.example/", page("<p>All the same</p><p>here</p>"), None, None) for i in range(6)]
     got = {r.page_id: r for r in page_text.extract(spark.createDataFrame(rows, PAGES)).collect()}
-    assert got[3].text == "Story 3 about thing 21\n\nMore 3" and got[3].n_chars == len(got[3].text)
-    assert got[99].text == "Fixed line of the site" and got[100].text == got[101].text == "" and len(got) == len(rows)
+    text = lambda i: f"Story {i} about thing {i * 7}, told at some length here.\n\nMore {i}: {('word ' * (i % 5 + 9)).strip()}"
+    for i in range(12):
+        assert got[i].text == text(i) and got[i].n_chars == len(got[i].text)
+    assert page_text.main_text(rows[3][2]) != text(3)
+    assert got[99].text == "Fixed line of the site" and got[100].text == got[101].text == "" and got[203].text == "All the same\n\nhere"
     assert page_text.extract(spark.createDataFrame([], PAGES)).count() == 0
+    assert sorted(r.text for r in page_text.extract(spark.createDataFrame(rows, PAGES)).filter("page_id is null").collect()) == sorted(text(i) for i in range(5))
+
+
+def test_templates_judge_whole_slots(spark, monkeypatch):
+    """An unmarked box that varies lies outside the article; a class of headings inside nests in it; joined by host as well as broadcast."""
+    rows = []
+    for i in range(10):
+        parts = "".join(f"<h2>Part {i}.{k}</h2>" + "".join(f"<p>text {i} and more {x}</p>" for x in range(k + 1 + i % 2)) for k in range(i % 4 + 1))
+        rows.append((i, f"http://h.example/{i}", page(f"<nav><a>n{i}</a></nav><div class=x9>special offer {i}</div><article><h1>T{i}</h1>{parts}</article><div>seen {i} times</div>"), None, None))
+    rows.append((77, "http://h.example/other", page("<p>another kind of page</p>"), None, None))
+    d = spark.createDataFrame(rows, PAGES)
+    for most in (page_text.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(page_text, "BROADCAST_BYTES", most)
+        got = {r.page_id: r.text.split("\n\n") for r in page_text.extract(d).collect()}
+        for i in range(10):
+            want = [f"T{i}"]
+            for k in range(i % 4 + 1):
+                want += [f"Part {i}.{k}", *[f"text {i} and more {x}" for x in range(k + 1 + i % 2)]]
+            assert got[i] == want
+        assert got[77] == ["another kind of page"]
+
+
+def test_classes_equal_plain_deduction(spark):
+    """Occurrence vectors, kept whole, give the same classes; orders and nesting are those of the pages."""
+    rnd = random.Random(1)
+    html = [page("".join(f"<section><h2>s{rnd.randrange(3)}</h2>{'<p>x</p><ul><li>a</li></ul>' * k}</section>" for k in rnd.choices([1, 2, 3], k=rnd.randrange(1, 4))) + "<div><p>end</p></div>") for _ in range(9)]
+    html += html[:2]  # repeated rows
+    pages_ = [page_text.Page(h) for h in html]
+    vectors, want = {}, {}
+    for t in {t for p in pages_ for t in p.tokens}:
+        vectors[t] = tuple(p.tokens.count(t) for p in pages_)
+    for t, v in vectors.items():
+        if sum(x > 0 for x in v) >= 0.6 * len(html):
+            want.setdefault(v, set()).add(t)
+    kind = {t: w for p in pages_ for t, w in p.what.items()}
+    want = {frozenset(c) for c in want.values() if any(kind[t] != "text" for t in c)}
+    d = spark.createDataFrame([(i, "http://h.example/", h, "h", None) for i, h in enumerate(html)], PAGES)
+    got = page_text.token_classes(d.select("host", F.xxhash64("page_id").alias("key"), "html")).collect()
+    assert {frozenset(x["token"] for x in c) for c in got[0].classes} == want and len(got) == 1
+    classes = [tuple(sorted(c)) for c in want]
+    for p in pages_:
+        where, seen = page_text.chains(p, classes)
+        for c, order in seen.items():
+            s = [t for t in p.tokens if t in classes[c]]
+            assert not order or all(tuple(s[k : k + len(order)]) == order for k in range(0, len(s), len(order)))
+        for (at, *_), (own, *gaps) in zip(p.blocks, where, strict=True):
+            open_ = [c for c, order in seen.items() if order and (k := sum(t in order for t in p.tokens[:at]) % len(order)) and k > 0]
+            assert {g >> 32 for g in gaps} == set(open_)
+            assert all(sum(t in seen[g >> 32] for t in p.tokens[:at]) % len(seen[g >> 32]) == (g & 0xFFFFFFFF) + 1 for g in gaps)
 
 
 def test_warc_round_trip(spark):
