@@ -63,6 +63,26 @@ def text_or_empty(c: str) -> Column:
     return F.coalesce(F.col(c).cast("string"), F.lit(""))
 
 
+#: Keys of rows to drop that are broadcast; more meet the table by a shuffle.
+DROPPED = 1 << 19
+
+
+def without(df: DataFrame, losers: DataFrame, keys: dict[str, Column]) -> DataFrame:
+    """The rows of ``df`` whose ``keys`` (expressions by the names of ``losers``' columns) are not among ``losers``.
+
+    Few losers are broadcast and ``df`` isn't shuffled; their number is counted first. Null keys equal null ones."""
+    losers = cut(losers.distinct())
+    few = losers.count() <= DROPPED
+    names = unused(df, *keys)
+    gone = losers.toDF(*[f"{n}_gone" for n in names]) if losers.columns == [*keys] else losers.select(*keys).toDF(*[f"{n}_gone" for n in names])
+    marked = df.withColumns(dict(zip(names, keys.values(), strict=True)))
+    on = None
+    for n in names:
+        same = marked[n].eqNullSafe(gone[f"{n}_gone"])
+        on = same if on is None else on & same
+    return marked.join(F.broadcast(gone) if few else gone, on, "left_anti").select(*[marked[c] for c in df.columns])
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """``names``, each with underscores in front until no column of ``df`` has it."""
     taken, out = {c.lower() for c in df.columns}, []

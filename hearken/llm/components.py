@@ -11,7 +11,7 @@ from .common import cut
 HUBS, LEAST_DEGREE = 4096, 256
 
 
-def _meet_least(rows: DataFrame, n_rows: int, least) -> DataFrame:
+def meet_least(rows: DataFrame, n_rows: int, least) -> DataFrame:
     """``rows`` with ``m``, the least neighbour of their node ``a``.
 
     Nodes with more than ``1 / HUBS`` of all rows are fewer than ``HUBS``: they are broadcast and their rows stay where
@@ -24,15 +24,23 @@ def _meet_least(rows: DataFrame, n_rows: int, least) -> DataFrame:
     return at_hubs.unionByName(others)
 
 
+def join_hubs(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """``rows`` joined with ``table`` (one row a key). Keys with more than ``1 / HUBS`` of all rows are broadcast, the others shuffled."""
+    n = rows.count()
+    hubs = cut(rows.groupBy(key).count().filter(F.col("count") > max(LEAST_DEGREE, n // HUBS)).select(key))
+    at_hubs = rows.join(F.broadcast(table.join(F.broadcast(hubs), key)), key)
+    return at_hubs.unionByName(rows.join(F.broadcast(hubs), key, "left_anti").join(table, key))
+
+
 def _large_star(edges: DataFrame, n: int) -> DataFrame:
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    met = _meet_least(both, 2 * n, F.least(F.col("a"), F.min("b")))
+    met = meet_least(both, 2 * n, F.least(F.col("a"), F.min("b")))
     return met.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
 
 
 def _small_star(edges: DataFrame, n: int) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    moved = _meet_least(down, n, F.min("b")).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    moved = meet_least(down, n, F.min("b")).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(down.groupBy("a").agg(F.min("b").alias("b")))
 
 

@@ -34,10 +34,10 @@ def _ranked(sources: DataFrame) -> DataFrame:
     order = [F.col("source").isNull(), F.col("source")]
     parts = cut(sources.repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id()))
     local = parts.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
-    sizes = parts.groupBy("_p").count()
-    before = sizes.alias("a").join(sizes.alias("b"), F.col("b._p") < F.col("a._p"), "left").groupBy("a._p").agg(
-        F.coalesce(F.sum("b.count"), F.lit(0)).alias("_before")
-    )
+    # one row a partition
+    sizes = parts.groupBy("_p").count().withColumn("_all", F.lit(0))
+    running = Window.partitionBy("_all").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select("_p", F.coalesce(F.sum("count").over(running), F.lit(0)).alias("_before"))
     return local.join(F.broadcast(before), "_p").withColumn("place", F.col("_r") - 1 + F.col("_before")).drop("_p", "_r", "_before")
 
 
@@ -136,8 +136,9 @@ def sized_documents(docs: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_TIMES) -> DataFrame:
     """How often each document enters the mix: ``doc_id, size, source_size, target, taken, times, source``.
 
-    Empty documents have size 0 and take 0 words; null is a source of its own, last in order; repeated rows are
-    documents of their own. Reruns agree: the order within a block is a hash of the document.
+    Empty documents have size 0 and take 0 words; null is a source of its own, last in order; null ids are carried;
+    repeated rows are documents of their own; texts may be of any length; an empty table gives no rows and columns with
+    clashing names are ignored. Reruns agree: the order within a block is a hash of the document.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -172,18 +173,31 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_TI
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The mix itself: every document of ``docs`` as often as :func:`mix` takes it, all columns kept."""
-    cols, (size, times, k) = docs.columns, unused(docs, "_size", "_times", "_k")
-    picked = mix(docs).filter("times > 0").select(F.col("doc_id").alias("p_id"), F.col("source").alias("p_source"), F.col("size").alias("p_size"), "times")
-    # equal rows (same id, source and size) share one entry, so a repeated row isn't multiplied by the join
-    picked = picked.groupBy("p_id", "p_source", "p_size").agg(F.sum("times").alias("sum"), F.count(F.lit(1)).alias("n"))
-    picked = picked.select("p_id", "p_source", "p_size", F.ceil(F.col("sum") / F.col("n")).cast("int").alias(times))
+    """The mix itself: every document of ``docs`` as often as :func:`mix` takes it, all columns kept.
+
+    Rows that agree in id, source and size (repeated rows, for one) share what the mix takes of them: each gets the whole
+    part of it, and as many as are left over one more, so the total is that of the mix. Null ids and sources equal null
+    ones; an empty table stays empty. Texts are shuffled once, to meet their counts."""
+    cols, (size, n, times, k) = docs.columns, unused(docs, "_size", "_n", "_times", "_k")
+    picked = mix(docs).groupBy(F.col("doc_id").alias("p_id"), F.col("source").alias("p_source"), F.col("size").alias("p_size"))
+    picked = cut(picked.agg(F.sum("times").alias("p_sum"), F.count(F.lit(1)).alias("p_n")).filter("p_sum > 0"))
     words = F.size(F.filter(F.split(text_or_empty("text"), WORD_BREAK), lambda w: w != "")).cast("long")
     rows = docs.withColumn(size, words)
-    on = (
-        rows["doc_id"].cast("long").eqNullSafe(picked["p_id"])
-        & rows["source"].cast("string").eqNullSafe(picked["p_source"])
-        & (rows[size] == picked["p_size"])
-    )
-    taken = rows.join(picked.hint("shuffle_hash"), on).select(*[rows[c] for c in cols], picked[times])
-    return taken.withColumn(k, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*cols)
+
+    def met(part: DataFrame) -> DataFrame:
+        on = (
+            rows["doc_id"].cast("long").eqNullSafe(part["p_id"])
+            & rows["source"].cast("string").eqNullSafe(part["p_source"])
+            & (rows[size] == part["p_size"])
+        )
+        return rows.join(part.hint("shuffle_hash"), on)
+
+    taken = met(picked.filter("p_n = 1")).select(*[rows[c] for c in cols], F.col("p_sum").cast("int").alias(times))
+    several = picked.filter("p_n > 1")
+    if several.limit(1).count():
+        # the rows of one entry are numbered over their texts' hashes: which of equal rows comes first makes no difference
+        order = Window.partitionBy("p_id", "p_source", "p_size").orderBy(F.xxhash64(rows["text"].cast("string")))
+        more = met(several).withColumn(n, F.row_number().over(order))
+        share = F.floor(F.col("p_sum") / F.col("p_n")) + (F.col(n) <= F.col("p_sum") % F.col("p_n")).cast("int")
+        taken = taken.unionByName(more.select(*[rows[c] for c in cols], share.cast("int").alias(times)))
+    return taken.filter(F.col(times) > 0).withColumn(k, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*cols)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, cut
-from .components import components
+from .components import components, join_hubs
 
 SEED = 42
 SHINGLE = 3
@@ -27,6 +27,8 @@ DISTANCE = 3
 PARTS, WIDTH = 4, 16
 #: A bucket with more rows than this is split.
 BUCKET = 2048
+#: Keys of full buckets that are broadcast; more meet the rows by a shuffle.
+BROADCAST_KEYS = 1 << 18
 #: Cost of sending one probe, in candidate pairs.
 PROBE_COST = 20.0
 
@@ -202,7 +204,7 @@ def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
         rows = part if rows is None else rows.unionByName(part)
 
     # too full: once more by the pigeonhole over the bits outside the partition
-    full = lambda r: F.broadcast(r.groupBy("key").count().filter(F.col("count") > BUCKET))
+    full = lambda r: r.groupBy("key").count().filter(F.col("count") > BUCKET)
     rest = [[b for g in groups if g is not own for b in g] for own in groups]
     cut_n = distance + 1
     sub = None
@@ -210,11 +212,11 @@ def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
         size = -(-len(bits) // cut_n)
         keys = F.array(*[F.xxhash64("key", F.lit(j), _take(F.col("fp"), bits[j * size : (j + 1) * size])) for j in range(cut_n)])
         sub = F.when(F.shiftright("key", WIDTH) == i, keys) if sub is None else sub.when(F.shiftright("key", WIDTH) == i, keys)
-    hot = full(rows)
-    rows = rows.join(hot, "key", "left")
+    rows = rows.join(F.broadcast(full(rows)), "key", "left")  # at most PARTS * 2 ** WIDTH keys
     rows = rows.withColumn("key", F.explode(F.when(F.col("count").isNull(), F.array("key")).otherwise(sub))).drop("count")
-    # still too full: pairs of blocks, each pair a bucket
-    rows = rows.join(full(rows), "key", "left").withColumn("n", F.ceil(F.coalesce("count", F.lit(1)) / BUCKET))
+    # still too full: pairs of blocks, each pair a bucket; all pairs of such a bucket are compared, none but links are sent
+    still = cut(full(rows))
+    rows = rows.join(F.broadcast(still) if still.count() <= BROADCAST_KEYS else still, "key", "left").withColumn("n", F.ceil(F.coalesce("count", F.lit(1)) / BUCKET))
     own = F.pmod(F.xxhash64("fp"), F.col("n"))
     pair = F.transform(
         F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda o: F.xxhash64("key", F.least(o, own), F.greatest(o, own))
@@ -250,7 +252,7 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANC
 
     ``component_id`` is the smallest ``doc_id`` reachable over links of at most ``distance`` differing bits. Null and
     empty texts have fingerprint zero and are linked like any other; repeated rows share their fingerprint; null ids
-    are carried and never the smallest. An empty table gives no rows; other columns are ignored.
+    are carried and never the smallest. Texts may be of any length. An empty table gives no rows; other columns are ignored.
     """
     rows = cut(fingerprints(docs, shingle))
     fps = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
@@ -259,8 +261,8 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANC
         fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     )
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "fp")
+    named = cut(join_hubs(rooted, least, "root").select("fp", "component_id"))
+    return join_hubs(rows, named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "fp")
 
 
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:

@@ -220,17 +220,25 @@ SCHEMA = pa.schema(
 )
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with its file system, which is the cluster's default one if it names none."""
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(at).toString()
+    return "file://" + out.removeprefix("file:") if out.startswith("file:/") and not out.startswith("file://") else out
+
+
 def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """Write ``pages`` as archives in the shared folder, read them back: one row per page.
 
     ``page_id, payload_bytes, payload_digest, record_type, refers_to, url``. Repeated rows of the
-    page that responds are all responses. Payloads under 100 bytes are always stored whole.
+    page that responds are all responses. Payloads under 100 bytes are always stored whole. Null html is an empty payload; a
+    null page_id comes back as null and never is the smallest; rows that share an id but not their html are records of their
+    own. Html may be of any length; other columns are ignored; an empty table gives no rows.
     """
-    base = scratch_path(spark, "warc")
-    base = base if "://" in base or base.startswith("file:") else f"file://{base}"
+    base = qualified(spark, scratch_path(spark, "warc"))
     archives = cut(write_archives(pages, base))
     number = lambda c: F.expr(f"try_cast(regexp_extract({c}, 'urn:page:(.*?)>', 1) as bigint)")
-    # each archive is a task of its own
     files = archives.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path")
     return read_archives(files, base).select(
         number("id").alias("page_id"),
