@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +27,23 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Paths of the tables that :func:`stored` wrote within the innermost :func:`scratch`.
+_WRITTEN: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables that :func:`stored` writes inside are deleted at the end; what is to last must have been cut or written by then."""
+    _WRITTEN.append([])
+    try:
+        yield
+    finally:
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for path in _WRITTEN.pop():
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialize small intermediate rows in the shared folder; later stages don't depend on earlier executors."""
     shared_dir(df.sparkSession)
@@ -35,6 +53,8 @@ def cut(df: DataFrame) -> DataFrame:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Like :func:`cut`, but as a compressed Parquet table, for larger rows."""
     path = scratch_path(df.sparkSession, name)
+    if _WRITTEN:
+        _WRITTEN[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -25,7 +25,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, cut, stored, text_or_empty, without
+from .common import bounded_batches, cut, scratch, stored, text_or_empty, without
 from .superkmers import Hashes
 
 #: The logistic model is fitted on at most about this many labelled rows; all labels count in the ratios, all documents are scored.
@@ -223,5 +223,6 @@ def score(docs: DataFrame, labels: DataFrame, host: str = "source", path: str =
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that :func:`score` accepts; all columns kept. A repeated id stays if any row of it does."""
-    bad = score(docs, labels).groupBy("doc_id").agg(F.max("accepted").alias("good")).filter("not good").select(F.col("doc_id").alias("_id"))
-    return without(docs, bad, {"_id": F.col("doc_id").cast("long")})
+    with scratch(docs.sparkSession):
+        bad = score(docs, labels).groupBy("doc_id").agg(F.max("accepted").alias("good")).filter("not good")
+        return without(docs, bad.select(F.col("doc_id").alias("_id")), {"_id": F.col("doc_id").cast("long")})
