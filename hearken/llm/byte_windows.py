@@ -160,8 +160,8 @@ def _settle_part(k, own, left, right, doc, tag, at, start, size, text: bytes) ->
     return np.concatenate(gone)
 
 
-def covered(rows: DataFrame) -> DataFrame:
-    return find_covered(rows, byte_grams, byte_runs, settle, same_doc_counts=True, reach=LENGTH, bucket_bytes=BUCKET_BYTES)
+def covered(rows: DataFrame, repeated: bool) -> DataFrame:
+    return find_covered(rows, byte_grams, byte_runs, settle, same_doc_counts=True, reach=LENGTH, repeated=repeated, bucket_bytes=BUCKET_BYTES)
 
 
 def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:

@@ -39,9 +39,10 @@ SHARD_BYTES = 48 << 20
 BLOCK = 1 << 19
 #: Bytes of the grams of byte strings.
 GRAM = 12
-#: A gram is frequent with more than 1/HEAVY of all places, and at least so many. A task counts with so many counters, so
-#: at most 2 * HEAVY grams are named frequent, whatever the table.
-HEAVY, LEAST_PLACES, COUNTERS = 1 << 16, 1024, 1 << 18
+#: A gram is frequent with more than 1/HEAVY of all places, and at least so many. A task counts with so many counters and
+#: keeps back what is under half of 1/HEAVY of its own places, so fewer than 4 * HEAVY grams are named frequent, whatever
+#: the table.
+HEAVY, LEAST_PLACES, COUNTERS = 1 << 13, 1024, 1 << 15
 #: Strings with a frequent minimiser that a task remembers; further ones are sent once a batch.
 REMEMBERED = 1 << 16
 TOP = np.uint64(1 << 63)
@@ -133,13 +134,16 @@ def unpack(blob: bytes):
     return unshuffled(part[0], np.int64), unshuffled(part[1], np.int64), unshuffled(part[2], np.int64), size, part[4], unshuffled(part[5], np.int64).reshape(-1, 4)
 
 
-def doc_key(docs: DataFrame) -> dict[str, Column]:
+def ids_repeat(docs: DataFrame) -> bool:
+    return docs.groupBy(F.col("doc_id").cast("long").alias("d")).count().filter("count > 1").limit(1).count() > 0
+
+
+def doc_key(repeated: bool) -> dict[str, Column]:
     """``doc`` and ``tag`` stand for a row in both scans. The tag, a hash of the text, tells rows apart that share an id;
     it is zero where no id repeats."""
-    again = docs.groupBy(F.col("doc_id").cast("long").alias("d")).count().filter("count > 1").limit(1).count()
     return {
         "doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NO_ID))),
-        "tag": F.xxhash64("text") if again else F.lit(0).cast("long"),
+        "tag": F.xxhash64("text") if repeated else F.lit(0).cast("long"),
     }
 
 
@@ -165,9 +169,12 @@ class Counters:
     def add(self, h: np.ndarray) -> None:
         self.seen += len(h)
         key, n = np.unique(h, return_counts=True)
-        both = np.concatenate([self.key, key])
-        self.key, where = np.unique(both, return_inverse=True)
-        self.n = np.bincount(where, np.concatenate([self.n, n]), len(self.key)).astype(np.int64)
+        if len(self.key) and len(key):
+            at = np.minimum(np.searchsorted(key, self.key), len(key) - 1)
+            hit = key[at] == self.key
+            n[at[hit]] += self.n[hit]
+            self.key, self.n = self.key[~hit], self.n[~hit]
+        self.key, self.n = np.concatenate([self.key, key]), np.concatenate([self.n, n])
         if len(self.n) > self.most:
             # taking the same from most + 1 counters at once is so many single steps of the method
             self.n -= np.partition(self.n, -self.most - 1)[-self.most - 1]
@@ -189,20 +196,22 @@ def held_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
 
 def frequent_grams(docs: DataFrame, grams: Callable[[list[bytes]], np.ndarray], heavy: int, least: int, counters: int) -> np.ndarray:
     """Sorted hashes of the frequent grams among all of ``docs``: every one with more than 1/``heavy`` of all places (and
-    ``least``), none with fewer than half of that."""
+    ``least``), and some with more than a quarter of that."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = Counters(counters)
         for rows in held_texts(batches):
             c.add(grams([r[0] for r in rows]))
-        some = c.n > c.seen // counters  # costs each count as much again
+        some = c.n > c.seen // (2 * heavy)
         key = pa.array([*c.key[some].view(np.int64).tolist(), None], pa.int64())
         yield pa.RecordBatch.from_arrays([key, pa.array([*c.n[some].tolist(), c.seen], pa.int64())], ["key", "n"])
 
     counts = cut(docs.select("text").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")))
     seen = counts.filter("key is null").first()
-    bound = max(seen["n"] / heavy, least) if seen else 0
-    rows = counts.filter(F.col("key").isNotNull() & (F.col("n") > bound - 2 * seen["n"] / counters)).collect() if seen else []  # fewer than 2 * heavy
+    if seen is None:
+        return np.zeros(0, np.uint64)
+    bound = max(seen["n"] / heavy, least) - seen["n"] / counters - seen["n"] / (2 * heavy)
+    rows = counts.filter(F.col("key").isNotNull() & (F.col("n") > bound)).collect()  # fewer than 4 * heavy
     return np.sort(np.array([r["key"] for r in rows], np.int64).view(np.uint64))
 
 
@@ -243,6 +252,7 @@ def find_covered(
     settle: Callable[..., np.ndarray],
     same_doc_counts: bool,
     reach: int,
+    repeated: bool,
     bucket_bytes: int = BUCKET_BYTES,
 ) -> DataFrame:
     """``doc, tag, spans``: what is covered in each row of ``docs`` (doc, tag, text as bytes).
@@ -251,7 +261,7 @@ def find_covered(
     windows in it, the text's number, first place, last place (of windows), and byte range, with its minimiser.
     ``settle(doc, tag, at, start, size, text, frequent)`` gets a bucket's strings, earliest owner first, and gives rows
     (doc, tag, start, end) of what an earlier owner has too. ``same_doc_counts``: whether an earlier place in the same
-    document counts as earlier. Rows of equal ``doc`` and ``tag`` are one.
+    document counts as earlier. Rows of equal ``doc`` and ``tag`` are one; ``repeated``: whether there may be such rows.
     """
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -340,21 +350,22 @@ def find_covered(
             yield pa.RecordBatch.from_arrays([pa.array(r[:, 0]), pa.array(r[:, 1]), pa.array((r[:, 2] << 32) | r[:, 3])], ["doc", "tag", "span"])
 
     sent = docs.select("doc", "tag", "text").mapInArrow(send, "bucket int, blob binary")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
     rows = sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(receive, "doc long, tag long, span long")
-    return rows.groupBy("doc", "tag").agg(F.collect_set("span").alias("spans"))
+    # equal rows bring equal spans
+    return rows.groupBy("doc", "tag").agg((F.collect_set if repeated else F.collect_list)("span").alias("spans"))
 
 
-def with_spans(docs: DataFrame, find: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def with_spans(docs: DataFrame, find: Callable[[DataFrame, bool], DataFrame]) -> DataFrame:
     """``doc_id, text`` (compressed bytes, see :func:`unpacked`) of each row of ``docs`` with the ``spans`` that ``find`` covers, null for none."""
-    rows = docs.select("doc_id", text_or_empty("text").alias("text")).withColumns(doc_key(docs)).withColumn("text", F.col("text").cast("binary"))
+    repeated = ids_repeat(docs)
+    rows = docs.select("doc_id", text_or_empty("text").alias("text")).withColumns(doc_key(repeated)).withColumn("text", F.col("text").cast("binary"))
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=3)
         for b in batches:
             yield b.set_column(3, "text", pa.array([z.compress(x.as_py()) for x in b.column(3)], pa.binary()))
 
-    spans = find(rows).hint("shuffle_hash")
+    spans = find(rows, repeated).hint("shuffle_hash")
     texts = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "doc", "tag", "text").mapInArrow(packed, "doc_id long, doc long, tag long, text binary")
     return texts.join(spans, ["doc", "tag"], "left").select("doc_id", "text", "spans")
 

@@ -110,8 +110,8 @@ def settle(doc, tag, at, start, size, text: bytes, frequent: np.ndarray) -> np.n
     return np.stack([doc[own[i]], tag[own[i]], begin[i], begin[j] + WINDOW], axis=1)
 
 
-def covered(rows: DataFrame) -> DataFrame:
-    return find_covered(rows, word_grams, word_runs, settle, same_doc_counts=False, reach=WINDOW)
+def covered(rows: DataFrame, repeated: bool) -> DataFrame:
+    return find_covered(rows, word_grams, word_runs, settle, same_doc_counts=False, reach=WINDOW, repeated=repeated)
 
 
 def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
