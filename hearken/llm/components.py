@@ -11,6 +11,11 @@ from .common import cut
 HUBS, LEAST_DEGREE = 4096, 256
 
 
+def few(df: DataFrame, n_rows: int) -> DataFrame:
+    """``df`` of at most ``n_rows`` rows in no more partitions than these need, so that small graphs leave few files a round."""
+    return df.coalesce(max(4, n_rows // 100_000))
+
+
 def meet_least(rows: DataFrame, n_rows: int, least) -> DataFrame:
     """``rows`` with ``m``, the least neighbour of their node ``a``.
 
@@ -18,7 +23,7 @@ def meet_least(rows: DataFrame, n_rows: int, least) -> DataFrame:
     they are. The rows of the others are shuffled.
     """
     stars = rows.groupBy("a").agg(least.alias("m"), F.count(F.lit(1)).alias("_n"))
-    hubs = cut(stars.filter(F.col("_n") > max(LEAST_DEGREE, n_rows // HUBS)).select("a", "m"))
+    hubs = cut(few(stars.filter(F.col("_n") > max(LEAST_DEGREE, n_rows // HUBS)).select("a", "m"), HUBS))
     at_hubs = rows.join(F.broadcast(hubs), "a")
     others = rows.join(F.broadcast(hubs.select("a")), "a", "left_anti").join(stars.select("a", "m"), "a")
     return at_hubs.unionByName(others)
@@ -27,7 +32,7 @@ def meet_least(rows: DataFrame, n_rows: int, least) -> DataFrame:
 def join_hubs(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
     """``rows`` joined with ``table`` (one row a key). Keys with more than ``1 / HUBS`` of all rows are broadcast, the others shuffled."""
     n = rows.count()
-    hubs = cut(rows.groupBy(key).count().filter(F.col("count") > max(LEAST_DEGREE, n // HUBS)).select(key))
+    hubs = cut(few(rows.groupBy(key).count().filter(F.col("count") > max(LEAST_DEGREE, n // HUBS)).select(key), HUBS))
     at_hubs = rows.join(F.broadcast(table.join(F.broadcast(hubs), key)), key)
     return at_hubs.unionByName(rows.join(F.broadcast(hubs), key, "left_anti").join(table, key))
 
@@ -53,9 +58,10 @@ def components(edges: DataFrame) -> DataFrame:
     mark = lambda e: e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
     now = cut(edges.select("a", "b").filter("a <> b").distinct())
     seen = mark(now)
+    now = few(now, seen[0])
     while seen[0]:
-        big = cut(_large_star(now, seen[0]))
-        now = cut(_small_star(big, big.count()).distinct())
+        big = cut(few(_large_star(now, seen[0]), 2 * seen[0]))
+        now = cut(few(_small_star(big, big.count()).distinct(), 2 * seen[0]))
         before, seen = seen, mark(now)
         if before == seen:
             break
