@@ -262,7 +262,7 @@ def pr_reason_clusters(spark: SparkSession, d: str) -> DataFrame:
     return profiles.cluster_reject_reasons(r, paths)
 
 
-WORDS = f"""w AS (SELECT doc_id, list_filter(string_split({norm('substr(text, 1, 200)')}, ' '), lambda x: x <> '') AS ws FROM documents),
+WORDS = f"""w AS (SELECT doc_id, list_filter(string_split({norm('text')}, ' '), lambda x: x <> '') AS ws FROM documents),
     a AS (SELECT doc_id, CASE WHEN len(ws) >= 5 THEN [ws[1], ws[2] || ' ' || ws[3], ws[3] || ' ' || ws[4] || ' ' || ws[5]] ELSE ['x'] END AS anchors, CASE WHEN len(ws) >= 5 THEN ws[3] || ' ' || ws[5] ELSE 'x' END AS ref FROM w),
     e AS (SELECT doc_id, ref, unnest(anchors) AS c, generate_subscripts(anchors, 1) AS i FROM a),
     u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, c ORDER BY i) AS rn FROM e) WHERE rn = 1),
@@ -273,7 +273,7 @@ WORDS = f"""w AS (SELECT doc_id, list_filter(string_split({norm('substr(text, 1,
 def pr_select_anchor(spark: SparkSession, d: str) -> DataFrame:
     from ..functions.text import normalize_text
 
-    w = table(spark, d, "documents").select("doc_id", F.filter(F.split(normalize_text(F.substring("text", 1, 200)), " "), lambda x: x != "").alias("ws"))
+    w = table(spark, d, "documents").select("doc_id", F.filter(F.split(normalize_text("text"), " "), lambda x: x != "").alias("ws"))
     many = F.size("ws") >= 5
     at = lambda i: F.try_element_at("ws", F.lit(i))
     anchors = F.when(many, F.array(at(1), F.concat_ws(" ", at(2), at(3)), F.concat_ws(" ", at(3), at(4), at(5)))).otherwise(F.array(F.lit("x")))
@@ -291,14 +291,14 @@ def pr_pick_query(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _contexts(spark: SparkSession, d: str) -> DataFrame:
-    """A context for each source: its topic and keywords are words of its texts."""
-    t = table(spark, d, "documents")
-    w = Window.partitionBy("source").orderBy("doc_id")
-    few = t.withColumn("rn", F.row_number().over(w)).filter("rn <= 5").select("source", "rn", F.slice(F.filter(F.split("text", r"[\s.,]+"), lambda x: x != ""), 1, 6).alias("ws"))
-    p = few.groupBy("source").agg(F.max(F.when(F.col("rn") == 1, F.array_join(F.slice("ws", 1, 2), " "))).alias("topic"), *[F.max(F.when(F.col("rn") == i, F.col("ws"))).alias(f"k{i}") for i in range(1, 6)])
+    """A context for each source: its topic and keywords are the words that most of its documents have."""
+    words = F.array_distinct(F.filter(F.split("text", r"[\s.,]+"), lambda x: x != ""))
+    n = table(spark, d, "documents").select("source", F.explode(words).alias("word")).groupBy("source", "word").count()
+    top = n.withColumn("rn", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("count"), "word"))).filter("rn <= 32")
+    p = top.groupBy("source").agg(F.transform(F.array_sort(F.collect_list(F.struct("rn", "word"))), lambda x: x["word"]).alias("ws"))
     names = ("brand", "pain_points", "sentiment", "behavior", "comparison")
-    kw = F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*[F.coalesce(F.col(f"k{i}"), F.array().cast("array<string>")) for i in range(1, 6)]))
-    return p.select(F.col("source").alias("context_id"), F.coalesce("topic", F.lit("")).alias("topic"), kw.alias("keywords"))
+    kw = F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*[F.slice("ws", 6 * i - 3, 6) for i in range(1, 6)]))
+    return p.select(F.col("source").alias("context_id"), F.array_join(F.slice("ws", 1, 2), " ").alias("topic"), kw.alias("keywords"))
 
 
 def _spec():

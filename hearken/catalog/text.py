@@ -183,9 +183,9 @@ def tx_image_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", images.image_text(none, "source", "text").alias("merged"))
 
 
-@query(f"""SELECT doc_id, coalesce(nullif(trim(regexp_replace({norm("substr(text, 1, 40)")}, '[^a-z0-9]+', '-', 'g'), '-'), ''), 'research') AS slug, substr({collapse('text')}, 1, 180) AS preview FROM documents""")
+@query(f"""SELECT doc_id, coalesce(nullif(trim(regexp_replace({norm("text")}, '[^a-z0-9]+', '-', 'g'), '-'), ''), 'research') AS slug, substr({collapse('text')}, 1, 180) AS preview FROM documents""")
 def tx_slug_preview(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", text.slugify(F.substring("text", 1, 40)).alias("slug"), text.preview("text").alias("preview"))
+    return table(spark, d, "documents").select("doc_id", text.slugify("text").alias("slug"), text.preview("text").alias("preview"))
 
 
 @query("""SELECT event_id, CASE WHEN event_id % 10 <> 0 THEN epoch_us(ts) END AS micros, CASE WHEN event_id % 10 <> 0 THEN round((epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01 00:00:00')) / 1e6, 1) END AS elapsed FROM events""")

@@ -107,13 +107,20 @@ def count_terms(text: Column, terms: Sequence[str] | Column) -> Column:
     return sum((text.contains(t).cast("int") for t in terms), F.lit(0))
 
 
+def marked_firsts(pairs: Column) -> Column:
+    """Structs ``i, first, k, v`` of pairs ``v, k`` in their order: whether the key ``k`` occurs first there. Sorts, so long
+    arrays don't cost the square of their length."""
+    numbered = F.transform(pairs, lambda p, i: F.struct(p["k"].alias("k"), i.alias("i"), p["v"].alias("v")))
+    mark = lambda s: F.transform(
+        s, lambda x, i: F.struct(x["i"].alias("i"), ((i == 0) | (F.get(s, i - 1)["k"] != x["k"])).alias("first"), x["k"].alias("k"), x["v"].alias("v"))
+    )
+    return F.array_sort(let(F.array_sort(numbered), mark))
+
+
 def first_by_key(values: Column, key: Callable[[Column], Column]) -> Column:
     """Array elements of which the key occurs first there; elements with an empty key go."""
     pairs = F.transform(values, lambda v: F.struct(v.alias("v"), key(v).alias("k")))
-    return let(
-        F.filter(pairs, lambda p: p["k"] != ""),
-        lambda ps: F.transform(F.filter(ps, lambda p, i: F.array_position(ps["k"], p["k"]) == i + 1), lambda p: p["v"]),
-    )
+    return F.transform(F.filter(marked_firsts(F.filter(pairs, lambda p: p["k"] != "")), lambda p: p["first"]), lambda p: p["v"])
 
 
 def _present(values: Column | str) -> Column:
@@ -147,11 +154,10 @@ def clean_payload(c: Column | str, noise: Sequence[str] = UI_NOISE_TERMS) -> Col
     rows = F.filter(F.transform(lines, lambda v: F.struct(v.alias("v"), normalize_text(v).alias("k"))), lambda p: p["k"] != "")
     noisy = lambda p: p["k"].isin(*noise)
     valid = lambda p: ~noisy(p) & (F.length(p["k"]) >= 3)
-    first = lambda ps, p, i: F.array_position(ps["k"], p["k"]) == i + 1
 
     def result(ps: Column) -> Column:
-        kept = F.transform(F.filter(ps, lambda p, i: valid(p) & first(ps, p, i)), lambda p: p["v"])
-        what = lambda p, i: F.when(valid(p) & ~first(ps, p, i), "duplicate_line_removed").when(noisy(p), "ui_noise_removed")
+        kept = F.transform(F.filter(ps, lambda p: valid(p) & p["first"]), lambda p: p["v"])
+        what = lambda p: F.when(valid(p) & ~p["first"], "duplicate_line_removed").when(noisy(p), "ui_noise_removed")
         seen = F.array_distinct(F.filter(F.transform(ps, what), lambda x: x.isNotNull()))
 
         def finish(text: Column) -> Column:
@@ -161,7 +167,7 @@ def clean_payload(c: Column | str, noise: Sequence[str] = UI_NOISE_TERMS) -> Col
 
         return let(collapse(F.array_join(kept, " ")), finish)
 
-    return let(rows, result)
+    return let(marked_firsts(rows), result)
 
 
 def mask_pii(c: Column | str) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -97,7 +98,7 @@ def fallback_label(reason: str = "ai_missing_record_output") -> Column:
 def score_in_chunks(records: DataFrame, scorer: Callable[[pd.DataFrame], pd.DataFrame], schema: str, size: int = 20) -> DataFrame:
     """Rows that an outside ``scorer`` gives for chunks of at most ``size`` records, inside tasks.
 
-    A chunk whose call fails gives no rows: left join the result by ``post_id`` and fall back.
+    A chunk whose call fails gives no rows and is logged with its fault: left join the result by ``post_id`` and fall back.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -106,6 +107,7 @@ def score_in_chunks(records: DataFrame, scorer: Callable[[pd.DataFrame], pd.Data
                 try:
                     out = scorer(b.iloc[at : at + size])
                 except Exception:  # an outside call; the records get their fallback
+                    logging.getLogger("hearken").exception("scoring failed for %d records", len(b.iloc[at : at + size]))
                     continue
                 if out is not None and len(out):
                     yield out

@@ -34,7 +34,7 @@ def thread_context(records: DataFrame) -> DataFrame:
     """
     summary = F.substring(F.coalesce(F.nullif(F.col("content_masked"), F.lit("")), F.col("content"), F.lit("")), 1, 240)
     nodes = records.groupBy("run_id", "post_id").agg(
-        F.first(F.struct(F.coalesce("record_type", F.lit("POST")).alias("kind"), summary.alias("text"), F.nullif(F.col("parent_post_id"), F.lit("")).alias("parent"))).alias("n")
+        F.min(F.struct(F.coalesce("record_type", F.lit("POST")).alias("kind"), summary.alias("text"), F.nullif(F.col("parent_post_id"), F.lit("")).alias("parent"))).alias("n")
     )
     # from each node upwards: the nearest comment's text and the nearest post's, counting the node itself
     comment = F.when((F.col("n.kind") == "COMMENT") & (F.col("n.text") != ""), F.col("n.text"))
