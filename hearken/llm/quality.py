@@ -30,6 +30,8 @@ from .superkmers import Hashes
 
 #: The logistic model is fitted on at most about this many labelled rows; all labels count in the ratios, all documents are scored.
 MAX_LABELS = 200_000
+#: Labels that are broadcast; more meet the documents' features by a shuffle.
+BROADCAST_LABELS = 1 << 20
 #: Least posterior of an accepted document.
 ACCEPT = 0.5
 #: Buckets of words and of trigrams of character kinds.
@@ -189,6 +191,7 @@ def score(docs: DataFrame, labels: DataFrame, host: str = "source", path: str =
     feats = stored(features(base), "features")
     marks = labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
     marks = cut(marks.agg(F.min("quality").cast("double").alias("label")))
+    marks = F.broadcast(marks) if marks.count() <= BROADCAST_LABELS else marks
     half = F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int").alias("half")
     known = stored(feats.join(marks, "doc_id").select("doc_id", "m", "ids", "label", half), "known")
     n, good = known.agg(F.count(F.lit(1)), F.sum("label")).first()
