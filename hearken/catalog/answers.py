@@ -121,10 +121,13 @@ def _steps_of(spark: SparkSession, d: str) -> DataFrame:
 @query(f"{with_views('candidates', 'judged')}, {STEPS}" + """, s4 AS (SELECT ['en', 'fr', 'de', 'es'][(substr(run_id, 2)::INT % 4) + 1] AS run_id, status, action_type, n, k, broken FROM m),
     e AS (SELECT run_id, count(*) AS total_records, count(*) FILTER (s = 'ACCEPTED') AS accepted_count, count(*) FILTER (s = 'REJECTED') AS rejected_count, count(*) FILTER (s = 'UNCERTAIN') AS uncertain_count FROM (SELECT *, coalesce(judge_decision, pre_ai_status, 'UNKNOWN') AS s FROM judged) GROUP BY 1),
     d AS (SELECT run_id, count(*) AS search_steps_completed FROM s4 WHERE status = 'DONE' AND action_type IN ('SEARCH_POSTS', 'SEARCH_IN_GROUP', 'CRAWL_FEED') GROUP BY 1)
-    SELECT e.*, search_steps_completed, 12 AS queries, 3 AS misses FROM e JOIN d USING (run_id)""")
+    SELECT e.*, search_steps_completed, 12 AS queries, 3 AS misses, CASE WHEN run_id < 'es' THEN 'Accepted records did not converge into a final answer' ELSE 'Run completed without usable evidence' END AS title,
+        CASE WHEN run_id < 'es' THEN 'The run found candidate evidence for ''fees'', but the accepted set still did not form a stable theme answer after labeling and synthesis.'
+        ELSE 'No eligible evidence was found for ''fees'' after ' || search_steps_completed || ' search steps and ' || total_records || ' persisted records. Labeling and theme synthesis were skipped.' END AS summary FROM e JOIN d USING (run_id)""")
 def ag_no_answer(spark: SparkSession, d: str) -> DataFrame:
-    p = closeout.no_answer_payload(_runs(spark, d), judged(spark, d), _steps_of(spark, d))
-    return p.select("run_id", "total_records", "accepted_count", "rejected_count", "uncertain_count", "search_steps_completed", F.size("attempted_queries").alias("queries"), F.size("near_miss_records").alias("misses"))
+    outcome = F.when(F.col("run_id") < "es", "NO_ANSWER_CONTENT").otherwise("NO_ELIGIBLE_RECORDS")
+    p = closeout.no_answer_payload(_runs(spark, d).withColumn("outcome_type", outcome), judged(spark, d), _steps_of(spark, d))
+    return p.select("run_id", "total_records", "accepted_count", "rejected_count", "uncertain_count", "search_steps_completed", F.size("attempted_queries").alias("queries"), F.size("near_miss_records").alias("misses"), "title", "summary")
 
 
 _ONE = {

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import terms as T
 from ..functions.text import clean_payload
 from ..operators import batches, dedupe, gates, profiles, scoring
 from ..views import candidates, judged, table, with_views
@@ -174,22 +175,23 @@ STOP = """WITH RECURSIVE {views}, walk AS (
         {verdict0} AS stop_reason, ({verdict0}) IS NOT NULL OR (decision = 'reformulate' AND acc = 0) AS ended FROM hd WHERE batch_index = 1
     UNION ALL
     SELECT h.path_id, h.batch_index, h.batch_size, h.acc, h.decision, w.ta + h.acc, w.ts + h.batch_size, CASE WHEN h.decision = 'weak' THEN w.weak + 1 ELSE 0 END, CASE WHEN h.acc = 0 THEN w.zero + 1 ELSE 0 END,
-        {verdict}, ({verdict}) IS NOT NULL OR (h.decision = 'reformulate' AND w.ta + h.acc = 0) FROM walk w JOIN hd h ON h.path_id = w.path_id AND h.batch_index = w.batch_index + 1 WHERE NOT w.ended)
-    SELECT path_id, batch_index, ta AS total_accepted, ts AS total_scanned, stop_reason, CASE WHEN stop_reason IS NOT NULL THEN 'stop' WHEN ended THEN 'reformulate' ELSE 'continue' END AS batch_decision FROM walk"""
+        {verdict}, ({verdict}) IS NOT NULL OR (h.decision = 'reformulate' AND w.ta + h.acc = 0) FROM walk w JOIN hd h ON h.path_id = w.path_id AND h.batch_index = w.batch_index + 1 WHERE NOT w.ended)"""
+WALKED = " SELECT path_id, batch_index, ta AS total_accepted, ts AS total_scanned, stop_reason, CASE WHEN stop_reason IS NOT NULL THEN 'stop' WHEN ended THEN 'reformulate' ELSE 'continue' END AS batch_decision FROM walk"
 
 
-def _verdict(ta: str, ts: str, weak: str, zero: str) -> str:
-    return f"CASE WHEN {ts} >= 24 AND {ta} < 3 THEN 'min_accepts_not_reached' WHEN {ta} = 0 AND {zero} >= 2 THEN 'zero_accepted_batches_exceeded' WHEN {weak} >= 2 THEN 'weak_batches_exceeded' END"
+def _verdict(ta: str, ts: str, weak: str, zero: str, scanned: int) -> str:
+    return f"CASE WHEN {ts} >= {scanned} AND {ta} < 3 THEN 'min_accepts_not_reached' WHEN {ta} = 0 AND {zero} >= 2 THEN 'zero_accepted_batches_exceeded' WHEN {weak} >= 2 THEN 'weak_batches_exceeded' END"
 
 
-STOP_SQL = STOP.format(
-    views=with_views("candidates").removeprefix("WITH ") + f", {JUDGED}, {B8}",
-    verdict0=_verdict("acc", "batch_size", "(CASE WHEN decision = 'weak' THEN 1 ELSE 0 END)", "(CASE WHEN acc = 0 THEN 1 ELSE 0 END)"),
-    verdict=_verdict("(w.ta + h.acc)", "(w.ts + h.batch_size)", "(CASE WHEN h.decision = 'weak' THEN w.weak + 1 ELSE 0 END)", "(CASE WHEN h.acc = 0 THEN w.zero + 1 ELSE 0 END)"),
-)
+def stop_sql(views: str, scanned: int) -> str:
+    """The rules over ``hd``, the batches of each path, as the last of some views."""
+    weak, zero = "CASE WHEN {0}decision = 'weak' THEN {1} ELSE 0 END", "CASE WHEN {0}acc = 0 THEN {1} ELSE 0 END"
+    first = _verdict("acc", "batch_size", f"({weak.format('', 1)})", f"({zero.format('', 1)})", scanned)
+    later = _verdict("(w.ta + h.acc)", "(w.ts + h.batch_size)", f"({weak.format('h.', 'w.weak + 1')})", f"({zero.format('h.', 'w.zero + 1')})", scanned)
+    return STOP.format(views=views, verdict0=first, verdict=later)
 
 
-@query(STOP_SQL)
+@query(stop_sql(with_views("candidates").removeprefix("WITH ") + f", {JUDGED}, {B8}", 24) + WALKED)
 def wn_stop_rules(spark: SparkSession, d: str) -> DataFrame:
     b = batches.apply_stop_rules(_health(spark, d), ["path_id"], max_scanned=24)
     return b.select("path_id", "batch_index", "total_accepted", "total_scanned", "stop_reason", "batch_decision")
@@ -317,7 +319,23 @@ def pr_profiles(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query()
+# the gate of a crawl: interface words go, hard filters come first, then the rules; batches of twenty
+GATE = CLEAN.replace("length(key) >= 3", f"length(key) >= 3 AND key NOT IN ({lst(T.UI_NOISE_TERMS)[1:-1]})") + f""",
+    gate AS (SELECT *, CASE WHEN key = '' THEN 'empty_content' WHEN key IN ({lst(T.SEVERE_UI_NOISE)[1:-1]}) THEN 'ui_noise_only' END AS hard, lower({collapse('cleaned')}) AS x FROM keys),
+    verdicts AS (SELECT *, CASE WHEN hard IS NOT NULL THEN 'REJECTED' WHEN {any_of('x', MARKERS['promotional'] + MARKERS['transactional'])} THEN 'REJECTED' WHEN {any_of('x', MARKERS['experience'] + MARKERS['comparison'])} THEN 'ACCEPTED' ELSE 'UNCERTAIN' END AS decision FROM gate)"""
+CRAWL = f"""{with_views("candidates").removeprefix("WITH ")}, {GATE},
+    b AS (SELECT *, run_id || '/' || path_id AS pk, (row_number() OVER (PARTITION BY run_id, path_id ORDER BY ordinal) - 1) // 20 + 1 AS batch_index,
+        CASE WHEN hard IS NOT NULL THEN 0 WHEN decision = 'REJECTED' THEN 0.08 WHEN decision = 'ACCEPTED' THEN 0.86 ELSE 0.42 END AS rel, CASE WHEN hard IS NOT NULL THEN 0.99 WHEN decision = 'REJECTED' THEN 0.9 WHEN decision = 'ACCEPTED' THEN 0.82 ELSE 0.58 END AS conf FROM verdicts),
+    h AS (SELECT pk AS path_id, batch_index, count(*) AS batch_size, count(*) FILTER (decision = 'ACCEPTED') AS acc, count(*) FILTER (decision = 'UNCERTAIN') AS unc, count(*) FILTER (decision = 'ACCEPTED' AND conf >= 0.75 AND rel >= conf * 0.6) AS high FROM b GROUP BY ALL),
+    hd AS (SELECT *, CASE WHEN acc / batch_size >= 0.15 OR high / batch_size >= 0.05 THEN 'continue' WHEN unc / batch_size >= 0.25 THEN 'reformulate' ELSE 'weak' END AS decision FROM h)"""
+CRAWL_SQL = stop_sql(CRAWL, 60) + """, done AS (SELECT path_id AS pk, batch_index, CASE WHEN stop_reason IS NOT NULL THEN 'stop' WHEN ended THEN 'reformulate' ELSE 'continue' END AS batch_decision FROM walk),
+    inb AS (SELECT b.*, batch_decision, coalesce(source_url, post_id) AS dk, row_number() OVER (PARTITION BY b.pk, b.batch_index, coalesce(source_url, post_id) ORDER BY ordinal) AS rb FROM b JOIN done ON done.pk = b.pk AND done.batch_index = b.batch_index),
+    inr AS (SELECT *, row_number() OVER (PARTITION BY run_id, dk ORDER BY ordinal) AS rr FROM inb WHERE rb = 1)
+    SELECT run_id, path_id, ordinal, post_id, decision, CASE WHEN decision = 'REJECTED' THEN 'SCORED_REJECTED' ELSE 'CLEAN_ACCEPTED' END AS processing_stage, batch_index::INT AS batch_index, batch_decision, decision = 'REJECTED' AS is_excluded,
+        CASE WHEN decision = 'REJECTED' THEN coalesce(hard, 'commercial_noise') END AS exclude_reason FROM inr WHERE source_url IS NULL OR rr = 1"""
+
+
+@query(CRAWL_SQL)
 def job_gate_records(spark: SparkSession, d: str) -> DataFrame:
     """The whole gate of a crawl (:mod:`hearken.plans.jobs`), one row a record that is stored."""
     from ..plans.jobs import gate_crawl

@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import terms as T
 from ..operators import gates, groups, labels, themes, threads
 from ..plans import jobs
 from ..views import candidates, judged, label_history, posts, table, with_views
@@ -212,14 +213,26 @@ def ud_batch_scorer(spark: SparkSession, d: str) -> DataFrame:
     return out.select("ordinal", F.coalesce("author_role", f["author_role"]).alias("author_role"), F.coalesce("confidence", f["label_confidence"]).alias("label_confidence"))
 
 
-@query()
+@query("""WITH c AS (SELECT conv_id AS post, turn, ((turn * 7 + conv_id) % 4) * 20 AS indent FROM conversations), x AS (SELECT post, turn::BIGINT AS ordinal, greatest(0, indent - first_value(indent) OVER (PARTITION BY post ORDER BY turn)) AS x FROM c)
+    SELECT x.post, x.ordinal, max(p.ordinal) AS parent FROM x LEFT JOIN x p ON p.post = x.post AND p.ordinal < x.ordinal AND p.x < x.x GROUP BY ALL""")
 def wn_reply_nesting(spark: SparkSession, d: str) -> DataFrame:
-    """Comments of a thread with an indentation; tested against a plain model."""
+    """Comments of a thread with an indentation."""
     c = table(spark, d, "conversations")
     return threads.nest_by_indent(c.select(F.col("conv_id").alias("post"), F.col("turn").alias("ordinal"), (((F.col("turn") * 7 + F.col("conv_id")) % 4) * 20.0).alias("indent")))
 
 
-@query()
+# what the second stage searches: the whole record as JSON, with its first label
+RUN = f"""r AS (SELECT l.*, p.run_id, p.parent_post_id, author_role = 'unknown' AS unsure, CASE author_role WHEN 'community_admin' THEN 'other' WHEN 'brand_official' THEN 'support_answer' WHEN 'seller_affiliate' THEN 'promotion'
+        WHEN 'unknown' THEN 'other' ELSE CASE c WHEN 0.9 THEN 'experience' WHEN 0.88 THEN 'question' ELSE 'comparison' END END AS intent FROM l JOIN posts p USING (post_id)),
+    w AS (SELECT *, record_type <> 'COMMENT' AND NOT unsure AS direct, lower(to_json({{'post_id': post_id, 'record_type': record_type, 'content': substr(content, 1, 900), 'source_url': NULL, 'parent_post_id': parent_post_id, 'parent_post_summary': parent_post_summary,
+        'parent_comment_summary': parent_comment_summary, 'thread_context': thread, 'signals': list_filter([{", ".join(f"CASE WHEN {n} > 0 THEN '{n}:' || {n} END" for n in PATTERNS)}], lambda s: s IS NOT NULL), 'heuristic_prior': {{'author_role': author_role, 'content_intent': intent,
+        'label_reason': CASE WHEN record_type = 'COMMENT' THEN 'comment_requires_thread_context' WHEN unsure THEN 'ambiguous_content_needs_ai_review' ELSE '' END}}}})::VARCHAR) AS x FROM r),
+    s AS (SELECT *, CASE WHEN {any_of('x', T.RULE_SELLER)} THEN 'seller_affiliate' WHEN {any_of('x', T.RULE_OFFICIAL)} THEN 'brand_official' WHEN {any_of('x', T.RULE_USER)} THEN 'end_user' ELSE 'unknown' END AS role2, {any_of('x', T.RULE_ASKS)} AS asks FROM w)"""
+
+
+@query(with_views("posts") + f", {THREAD}, {HEUR}, {RUN}" + """ SELECT run_id, post_id, CASE WHEN direct THEN author_role ELSE role2 END AS author_role,
+    CASE WHEN direct THEN intent ELSE CASE role2 WHEN 'seller_affiliate' THEN 'promotion' WHEN 'brand_official' THEN 'support_answer' WHEN 'end_user' THEN CASE WHEN asks THEN 'question' ELSE 'experience' END ELSE 'other' END END AS content_intent,
+    CASE WHEN direct THEN c WHEN role2 = 'unknown' THEN 0.45 ELSE 0.78 END::DOUBLE AS label_confidence, CASE WHEN direct THEN 'heuristic' ELSE 'ai' END AS label_source FROM s""")
 def job_label_run(spark: SparkSession, d: str) -> DataFrame:
     """Labels of all eligible records of the threads, with their context."""
     none = F.lit(None).cast("string")

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from ..operators.scoring import lit_profile, normalized_profile
 from ..streaming import gating, health, progress
 from ..views import progress as progress_view
-from ..views import signals, table, with_views
-from .gating import ANCHORS, MARKERS, NEGATIVE, RELATED
+from ..views import progress_of, signals, table, with_views
+from .gating import ANCHORS, GATE, MARKERS, NEGATIVE, RELATED, stop_sql
 
 QUERIES, SQL = {}, {}
 
@@ -105,9 +105,9 @@ def st_dedupe(spark: SparkSession, d: str) -> DataFrame:
     return kept.groupBy("run_id").agg(F.count(F.lit(1)).alias("kept"))
 
 
-@query()
+@query(f"{with_views('candidates')}, {GATE} SELECT run_id, ordinal, decision, decision = 'REJECTED' AS is_excluded FROM verdicts")
 def st_gate(spark: SparkSession, d: str) -> DataFrame:
-    """Every document through the gate as a stream; the tests compare it with the batch gate."""
+    """Every document through the gate as a stream."""
     none = F.array().cast("array<string>")
     spec = F.struct(F.lit("").alias("research_objective"), none.alias("target_signal_types"), none.alias("target_author_types"), none.alias("non_target_author_types"), none.alias("hard_reject_signals"), F.struct(F.lit(8).alias("minimum_comment_text_length"), F.lit(True).alias("reject_transactional_only_comments")).alias("comment_policy"))
     contexts = table(spark, d, "documents").select(F.col("lang").alias("run_id")).distinct().select("run_id", normalized_profile(lit_profile(ANCHORS, RELATED, NEGATIVE)).alias("profile"), spec.alias("spec"))
@@ -116,7 +116,13 @@ def st_gate(spark: SparkSession, d: str) -> DataFrame:
     return drain(spark, d, "documents", build)
 
 
-@query()
+STREAMED = """j AS (SELECT user_id::VARCHAR AS path_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS o, CASE WHEN user_id % 3 = 0 THEN 'REJECTED' WHEN event_type = 'error' THEN 'ACCEPTED' WHEN event_type IN ('view', 'click') THEN 'UNCERTAIN' ELSE 'REJECTED' END AS d, value % 1 AS rel FROM events),
+    h AS (SELECT path_id, (o - 1) // 20 + 1 AS batch_index, count(*) AS batch_size, count(*) FILTER (d = 'ACCEPTED') AS acc, count(*) FILTER (d = 'UNCERTAIN') AS unc, count(*) FILTER (d = 'ACCEPTED' AND rel >= 0.8::DOUBLE * 0.6::DOUBLE) AS high FROM j GROUP BY ALL HAVING count(*) = 20),
+    hd AS (SELECT *, CASE WHEN acc / batch_size >= 0.15 OR high / batch_size >= 0.05 THEN 'continue' WHEN unc / batch_size >= 0.25 THEN 'reformulate' ELSE 'weak' END AS decision FROM h)"""
+
+
+@query(stop_sql(STREAMED, 60) + """ SELECT path_id, w.batch_index::INT AS batch_index, w.batch_size, w.acc AS accepted_count, unc AS uncertain_count, high AS high_conf_accept_count, w.decision,
+    CASE WHEN stop_reason IS NOT NULL THEN 'stop' WHEN ended THEN 'reformulate' ELSE 'continue' END AS batch_decision, stop_reason, ta::BIGINT AS total_accepted, ts::BIGINT AS total_scanned FROM walk w JOIN hd USING (path_id, batch_index)""")
 def st_stop_rules(spark: SparkSession, d: str) -> DataFrame:
     """Stop rules on a stream of judged records; paths are users of the events, so that ordinals have no gaps."""
     from pyspark.sql import Window
@@ -130,12 +136,21 @@ def st_stop_rules(spark: SparkSession, d: str) -> DataFrame:
     return drain(spark, at, "judged", gating.stop_stream)
 
 
-@query(with_views("progress") + ", h AS (SELECT run_id, step_id, max(ts) AS hb, arg_max(collected, event_id) FILTER (collected IS NOT NULL) AS c, arg_max(persisted, event_id) FILTER (persisted IS NOT NULL) AS p, arg_max(images, event_id) FILTER (images IS NOT NULL) AS i FROM progress GROUP BY ALL)" + """
-    SELECT run_id, step_id, coalesce(c, 0) AS collected_count, coalesce(p, 0) AS persisted_count, greatest(coalesce(c, 0) - coalesce(p, 0), 0) AS lost_before_persist_count, coalesce(i, 0) AS image_candidate_count, coalesce(c, 0) > 0 AS salvage_available
-    FROM h WHERE (epoch_us(TIMESTAMP '2024-01-31 00:00:00') - epoch_us(hb)) / 1e6 > 86400""")
+LAST = with_views("progress") + ", h AS (SELECT run_id, step_id, max(ts) AS hb, arg_max(collected, event_id) FILTER (collected IS NOT NULL) AS c, arg_max(persisted, event_id) FILTER (persisted IS NOT NULL) AS p, arg_max(images, event_id) FILTER (images IS NOT NULL) AS i FROM progress GROUP BY ALL)" + """
+    SELECT run_id, step_id, coalesce(c, 0) AS collected_count, coalesce(p, 0) AS persisted_count, greatest(coalesce(c, 0) - coalesce(p, 0), 0) AS lost_before_persist_count, coalesce(i, 0) AS image_candidate_count, coalesce(c, 0) > 0 AS salvage_available FROM h"""
+STUCK_COLUMNS = ("run_id", "step_id", "collected_count", "persisted_count", "lost_before_persist_count", "image_candidate_count", "salvage_available")
+
+
+@query(LAST + " WHERE (epoch_us(TIMESTAMP '2024-01-31 00:00:00') - epoch_us(hb)) / 1e6 > 86400")
 def st_stuck_steps(spark: SparkSession, d: str) -> DataFrame:
     s = progress.stuck_steps(progress.latest_progress(progress_view(spark, d)), F.lit("2024-01-31 00:00:00").cast("timestamp"), 86400)
-    return s.select("run_id", "step_id", "collected_count", "persisted_count", "lost_before_persist_count", "image_candidate_count", "salvage_available")
+    return s.select(*STUCK_COLUMNS)
+
+
+@query(LAST + " WHERE epoch_ms(hb) + 86400000 < (SELECT epoch_ms(max(ts)) FROM events)")
+def st_stuck_steps_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Steps that the newest event leaves more than a day behind, as the stream reports them."""
+    return drain(spark, d, "events", lambda e: progress.stream_stuck_steps(progress_of(e), 86400)).select(*STUCK_COLUMNS)
 
 
 @query("""SELECT user_id, count(*) AS events, max(event_id) AS last_event FROM (SELECT *, coalesce(max((event_type = 'error')::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ended FROM events) WHERE ended = 0 GROUP BY 1""")

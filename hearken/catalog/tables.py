@@ -80,10 +80,24 @@ def pr_source_filter(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "supplier").select("s_suppkey", gates.source_filter_enabled(spec).alias("enabled"))
 
 
-@query()
+WORDS_OF = """t AS (SELECT source, unnest(list_distinct(list_filter(regexp_split_to_array(text, '[\\s.,]+'), lambda x: x <> ''))) AS word FROM documents), n AS (SELECT source, word, count(*) AS c FROM t GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY c DESC, word) AS rn FROM n), w AS (SELECT source AS context_id, list(word ORDER BY rn) AS ws FROM r WHERE rn <= 32 GROUP BY 1), k AS (SELECT *, array_to_string(ws[1:2], ' ') AS topic FROM w)"""
+
+
+def _json(c: str) -> str:
+    return f"replace(to_json({c})::VARCHAR, '\",\"', '\", \"')"
+
+
+_KEYWORDS = " || ', ' || ".join(f"""'"{n}": ' || {_json(f"ws[{a}:{a + 5}]")}""" for n, a in (("behavior", 21), ("brand", 3), ("comparison", 27), ("pain_points", 9), ("sentiment", 15)))
+_CONTRACT = f"""'{{"clarification_history": [], "hard_reject_signals": null, "keywords": {{' || {_KEYWORDS} || '}}, "must_have_signals": null, "plan_intent": "", "research_objective": "o", "retrieval_profile": {{}}, "target_signal_types": ["pain"], "topic": ' || to_json(topic) || '}}'"""
+
+
+@query(f"WITH {WORDS_OF}, v AS (SELECT *, substr(sha256({_CONTRACT}), 1, 10) AS v, trim(regexp_replace({norm("translate(topic, 'đĐ', 'dD')")}, '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM k)" + """
+    SELECT context_id, 'spec-' || coalesce(nullif(slug, ''), 'research') || '-' || v AS spec_id, 'phase8-v1-' || v AS spec_version, 'o' AS research_objective, 0.15::DOUBLE AS min_accept_ratio, 8 AS minimum_comment_text_length FROM v""")
 def pr_validity_specs(spark: SparkSession, d: str) -> DataFrame:
-    """Specs of contexts, normalized; tested on hand-made ones."""
+    """Specs of contexts, normalized, with the digest of their contracts."""
     empty = F.from_json(F.lit("{}"), profiles.SPEC_JSON)
     fallback = F.from_json(F.lit('{"research_objective": "o", "target_signal_types": ["pain"], "comment_policy": {"minimum_comment_text_length": 8}, "batch_policy": {"min_accept_ratio": 0.15, "min_high_conf_accept_ratio": 0.05, "max_consecutive_weak_batches": 2, "uncertain_reformulation_floor": 0.25}}'), profiles.SPEC_JSON)
-    c = _contexts(spark, d).select("context_id", "topic", empty.alias("spec"), fallback.alias("fallback"))
-    return profiles.normalize_validity_spec(c).select("context_id", "spec.spec_id", "spec.research_objective", "spec.batch_policy.min_accept_ratio", "spec.comment_policy.minimum_comment_text_length")
+    c = _contexts(spark, d).select("context_id", "topic", "keywords", empty.alias("spec"), fallback.alias("fallback"))
+    n = profiles.normalize_validity_spec(c, keywords=F.col("keywords"))
+    return n.select("context_id", "spec.spec_id", "spec.spec_version", "spec.research_objective", "spec.batch_policy.min_accept_ratio", "spec.comment_policy.minimum_comment_text_length")

@@ -136,8 +136,22 @@ def next_actions(outcome: Column, cluster: Column, reason: Column, exhausted: Co
     return let(F.filter(codes, lambda c: c.isNotNull()), lambda a: F.when(F.size(a) == 0, F.array(F.lit("review_spec_and_queries"))).otherwise(F.slice(a, 1, 3)))
 
 
+def no_answer_title(outcome: Column) -> Column:
+    return F.when(outcome == "NO_ANSWER_CONTENT", "Accepted records did not converge into a final answer").otherwise("Run completed without usable evidence")
+
+
+def no_answer_summary(outcome: Column, topic: Column, records: Column, searched: Column, exhausted: Column) -> Column:
+    """One or two sentences on why there is no answer."""
+    about = F.when(F.coalesce(topic, F.lit("")) != "", F.concat(F.lit(" for '"), topic, F.lit("'"))).otherwise("")
+    ended = F.when(exhausted, "The run exhausted repeated weak search paths and stopped the remaining tail early.").otherwise("Labeling and theme synthesis were skipped.")
+    return F.when(
+        outcome == "NO_ANSWER_CONTENT",
+        F.concat(F.lit("The run found candidate evidence"), about, F.lit(", but the accepted set still did not form a stable theme answer after labeling and synthesis.")),
+    ).otherwise(F.format_string("No eligible evidence was found%s after %d search steps and %d persisted records. %s", about, searched, records, ended))
+
+
 def no_answer_payload(runs: DataFrame, posts: DataFrame, steps: DataFrame, themes: DataFrame | None = None) -> DataFrame:
-    """One row a run: evidence counts, common reasons and clusters, attempted queries, near misses and next actions.
+    """One row a run: title and summary, evidence counts, common reasons and clusters, attempted queries, near misses and next actions.
 
     ``runs``: ``run_id, topic, outcome_type``.
     """
@@ -163,8 +177,11 @@ def no_answer_payload(runs: DataFrame, posts: DataFrame, steps: DataFrame, theme
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
     gone = F.coalesce("goal_aware_exhausted", F.lit(False))
     top = lambda c, f: F.try_element_at(F.col(c), F.lit(1))[f]
+    n = lambda c: F.coalesce(F.col(c), F.lit(0))
+    outcome = F.col("outcome_type")
     return out.select(
-        "run_id", "topic", "outcome_type", *[zero(c) for c in ("total_records", "accepted_count", "rejected_count", "uncertain_count", "search_steps_completed", "search_steps_skipped")],
+        "run_id", "topic", "outcome_type", no_answer_title(outcome).alias("title"), no_answer_summary(outcome, F.col("topic"), n("total_records"), n("search_steps_completed"), gone).alias("summary"),
+        *[zero(c) for c in ("total_records", "accepted_count", "rejected_count", "uncertain_count", "search_steps_completed", "search_steps_skipped")],
         zero("theme_count") if themes is not None else F.lit(0).cast("long").alias("theme_count"), gone.alias("goal_aware_exhausted"),
         F.col("_reasons").alias("dominant_reject_reasons"), F.col("_clusters").alias("reason_clusters"), "attempted_queries", "near_miss_records",
         next_actions(F.col("outcome_type"), top("_clusters", "reason_cluster"), top("_reasons", "reason_code"), gone).alias("recommended_next_actions"),

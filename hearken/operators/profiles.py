@@ -284,9 +284,11 @@ def resolve_search_query(target: Column | str) -> Column:
 LISTS = ("target_signal_types", "target_author_types", "non_target_author_types", "must_have_signals", "nice_to_have_signals", "hard_reject_signals", "valid_examples", "invalid_examples")
 
 
-def normalize_validity_spec(specs: DataFrame, topic: str = "topic", spec: str = "spec", fallback: str = "fallback") -> DataFrame:
+def normalize_validity_spec(specs: DataFrame, topic: str = "topic", spec: str = "spec", fallback: str = "fallback", **contract: Column) -> DataFrame:
     """Replace ``spec`` by its normalized form: missing or empty fields from ``fallback``, lists without duplicates, ratios
-    within [0, 1], counts at least 0 or 1; examples at most five. ``spec_version`` is a digest of the fields."""
+    within [0, 1], counts at least 0 or 1; examples at most five. ``spec_version`` is the digest of the contract as it came
+    in: topic, objective, signals, and what else is given of ``clarification_history`` (array), ``keywords``,
+    ``retrieval_profile`` (maps or structs) and ``plan_intent`` (text); what is missing counts as empty."""
     s, f = F.col(spec), F.col(fallback)
     fields = set(specs.schema[spec].dataType.fieldNames())
     lists = []
@@ -307,9 +309,18 @@ def normalize_validity_spec(specs: DataFrame, topic: str = "topic", spec: str =
         F.greatest(F.lit(1), F.coalesce(s["batch_policy"]["max_consecutive_weak_batches"], f["batch_policy"]["max_consecutive_weak_batches"])).alias("max_consecutive_weak_batches"),
         unit("batch_policy", "uncertain_reformulation_floor"),
     ).alias("batch_policy")
-    version = F.substring(F.sha2(F.to_json(F.struct(objective, *sorted(lists, key=str), F.col(topic).alias("topic"))), 256), 1, 10)
+    nothing = {"clarification_history": F.array().cast("array<string>"), "keywords": F.create_map().cast("map<string,string>"), "retrieval_profile": F.create_map().cast("map<string,string>"), "plan_intent": F.lit("")}
+    unknown = set(contract) - set(nothing)
+    if unknown:
+        raise TypeError(f"no part of a contract: {sorted(unknown)}")
+    parts = {n: F.to_json(e) if n not in contract else F.coalesce(F.to_json(contract[n]), F.to_json(e)) for n, e in nothing.items() if n != "plan_intent"}
+    intent = F.coalesce(contract.get("plan_intent", F.lit("")), F.lit("")).alias("plan_intent")
+    raw = [F.coalesce(s[n], f[n]).alias(n) for n in ("research_objective", "target_signal_types", "must_have_signals", "hard_reject_signals") if n in fields]
+    flat = F.to_json(F.struct(F.col(topic).alias("topic"), intent, *raw), {"ignoreNullFields": "false"})
+    nested = F.concat_ws(",", *[F.concat(F.lit(f'"{n}":'), c) for n, c in parts.items()])
+    version = contract_hash(F.concat(F.lit("{"), nested, F.lit(","), F.substring(flat, 2, 2**31 - 1)))
     out = F.struct(
-        F.concat(F.lit("spec-"), slugify(topic), F.lit("-"), version).alias("spec_id"), F.concat(F.lit("v1-"), version).alias("spec_version"), objective, *lists, comment, batch
+        F.concat(F.lit("spec-"), slugify(topic), F.lit("-"), version).alias("spec_id"), F.concat(F.lit("phase8-v1-"), version).alias("spec_version"), objective, *lists, comment, batch
     )
     return specs.withColumn(spec, out)
 

@@ -10,11 +10,6 @@ from pyspark.sql import functions as F
 
 from ..functions.terms import TERMINAL_EVENTS
 
-STUCK = (
-    "run_id string, step_id string, heartbeat_at timestamp, failure_class string, collected_count long, persisted_count long, lost_before_persist_count long, "
-    "image_candidate_count long, salvage_available boolean"
-)
-
 
 def latest_progress(events: DataFrame) -> DataFrame:
     """Merged progress of each step: the last value of each field, and the last heartbeat.
@@ -26,16 +21,21 @@ def latest_progress(events: DataFrame) -> DataFrame:
     return events.groupBy("run_id", "step_id").agg(F.max("ts").alias("heartbeat_at"), last("collected"), last("persisted"), last("images"))
 
 
-def stuck_steps(progress: DataFrame, now: Column, limit_sec: float) -> DataFrame:
-    """Steps whose last heartbeat is more than ``limit_sec`` old at ``now``, with what was collected but not persisted."""
+def stuck_rows(progress: DataFrame) -> DataFrame:
+    """What a stuck step leaves: its failure class, what was collected and not persisted, and whether it can be saved."""
     n = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
-    late = (F.unix_micros(now) - F.unix_micros("heartbeat_at")) / 1e6 > limit_sec
-    return progress.filter(late).select(
+    return progress.select(
         "run_id", "step_id", "heartbeat_at", F.lit("STEP_STUCK_TIMEOUT").alias("failure_class"), n("collected").alias("collected_count"), n("persisted").alias("persisted_count"),
         F.greatest(n("collected") - n("persisted"), F.lit(0)).alias("lost_before_persist_count"), n("images").alias("image_candidate_count"), (n("collected") > 0).alias("salvage_available"),
     )
 
 
+def stuck_steps(progress: DataFrame, now: Column, limit_sec: float) -> DataFrame:
+    """Steps whose last heartbeat is more than ``limit_sec`` old at ``now``, with what was collected but not persisted."""
+    late = (F.unix_micros(now) - F.unix_micros("heartbeat_at")) / 1e6 > limit_sec
+    return stuck_rows(progress.filter(late))
+
+
 def stream_stuck_steps(events: DataFrame, limit_sec: int, delay: str = "0 seconds") -> DataFrame:
     """:func:`stuck_steps` on a stream: a step is reported when the watermark passes its last heartbeat by ``limit_sec``."""
 
@@ -43,27 +43,28 @@ def stream_stuck_steps(events: DataFrame, limit_sec: int, delay: str = "0 second
         if state.hasTimedOut:
             at, collected, persisted, images = state.get
             state.remove()
-            lost = max((collected or 0) - (persisted or 0), 0)
-            yield pd.DataFrame([(*key, pd.Timestamp(at), "STEP_STUCK_TIMEOUT", collected or 0, persisted or 0, lost, images or 0, bool(collected))], columns=[x.split()[0] for x in STUCK.split(", ")])
+            yield pd.DataFrame([(*key, at, collected, persisted, images)], columns=["run_id", "step_id", "at", "collected", "persisted", "images"])
             return
         at, collected, persisted, images = state.get if state.exists else (None, None, None, None)
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"], kind="stable")
+        rows = pd.concat(list(batches)).sort_values(["at", "event_id"], kind="stable")
         if at is not None:
-            rows = rows[rows["ts"] >= pd.Timestamp(at)]
+            rows = rows[rows["at"] >= at]
         for r in rows.itertuples(index=False):
-            at = r.ts.to_pydatetime()
+            at = int(r.at)
             collected = collected if pd.isna(r.collected) else int(r.collected)
             persisted = persisted if pd.isna(r.persisted) else int(r.persisted)
             images = images if pd.isna(r.images) else int(r.images)
         if at is not None:
             state.update((at, collected, persisted, images))
-            due = int(pd.Timestamp(at, tz="UTC").timestamp() * 1000) + limit_sec * 1000
-            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+            state.setTimeoutTimestamp(max(at // 1000 + limit_sec * 1000, state.getCurrentWatermarkMs() + 1))
         return
         yield
 
-    e = events.select("run_id", "step_id", "ts", "event_id", "collected", "persisted", "images").withWatermark("ts", delay)
-    return e.groupBy("run_id", "step_id").applyInPandasWithState(run, STUCK, "at timestamp, collected long, persisted long, images long", "append", "EventTimeTimeout")
+    # times as microseconds, so that no time zone comes between
+    e = events.withWatermark("ts", delay).select("run_id", "step_id", "ts", F.unix_micros("ts").alias("at"), "event_id", "collected", "persisted", "images")
+    fields = "at long, collected long, persisted long, images long"
+    late = e.groupBy("run_id", "step_id").applyInPandasWithState(run, f"run_id string, step_id string, {fields}", fields, "append", "EventTimeTimeout")
+    return stuck_rows(late.withColumn("heartbeat_at", F.timestamp_micros("at")))
 
 
 def feed_until_end(events: DataFrame, run: str, order: Sequence[str], kind: str, terminal: Sequence[str] = TERMINAL_EVENTS) -> DataFrame:

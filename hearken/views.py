@@ -91,7 +91,11 @@ def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
+    return progress_of(table(spark, sf_dir, "events"))
+
+
+def progress_of(e: DataFrame) -> DataFrame:
+    """Events as progress of steps; also of a stream."""
     return e.select(
         F.col("user_id").cast("string").alias("run_id"), (F.col("event_id") % 5).cast("string").alias("step_id"), F.col("ts").cast("timestamp").alias("ts"), "event_id",
         F.when(F.col("event_id") % 3 != 0, F.floor("value")).cast("long").alias("collected"), F.when(F.col("event_id") % 2 == 0, F.floor(F.col("value") / 2)).cast("long").alias("persisted"),

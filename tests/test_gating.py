@@ -229,3 +229,15 @@ def test_validity_specs(spark):
     assert a.target_signal_types == ["Pain", "fee"] and len(a.valid_examples) == 5 and a.spec_id.startswith("spec-dong-ho-") and a.research_objective == "base"
     assert tuple(a.batch_policy) == (1.0, 0.0, 1, 0.25) and tuple(a.comment_policy) == (True, False, 0) and b.target_signal_types == ["x"] and tuple(b.comment_policy) == (True, False, 8)
     assert a.spec_version != b.spec_version
+
+
+def test_spec_version_is_the_digest_of_the_contract(spark):
+    import hashlib
+    import json
+
+    base = '{"research_objective": " base ", "target_signal_types": ["x", "X"], "comment_policy": {}, "batch_policy": {"min_accept_ratio": 0.1}}'
+    df = spark.createDataFrame([("Đồng \"hồ\"", {"brand": ["a", "é"]}, base, "buy")], "topic string, k map<string,array<string>>, f string, i string")
+    df = df.select("topic", "k", "i", F.from_json(F.lit('{"must_have_signals": []}'), profiles.SPEC_JSON).alias("spec"), F.from_json("f", profiles.SPEC_JSON).alias("fallback"))
+    got = profiles.normalize_validity_spec(df, keywords=F.col("k"), plan_intent=F.col("i")).first().spec.spec_version
+    want = {"topic": 'Đồng "hồ"', "clarification_history": [], "keywords": {"brand": ["a", "é"]}, "retrieval_profile": {}, "plan_intent": "buy", "research_objective": " base ", "target_signal_types": ["x", "X"], "must_have_signals": [], "hard_reject_signals": None}
+    assert got == "phase8-v1-" + hashlib.sha256(json.dumps(want, ensure_ascii=False, sort_keys=True).encode()).hexdigest()[:10]

@@ -169,6 +169,8 @@ def test_no_answer_payload(spark):
     assert [x.post_id for x in r.near_miss_records] == ["a", "b"] and len(r.near_miss_records[0].content) == 180
     assert [(x.reason_code, x["count"]) for x in r.dominant_reject_reasons] == [("commercial_noise", 2), ("z", 1)]
     assert r.recommended_next_actions == ["broaden_retrieval_profile", "deprioritize_promotional_sources"]
+    assert r.title == "Run completed without usable evidence" and r.summary == "No eligible evidence was found for 'fees' after 1 search steps and 3 persisted records. Labeling and theme synthesis were skipped."
+    assert out["empty"].summary.startswith("No eligible evidence was found after 0 search steps and 0 persisted records.")
     assert out["empty"].total_records == 0 and out["empty"].recommended_next_actions == ["review_spec_and_queries"]
 
 

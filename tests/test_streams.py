@@ -91,3 +91,12 @@ def test_progress(spark):
 def test_feed_ends_at_the_terminal_event(spark):
     df = spark.createDataFrame([("r", 1, "STARTED"), ("r", 2, "DONE"), ("r", 3, "late"), ("s", 1, "x")], "run_id string, n int, kind string")
     assert sorted((r.run_id, r.n) for r in progress.feed_until_end(df, "run_id", ["n"], "kind").collect()) == [("r", 1), ("r", 2), ("s", 1)]
+
+
+def test_stuck_stream_equals_its_batch_twin(spark, tmp_path):
+    t = lambda m: datetime(2024, 1, 1) + timedelta(minutes=m)
+    schema = "run_id string, step_id string, ts timestamp, event_id long, collected long, persisted long, images long"
+    rows = [("r", "1", t(0), 1, 5, None, None), ("r", "1", t(1), 2, None, 2, 1), ("r", "2", t(30), 3, None, None, None), ("s", "1", t(2), 4, None, None, None)]
+    out = run_stream(spark, tmp_path, [rows], schema, lambda s: progress.stream_stuck_steps(s, 300))
+    twin = progress.stuck_steps(progress.latest_progress(spark.createDataFrame(rows, schema)), F.lit(t(30)), 300).select(*out.columns)
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, twin.collect())) and out.count() == 2
