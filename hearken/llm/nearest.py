@@ -1,7 +1,7 @@
 """Nearest neighbours by inner product: inverted lists with an adaptive scan of rotated dimensions.
 
 Vectors get one more component so that the largest inner product becomes the smallest distance, and are rotated at
-random. Coarse centres are fitted on a bounded sample; every row is assigned to its list, every query probes the nearest
+random. Coarse centres are fitted on a bounded sample, of which some rows are held out to settle the number of probes; every row is assigned to its list, every query probes the nearest
 lists. Inside a list the rotated vectors stand in blocks of columns. After each block a hypothesis test on the partial
 distance drops candidates that are unlikely to come under the query's distance to beat, so most rows are never read
 to the end. Lists and their queries are dealt in blocks of bounded size, whatever their number. What survives is scored
@@ -26,8 +26,10 @@ NEIGHBOURS = 20
 SAMPLE, ROWS, QUERIES = 20_000, 4096, 2048
 #: Queries of the sample that settle how many lists are probed, and the share of their neighbours there to be found.
 TRIED, REACHED = 512, 0.96
-#: Rows a list should have on average.
-LIST_ROWS = 1024
+#: Rows a list should have on average, and rows of the sample that a centre is fitted on at least: the latter bounds the lists.
+LIST_ROWS, FIT_ROWS = 1024, 30
+#: One of so many rows of the sample is held out of the fit; the number of probes is settled on these.
+HELD = 4
 COLUMNS = 16
 #: The test's margin: larger drops less.
 MARGIN = 2.1
@@ -65,7 +67,7 @@ def nearest_centres(x: np.ndarray, c: np.ndarray, k: int) -> np.ndarray:
 
 
 def lists_to_probe(raw: np.ndarray, rows: np.ndarray, queries: np.ndarray, own: np.ndarray, centres: np.ndarray, k: int) -> int:
-    """How many lists hold ``REACHED`` of the sample's true neighbours of its queries (brute force on the sample)."""
+    """How many lists hold ``REACHED`` of the true neighbours of some rows among ``rows`` (brute force), which the centres weren't fitted on."""
     if len(raw) < 2:
         return len(centres)
     home = nearest_centres(rows, centres, 1)[:, 0]
@@ -153,7 +155,6 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
         return base.select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score"))
     dim, n, longest = sizes
     base = base.filter(F.col("dim") == dim)
-    lists = max(1, n // LIST_ROWS)
     share = min(1.0, SAMPLE / n)
     # a bounded sample by hash: the same rows in every run
     taken = base.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) <= int(share * (1 << 30))).orderBy(F.xxhash64("id")).limit(SAMPLE).select("id", "v", "norm").toPandas()
@@ -164,11 +165,11 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
         return np.hstack([v, extra[:, None]]) @ turn
 
     sample = rotated(_matrix(taken["v"].tolist(), len(taken)), taken["norm"].to_numpy(), False)
-    lists = min(lists, len(sample))
-    centres = fit_centres(sample, lists)
     raw = _matrix(taken["v"].tolist(), len(taken))
-    tried = np.unique(np.linspace(0, len(raw) - 1, min(TRIED, len(raw))).astype(int))
-    probes = lists_to_probe(raw, sample, rotated(raw[tried], np.zeros(len(tried)), True), tried, centres, k)
+    held = np.arange(len(sample)) % HELD == HELD - 1
+    centres = fit_centres(sample[~held], max(1, min(n // LIST_ROWS, int((~held).sum()) // FIT_ROWS)))
+    tried = np.unique(np.linspace(0, max(int(held.sum()) - 1, 0), min(TRIED, int(held.sum()))).astype(int))
+    probes = lists_to_probe(raw[held], sample[held], rotated(raw[held][tried], np.zeros(len(tried)), True), tried, centres, k)
 
     sample_ids = taken["id"].to_numpy()
 

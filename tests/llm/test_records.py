@@ -414,6 +414,19 @@ def test_recall(spark, monkeypatch, rows, queries):
     assert got.keys() == want.keys() and hit / (20 * len(want)) >= 0.9
 
 
+def test_probes_hold_for_rows_outside_the_fit():
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((6000, 16))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    fit, held, asked = x[:1200], x[1200:1600], x[5900:]
+    centres = nearest.fit_centres(fit, len(fit) // nearest.FIT_ROWS)
+    probes = nearest.lists_to_probe(held, held, held, np.arange(400), centres, 20)
+    home, probed = nearest.nearest_centres(x, centres, 1)[:, 0], nearest.nearest_centres(asked, centres, probes)
+    top = np.argsort(-(asked @ x.T), axis=1)[:, 1:21]
+    assert probes < len(centres)
+    assert np.mean([np.isin(home[t], p).mean() for t, p in zip(top, probed, strict=True)]) >= 0.9
+
+
 def test_vectors_that_take_no_part(spark):
     rows = [(20, [1.0, 0.0], 0), (1, [2.0, 0.0], 0), (2, None, 0), (3, [0.0, 0.0], 0), (4, [float("nan"), 1.0], 0), (5, [1.0, None], 0), (6, [float("inf"), 1.0], 0), (7, [], 0), (None, [1.0, 1.0], 0), (8, [1.0, 1.0, 1.0], 0), (40, [0.0, 1.0], 0)]
     got = [(r.query_id, r.rank, r.vec_id, r.score) for r in nearest.search(spark.createDataFrame(rows, VECTORS)).orderBy("query_id", "rank").collect()]
