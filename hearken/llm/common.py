@@ -59,6 +59,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def lasting(df: DataFrame, name: str) -> DataFrame:
+    """Like :func:`stored`, for a result that outlasts the :func:`scratch` in which it is made."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 #: Bytes of one Arrow batch.
 ARROW_BYTES = 4 << 20
 
@@ -79,6 +86,12 @@ def n_tasks(spark: SparkSession, total_bytes: int, per_task: int) -> int:
     return max(least, -(-int(total_bytes) // per_task))
 
 
+def dealt(df: DataFrame, total_bytes: int, *keys: str, per_task: int = 32 << 20) -> DataFrame:
+    """``df`` dealt out by ``keys`` to the session's shuffle partitions, or to more if ``total_bytes`` needs them."""
+    n = n_tasks(df.sparkSession, total_bytes, per_task)
+    return df.repartition(n, *keys) if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df.repartition(*keys)
+
+
 def text_or_empty(c: str) -> Column:
     return F.coalesce(F.col(c).cast("string"), F.lit(""))
 
