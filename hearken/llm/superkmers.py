@@ -134,15 +134,25 @@ def unpack(blob: bytes):
     return unshuffled(part[0], np.int64), unshuffled(part[1], np.int64), unshuffled(part[2], np.int64), size, part[4], unshuffled(part[5], np.int64).reshape(-1, 4)
 
 
-def ids_repeat(docs: DataFrame) -> bool:
-    return docs.groupBy(F.col("doc_id").cast("long").alias("d")).count().filter("count > 1").limit(1).count() > 0
-
-
-def doc_key(repeated: bool) -> dict[str, Column]:
-    """``doc`` and ``tag`` stand for a row in both scans. The tag, a hash of the text, tells rows apart that share an id;
+def id_facts(docs: DataFrame) -> tuple[bool, int | None]:
+    """Whether an id (or its lack) is on several rows, and the ``gap`` for :func:`doc_key`: where rows without an id stand beside the
+    largest long, the largest id that no row has."""
+    ids = docs.groupBy(F.col("doc_id").cast("long").alias("d")).count()
+    most, without, largest = ids.agg(F.max("count"), F.max(F.col("d").isNull()), F.max("d")).first()
+    gap = None
+    if without and largest == NO_ID:
+        have = ids.select("d").filter("d is not null")
+        gap = have.filter(F.col("d") > np.iinfo(np.int64).min).select((F.col("d") - 1).alias("d")).join(have, "d", "left_anti").agg(F.max("d")).first()[0]
+    return (most or 0) > 1, gap
+
+
+def doc_key(repeated: bool, gap: int | None = None) -> dict[str, Column]:
+    """``doc`` and ``tag`` stand for a row in both scans. ``doc`` has the order of the ids, none after all others: it is the id, but that those beyond
+    the ``gap`` move down by one, so that the largest long is free. The tag, a hash of the text, tells rows apart that share an id;
     it is zero where no id repeats."""
+    d = F.col("doc_id").cast("long")
     return {
-        "doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NO_ID))),
+        "doc": F.coalesce(d if gap is None else F.when(d > gap, d - 1).otherwise(d), F.lit(int(NO_ID))),
         "tag": F.xxhash64("text") if repeated else F.lit(0).cast("long"),
     }
 
@@ -357,8 +367,8 @@ def find_covered(
 
 def with_spans(docs: DataFrame, find: Callable[[DataFrame, bool], DataFrame]) -> DataFrame:
     """``doc_id, text`` (compressed bytes, see :func:`unpacked`) of each row of ``docs`` with the ``spans`` that ``find`` covers, null for none."""
-    repeated = ids_repeat(docs)
-    rows = docs.select("doc_id", text_or_empty("text").alias("text")).withColumns(doc_key(repeated)).withColumn("text", F.col("text").cast("binary"))
+    repeated, gap = id_facts(docs)
+    rows = docs.select("doc_id", text_or_empty("text").alias("text")).withColumns(doc_key(repeated, gap)).withColumn("text", F.col("text").cast("binary"))
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=3)

@@ -169,6 +169,20 @@ def test_repeated_rows(spark, op, brute, back):
         assert got == sorted(want)
 
 
+@pytest.mark.parametrize("op, brute", [(byte_windows.dedup, brute_bytes), (word_windows.dedup, brute_words)])
+@pytest.mark.parametrize("beside", [[], [(2**63 - 2, "y"), (2**63 - 3, "z")]])
+def test_no_id_beside_the_extreme_ids(spark, op, brute, beside):
+    """A row without an id comes after that of the largest long and is another document."""
+    rnd = random.Random(8)
+    text = lambda n: " ".join(f"w{rnd.randrange(10**6)}" for _ in range(n))
+    shared, late = text(40), text(30)
+    rows = [(None, f"{text(90)} {late} {shared}"), (2**63 - 1, f"{text(50)} {shared} {late}"), (-(2**63), f"{shared} {text(20)}"), (5, text(60)), *[(d, f"{text(15)} {late} {t}") for d, t in beside]]
+    got = {r.doc_id: tuple(r)[1:] for r in op(docs(spark, rows)).collect()}
+    want = brute([(2**63 if d is None else d, t) for d, t in rows])
+    assert got == {None if d == 2**63 else d: v for d, v in want.items()}
+    assert got[None][1] > 0 and got[-(2**63)][1] == 0
+
+
 @pytest.mark.parametrize("op, brute", [(byte_windows.dedup, brute_bytes), (word_windows.dedup, brute_words)])
 def test_frequent_grams_and_shards_on_disk(spark, monkeypatch, op, brute):
     """A passage of many documents between their own words, with nearly every gram frequent and shards that don't fit."""
