@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.scoring import lit_profile, normalized_profile
+from ..sources import tables
 from ..streaming import gating, health, progress
 from ..views import progress as progress_view
 from ..views import progress_of, signals, table, with_views
@@ -32,18 +33,29 @@ def shared(spark: SparkSession) -> str:
     return (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="hearken-")).rstrip("/")
 
 
-def drain(spark: SparkSession, sf_dir: str, name: str, build: Callable[[DataFrame], DataFrame], mode: str = "append") -> DataFrame:
-    """Run ``build`` over a table as a stream until all of it is read; the sink's rows."""
+def finished(spark: SparkSession, stream: DataFrame) -> DataFrame:
+    """The rows that a stream appends until its source is read."""
     at = f"{shared(spark)}/stream-{uuid.uuid4().hex}"
+    out = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{at}/state").outputMode("append").format("parquet")
+    out.start(f"{at}/out").awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{at}/out")
+
+
+def drain_source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as a stream."""
     path = f"{sf_dir}/{name}.parquet"
-    schema = spark.read.parquet(path).schema
     # a file or a folder of files: both are read as a glob of the folder above
-    src = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true")
-    stream = build(src.load(path if table_is_folder(spark, path) else f"{sf_dir}/{name}*.parquet"))
-    out = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{at}/state")
+    src = spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true")
+    return src.load(path if table_is_folder(spark, path) else f"{sf_dir}/{name}*.parquet")
+
+
+def drain(spark: SparkSession, sf_dir: str, name: str, build: Callable[[DataFrame], DataFrame], mode: str = "append") -> DataFrame:
+    """Run ``build`` over a table as a stream until all of it is read; the sink's rows."""
+    stream = build(drain_source(spark, sf_dir, name))
     if mode == "append":
-        out.outputMode("append").format("parquet").start(f"{at}/out").awaitTermination()
-        return spark.read.schema(stream.schema).parquet(f"{at}/out")
+        return finished(spark, stream)
+    at = f"{shared(spark)}/stream-{uuid.uuid4().hex}"
+    out = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{at}/state")
     # update mode: each trigger's rows replace those before it
     out.outputMode(mode).foreachBatch(lambda b, i: b.withColumn("_trigger", F.lit(i)).write.mode("append").parquet(f"{at}/out")).start().awaitTermination()
     return spark.read.parquet(f"{at}/out")
@@ -81,6 +93,19 @@ def st_health_stream(spark: SparkSession, d: str) -> DataFrame:
     return h.select("signal_id", "status_before", "status_after", "session_status", F.unix_micros("cooldown_until").alias("cooldown"))
 
 
+@query(SQL["st_health_batch"])
+def st_health_resumed(spark: SparkSession, d: str) -> DataFrame:
+    """The older half of the signals as a batch, whose last states start a stream over the rest."""
+    s = signals(spark, d)
+    lo, hi = s.agg(F.min(F.unix_micros("detected_at")), F.max(F.unix_micros("detected_at"))).first()
+    old = F.unix_micros("detected_at") <= F.lit(((lo or 0) + (hi or 0)) // 2)
+    at = f"{shared(spark)}/signals-{uuid.uuid4().hex}"
+    s.filter(~old).write.parquet(at)
+    first = health.health_log(s.filter(old))
+    rest = finished(spark, health.stream_health_log(tables.stream_table(spark, at, s.schema), start=health.states_after(first)))
+    return first.unionByName(rest).select("signal_id", "status_before", "status_after", "session_status", F.unix_micros("cooldown_until").alias("cooldown"))
+
+
 @query(HEALTH + """, l AS (SELECT *, CASE WHEN expired AND status_after = 'HEALTHY' THEN 'CAUTION' ELSE status_after END AS hs, row_number() OVER (PARTITION BY account ORDER BY rn DESC) AS back FROM w)
     SELECT account, hs AS health_status, false AS runnable, CASE WHEN expired THEN 'REAUTH_REQUIRED' ELSE 'CONNECT_ACCOUNT' END AS action_required, coalesce(cool <= TIMESTAMP '2024-01-31 00:00:00', false) OR hs = 'HEALTHY' AS write_allowed,
         NOT (hs = 'BLOCKED' AND coalesce(cool > TIMESTAMP '2024-01-31 00:00:00', false)) AS reset_allowed FROM l WHERE back = 1""")
@@ -101,7 +126,13 @@ def _stream_candidates(docs: DataFrame) -> DataFrame:
 
 @query(with_views("candidates") + " SELECT run_id, count(DISTINCT coalesce(source_url, post_id)) AS kept FROM candidates GROUP BY 1")
 def st_dedupe(spark: SparkSession, d: str) -> DataFrame:
-    kept = drain(spark, d, "documents", lambda s: gating.dedupe_stream(_stream_candidates(s), "seen_at").select("run_id", "post_id"))
+    """Documents in four files, one a trigger, with times that move on by a minute each."""
+    at = f"{shared(spark)}/seen-{uuid.uuid4().hex}"
+    docs = table(spark, d, "documents")
+    docs.repartition(4, "doc_id").write.parquet(at)
+    seen = F.timestamp_seconds(F.lit(1704067200) + 60 * F.col("ordinal"))
+    stream = _stream_candidates(tables.stream_table(spark, at, docs.schema, files_per_trigger=1)).withColumn("seen_at", seen)
+    kept = finished(spark, gating.dedupe_stream(stream, "seen_at", "4000 days").select("run_id", "post_id"))
     return kept.groupBy("run_id").agg(F.count(F.lit(1)).alias("kept"))
 
 
@@ -133,24 +164,24 @@ def st_stop_rules(spark: SparkSession, d: str) -> DataFrame:
     j = e.select(F.col("user_id").cast("string").alias("path_id"), F.row_number().over(w).cast("long").alias("ordinal"), F.when(F.col("user_id") % 3 == 0, "REJECTED").otherwise(decision).alias("decision"), (F.col("value") % 1).alias("relevance_score"), F.lit(0.8).alias("confidence_score"))
     at = f"{shared(spark)}/judged-{uuid.uuid4().hex}"
     j.repartition(4).write.parquet(f"{at}/judged.parquet")
-    return drain(spark, at, "judged", gating.stop_stream)
+    return drain(spark, at, "judged", gating.stop_stream).filter("given_up is null").drop("given_up")
 
 
-LAST = with_views("progress") + ", h AS (SELECT run_id, step_id, max(ts) AS hb, arg_max(collected, event_id) FILTER (collected IS NOT NULL) AS c, arg_max(persisted, event_id) FILTER (persisted IS NOT NULL) AS p, arg_max(images, event_id) FILTER (images IS NOT NULL) AS i FROM progress GROUP BY ALL)" + """
-    SELECT run_id, step_id, coalesce(c, 0) AS collected_count, coalesce(p, 0) AS persisted_count, greatest(coalesce(c, 0) - coalesce(p, 0), 0) AS lost_before_persist_count, coalesce(i, 0) AS image_candidate_count, coalesce(c, 0) > 0 AS salvage_available FROM h"""
-STUCK_COLUMNS = ("run_id", "step_id", "collected_count", "persisted_count", "lost_before_persist_count", "image_candidate_count", "salvage_available")
+LAST = with_views("progress") + ", h AS (SELECT run_id, step_id, max(ts) AS hb, arg_max(collected, event_id) FILTER (collected IS NOT NULL) AS c, arg_max(persisted, event_id) FILTER (persisted IS NOT NULL) AS p, arg_max(images, event_id) FILTER (images IS NOT NULL) AS i, arg_max(activity, event_id) FILTER (activity IS NOT NULL) AS activity, arg_max(samples, event_id) FILTER (samples IS NOT NULL) AS s FROM progress GROUP BY ALL)" + """
+    SELECT run_id, step_id, coalesce(c, 0) AS collected_count, coalesce(p, 0) AS persisted_count, greatest(coalesce(c, 0) - coalesce(p, 0), 0) AS lost_before_persist_count, coalesce(i, 0) AS image_candidate_count, coalesce(c, 0) > 0 OR coalesce(len(s), 0) > 0 AS salvage_available, activity, coalesce(array_to_string(s[1:3], ','), '') AS samples FROM h"""
+STUCK_COLUMNS = ("run_id", "step_id", "collected_count", "persisted_count", "lost_before_persist_count", "image_candidate_count", "salvage_available", "activity")
 
 
 @query(LAST + " WHERE (epoch_us(TIMESTAMP '2024-01-31 00:00:00') - epoch_us(hb)) / 1e6 > 86400")
 def st_stuck_steps(spark: SparkSession, d: str) -> DataFrame:
     s = progress.stuck_steps(progress.latest_progress(progress_view(spark, d)), F.lit("2024-01-31 00:00:00").cast("timestamp"), 86400)
-    return s.select(*STUCK_COLUMNS)
+    return s.select(*STUCK_COLUMNS, F.array_join("samples", ",").alias("samples"))
 
 
 @query(LAST + " WHERE epoch_ms(hb) + 86400000 < (SELECT epoch_ms(max(ts)) FROM events)")
 def st_stuck_steps_stream(spark: SparkSession, d: str) -> DataFrame:
     """Steps that the newest event leaves more than a day behind, as the stream reports them."""
-    return drain(spark, d, "events", lambda e: progress.stream_stuck_steps(progress_of(e), 86400)).select(*STUCK_COLUMNS)
+    return drain(spark, d, "events", lambda e: progress.stream_stuck_steps(progress_of(e), 86400)).select(*STUCK_COLUMNS, F.array_join("samples", ",").alias("samples"))
 
 
 @query("""SELECT user_id, count(*) AS events, max(event_id) AS last_event FROM (SELECT *, coalesce(max((event_type = 'error')::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ended FROM events) WHERE ended = 0 GROUP BY 1""")
@@ -159,6 +190,22 @@ def st_event_feed(spark: SparkSession, d: str) -> DataFrame:
     return f.groupBy("user_id").agg(F.count(F.lit(1)).alias("events"), F.max("event_id").alias("last_event"))
 
 
+@query("""SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY us, event_id) AS position, event_id, kind FROM (SELECT user_id::VARCHAR AS run_id, epoch_us(ts) AS us, event_id, event_type AS kind,
+    coalesce(max((event_type = 'error')::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ended FROM events) WHERE ended = 0""")
+def st_event_feed_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The feed of every run as a stream whose files come out of order, one a trigger; a last file moves the watermark past all."""
+    at = f"{shared(spark)}/feed-{uuid.uuid4().hex}"
+    e = table(spark, d, "events").select(F.col("user_id").cast("string").alias("run_id"), F.col("ts").cast("timestamp").alias("ts"), "event_id", F.col("event_type").alias("kind"))
+    lo, hi = e.agg(F.min(F.unix_seconds("ts")), F.max(F.unix_seconds("ts"))).first()
+    parts, width = 6, ((hi or 0) - (lo or 0)) // 6 + 1
+    part = F.least(F.floor((F.unix_seconds("ts") - F.lit(lo)) / width), F.lit(parts - 1))
+    for k in (1, 0, 3, 2, 5, 4):
+        e.filter(part == k).coalesce(1).write.mode("append").parquet(at)
+    e.select(F.lit("").alias("run_id"), (F.max("ts") + F.expr("INTERVAL 1000 DAYS")).alias("ts"), F.lit(-1).cast("long").alias("event_id"), F.lit("").alias("kind")).write.mode("append").parquet(at)
+    feed = progress.stream_feed(tables.stream_table(spark, at, e.schema, files_per_trigger=1), f"{2 * width} seconds", ["error"])
+    return finished(spark, feed).filter("run_id <> ''").select("run_id", "position", "event_id", "kind")
+
+
 @query("SELECT user_id::VARCHAR AS run_id, event_type AS pre_ai_status, count(*) AS count FROM events GROUP BY ALL")
 def st_live_counters(spark: SparkSession, d: str) -> DataFrame:
     c = drain(spark, d, "events", lambda e: gating.run_counters(e.select(F.col("user_id").cast("string").alias("run_id"), F.col("event_type").alias("pre_ai_status"))), "update")

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from datetime import timedelta
+from datetime import datetime, timedelta
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from .state import with_keyed_state
 
 #: Status and hours of cooldown after a signal; others leave the status and clear the cooldown.
 AFTER = {"CAPTCHA": ("BLOCKED", 24), "ACTION_BLOCKED": ("CAUTION", 1), "RATE_LIMIT": ("CAUTION", 1), "REDUCED_REACH": ("CAUTION", 1), "MANUAL_RESET": ("HEALTHY", None)}
@@ -89,20 +92,49 @@ def step(state: tuple, kind: str, at) -> tuple[tuple, tuple]:
     return (status, session, cooldown), (before, status, session, cooldown)
 
 
-def stream_health_log(signals: DataFrame, initial_session: str = "NOT_SETUP") -> DataFrame:
-    """:func:`health_log` on a stream: state is three values an account; signals of a trigger are taken in order."""
+def states_after(log: DataFrame) -> DataFrame:
+    """What a stream needs to go on where a batch log ended: ``account, status, session, cooldown`` (microseconds)."""
+    last = F.max_by(F.struct("status_after", "session_status", F.unix_micros("cooldown_until").alias("cooldown")), F.struct("detected_at", "signal_id"))
+    return log.groupBy("account").agg(last.alias("s")).select("account", F.col("s.status_after").alias("status"), F.col("s.session_status").alias("session"), "s.cooldown")
+
+
+_EPOCH = datetime(1970, 1, 1)
+
+
+class AccountHealth(StatefulProcessor):
+    """The state machine of an account: three values, started from a stored row where there is one."""
+
+    def __init__(self, initial_session: str):
+        self.initial_session = initial_session
 
-    def run(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        now = state.get if state.exists else ("HEALTHY", initial_session, None)
-        rows = pd.concat(list(batches)).sort_values(["detected_at", "signal_id"], kind="stable")
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.now = handle.getValueState("now", "status string, session string, cooldown long")
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        row = initialState.iloc[0]
+        self.now.update((row["status"], row["session"], None if pd.isna(row["cooldown"]) else int(row["cooldown"])))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        status, session, cooldown = self.now.get() if self.now.exists() else ("HEALTHY", self.initial_session, None)
+        state = (status, session, None if cooldown is None else _EPOCH + timedelta(microseconds=cooldown))
         out = []
-        for r in rows.itertuples(index=False):
-            now, (before, after, session, cooldown) = step(now, r.signal_type, r.detected_at.to_pydatetime())
-            out.append((key[0], r.signal_id, r.signal_type, r.detected_at, before, after, session, cooldown))
-        state.update(now)
-        frame = pd.DataFrame(out, columns=COLUMNS)
-        frame["cooldown_until"] = pd.to_datetime(frame["cooldown_until"])
-        yield frame
-
-    s = signals.select("account", F.col("signal_id").cast("long"), "signal_type", "detected_at")
-    return s.groupBy("account").applyInPandasWithState(run, LOG, "status string, session string, cooldown timestamp", "append", "NoTimeout")
+        for r in pd.concat(list(rows)).sort_values(["at", "signal_id"], kind="stable").itertuples(index=False):
+            state, (before, after, session, until) = step(state, r.signal_type, _EPOCH + timedelta(microseconds=int(r.at)))
+            out.append((key[0], r.signal_id, r.signal_type, r.at, before, after, session, None if until is None else (until - _EPOCH) // timedelta(microseconds=1)))
+        self.now.update((state[0], state[1], None if state[2] is None else (state[2] - _EPOCH) // timedelta(microseconds=1)))
+        frame = pd.DataFrame(out, columns=["account", "signal_id", "signal_type", "at", "status_before", "status_after", "session_status", "cooldown"])
+        yield frame.astype({"cooldown": "Int64"})
+
+
+def stream_health_log(signals: DataFrame, initial_session: str = "NOT_SETUP", start: DataFrame | None = None) -> DataFrame:
+    """:func:`health_log` on a stream: state is three values an account; signals of a trigger are taken in order.
+
+    ``start`` has accounts' states to go on from (:func:`states_after`, or the stored table of accounts); a static table.
+    """
+    with_keyed_state(signals.sparkSession)
+    # times as microseconds, so that no time zone comes between
+    s = signals.select("account", F.col("signal_id").cast("long"), "signal_type", F.unix_micros("detected_at").alias("at"))
+    out = "account string, signal_id long, signal_type string, at long, status_before string, status_after string, session_status string, cooldown long"
+    first = None if start is None else start.select("account", "status", "session", F.col("cooldown").cast("long")).groupBy("account")
+    log = s.groupBy("account").transformWithStateInPandas(AccountHealth(initial_session), out, "append", "none", initialState=first)
+    return log.withColumns({"detected_at": F.timestamp_micros("at"), "cooldown_until": F.timestamp_micros("cooldown")}).select(*COLUMNS)

@@ -99,7 +99,8 @@ def progress_of(e: DataFrame) -> DataFrame:
     return e.select(
         F.col("user_id").cast("string").alias("run_id"), (F.col("event_id") % 5).cast("string").alias("step_id"), F.col("ts").cast("timestamp").alias("ts"), "event_id",
         F.when(F.col("event_id") % 3 != 0, F.floor("value")).cast("long").alias("collected"), F.when(F.col("event_id") % 2 == 0, F.floor(F.col("value") / 2)).cast("long").alias("persisted"),
-        F.from_json("props", "k int")["k"].cast("long").alias("images"),
+        F.from_json("props", "k int")["k"].cast("long").alias("images"), F.when(F.col("event_id") % 4 != 0, F.col("event_type")).alias("activity"),
+        F.when(F.col("event_id") % 7 == 0, F.slice(F.array(*[F.concat_ws("-", "event_type", F.lit(k)) for k in range(1, 6)]), 1, (F.col("event_id") % 5).cast("int"))).alias("samples"),
     )
 
 
@@ -132,7 +133,8 @@ SQL = {
                WHEN 'signup' THEN 'REDUCED_REACH' WHEN 'purchase' THEN 'MANUAL_RESET' END AS signal_type, ts AS detected_at FROM events)""",
     "progress": """progress AS (
         SELECT user_id::VARCHAR AS run_id, (event_id % 5)::VARCHAR AS step_id, ts, event_id, CASE WHEN event_id % 3 <> 0 THEN floor(value)::BIGINT END AS collected,
-               CASE WHEN event_id % 2 = 0 THEN floor(value / 2)::BIGINT END AS persisted, (props->>'k')::BIGINT AS images FROM events)""",
+               CASE WHEN event_id % 2 = 0 THEN floor(value / 2)::BIGINT END AS persisted, (props->>'k')::BIGINT AS images, CASE WHEN event_id % 4 <> 0 THEN event_type END AS activity,
+               CASE WHEN event_id % 7 = 0 THEN list_transform(range(1, event_id % 5 + 1), lambda k: event_type || '-' || k) END AS samples FROM events)""",
 }
 
 

@@ -100,3 +100,78 @@ def test_stuck_stream_equals_its_batch_twin(spark, tmp_path):
     out = run_stream(spark, tmp_path, [rows], schema, lambda s: progress.stream_stuck_steps(s, 300))
     twin = progress.stuck_steps(progress.latest_progress(spark.createDataFrame(rows, schema)), F.lit(t(30)), 300).select(*out.columns)
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, twin.collect())) and out.count() == 2
+
+
+def feed_parts(seed):
+    """Runs with and without an end, late starters, ties of time; files that overlap in time."""
+    rnd = random.Random(seed)
+    t0, rows = datetime(2024, 1, 1), []
+    for run in "abcd":
+        for i in range(40):
+            kind = "DONE" if run in "ac" and i in (25, 30) else rnd.choice(["step", "note"])
+            rows.append((run, t0 + timedelta(minutes=i // 2 + 3 * "abcd".index(run)), len(rows), kind))
+    order = sorted(rows, key=lambda r: r[1].timestamp() + rnd.uniform(-300, 300))
+    parts = [order[k : k + 20] for k in range(0, len(order), 20)]
+    return rows, [*parts, [("", t0 + timedelta(days=9), -1, "end")]]
+
+
+FEED = "run_id string, ts timestamp, event_id long, kind string"
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_feed_stream_equals_its_batch_twin(spark, tmp_path, seed):
+    rows, parts = feed_parts(seed)
+    out = run_stream(spark, tmp_path, parts, FEED, lambda s: progress.stream_feed(s, "11 minutes"))
+    got = sorted((r.run_id, r.position, r.event_id, r.kind) for r in out.filter("run_id <> ''").collect())
+    twin = progress.feed_until_end(spark.createDataFrame(rows, FEED), "run_id", ["ts", "event_id"], "kind")
+    assert got == sorted((r.run_id, r.position, r.event_id, r.kind) for r in twin.collect())
+    assert max(r[1] for r in got if r[0] == "a") == 26 and max(r[1] for r in got if r[0] == "b") == 40
+
+
+def test_stuck_steps_keep_samples_and_activity(spark, tmp_path):
+    """Samples without a count can be saved; later nulls don't overwrite, later lists do, and three are kept. Also from several triggers."""
+    t = lambda m: datetime(2024, 1, 1) + timedelta(minutes=m)
+    schema = "run_id string, step_id string, ts timestamp, event_id long, collected long, persisted long, images long, activity string, samples array<string>"
+    parts = [
+        [("r", "1", t(0), 1, None, None, None, "search", ["a", "b", "c", "d"]), ("r", "2", t(0), 2, 0, None, None, None, []), ("r", "3", t(1), 3, 4, 1, 1, "open", ["x"])],
+        [("r", "1", t(1), 4, None, None, None, None, None), ("r", "3", t(2), 5, None, 2, None, "scan", ["y", "z"])],
+        [("r", "3", t(3), 6, None, None, None, None, []), ("end", "1", t(90), 7, None, None, None, None, None)],
+    ]
+    out = run_stream(spark, tmp_path, parts, schema, lambda s: progress.stream_stuck_steps(s, 300))
+    got = {(r.run_id, r.step_id): (r.collected_count, r.lost_before_persist_count, r.salvage_available, r.activity, r.samples) for r in out.collect()}
+    assert got == {("r", "1"): (0, 0, True, "search", ["a", "b", "c"]), ("r", "2"): (0, 0, False, None, []), ("r", "3"): (4, 2, True, "scan", [])}
+    rows = [r for p in parts for r in p]
+    twin = progress.stuck_steps(progress.latest_progress(spark.createDataFrame(rows, schema)), F.lit(t(90)), 300).select(*out.columns)
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, twin.collect()))
+
+
+def test_paths_with_holes_end(spark, tmp_path):
+    """A path whose next record never comes gives up what waits, by number or by time; other paths go on."""
+    t = lambda m: datetime(2024, 1, 1) + timedelta(minutes=m)
+    schema = JUDGED + ", seen timestamp"
+    row = lambda p, k, m: (p, k, "ACCEPTED", 0.9, 0.9, t(m))
+    parts = [
+        [row("many", k, 0) for k in range(2, 9)] + [row("slow", k, 0) for k in (1, 3, 4)] + [row("late", 2, 0)] + [row("good", k, 0) for k in range(1, 41)],
+        [row("late", 1, 1), row("many", 1, 1)],
+        [row("end", 1, 900)],
+        [row("slow", 5, 901), row("late", 3, 901)],
+    ]
+    out = run_stream(spark, tmp_path, parts, schema, lambda s: gating.stop_stream(s, size=2, most_waiting=5, time="seen", delay="10 minutes", patience_sec=3600))
+    rows = out.collect()
+    gone = sorted((r.path_id, r.given_up) for r in rows if r.given_up is not None)
+    assert gone == [*(("many", k) for k in range(2, 9)), ("slow", 3), ("slow", 4), ("slow", 5)]  # 5 came before the timer's turn
+    done = {}
+    for r in rows:
+        if r.given_up is None:
+            done[r.path_id] = done.get(r.path_id, 0) + r.batch_size
+    assert done == {"good": 40, "late": 2}
+
+
+@pytest.mark.parametrize("cut", [0, 60, 200])
+def test_health_goes_on_from_stored_states(spark, tmp_path, cut):
+    rows = signals()
+    cols = ["account", "signal_id", "status_before", "status_after", "session_status", "cooldown_until"]
+    whole = sorted(tuple(r) for r in health.health_log(spark.createDataFrame(rows, SIGNALS)).select(*cols).collect())
+    first = health.health_log(spark.createDataFrame(rows[:cut], SIGNALS))
+    rest = run_stream(spark, tmp_path, [rows[cut:]], SIGNALS, lambda s: health.stream_health_log(s, start=health.states_after(first)))
+    assert sorted(tuple(r) for r in first.unionByName(rest).select(*cols).collect()) == whole
