@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -9,8 +11,10 @@ from pyspark.sql import functions as F
 from ..functions import terms as T
 from ..operators import gates, groups, labels, themes, threads
 from ..plans import jobs
+from ..sources import upsert
 from ..views import candidates, judged, label_history, posts, table, with_views
 from .gating import any_of
+from .streams import shared
 from .text import collapse
 
 QUERIES, SQL = {}, {}
@@ -110,6 +114,16 @@ def wn_current_label(spark: SparkSession, d: str) -> DataFrame:
     return labels.current_labels(label_history(spark, d)).select("label_id", "is_current")
 
 
+@query(SQL["wn_current_label"])
+def wn_label_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """The history upserted in two rounds, the second with some of the first again; the newest label of each record is current."""
+    at = f"{shared(spark)}/labels-{uuid.uuid4().hex}"
+    h = label_history(spark, d)
+    upsert.upsert_labels(h.filter("created_at = 1"), at)
+    upsert.upsert_labels(h.filter("created_at = 2 or author_role = 'end_user'"), at)
+    return spark.read.schema("label_id string, is_current boolean").parquet(at).select("label_id", "is_current")
+
+
 def _current(spark: SparkSession, d: str) -> DataFrame:
     return labels.current_labels(label_history(spark, d)).filter("is_current")
 

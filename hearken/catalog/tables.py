@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import gates, groups, profiles
-from ..sources import tables
+from ..sources import sink, tables
 from ..views import judged, table, with_views
 from .gating import _contexts
 from .labelling import GROUPS, _checkpoints
-from .streams import shared
+from .streams import drain_source, shared
 from .text import norm
 
 QUERIES, SQL = {}, {}
@@ -101,3 +101,45 @@ def pr_validity_specs(spark: SparkSession, d: str) -> DataFrame:
     c = _contexts(spark, d).select("context_id", "topic", "keywords", empty.alias("spec"), fallback.alias("fallback"))
     n = profiles.normalize_validity_spec(c, keywords=F.col("keywords"))
     return n.select("context_id", "spec.spec_id", "spec.spec_version", "spec.research_objective", "spec.batch_policy.min_accept_ratio", "spec.comment_policy.minimum_comment_text_length")
+
+
+@query("SELECT 's' || s_suppkey AS id, CASE WHEN s_suppkey % 2 = 0 THEN s_name ELSE n_name END AS topic, n_regionkey::BIGINT AS most FROM supplier JOIN nation ON n_nationkey = s_nationkey")
+def src_cases(spark: SparkSession, d: str) -> DataFrame:
+    """Files of cases, one document a nation: suppliers with a topic of their own or the nation's."""
+    at = f"{shared(spark)}/cases-{uuid.uuid4().hex}"
+    j = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    case = F.struct(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("id"), F.when(F.col("s_suppkey") % 2 == 0, F.col("s_name")).alias("topic"))
+    docs = j.groupBy("n_nationkey", "n_name", "n_regionkey").agg(F.collect_list(case).alias("cases"))
+    doc = F.to_json(F.struct(F.struct(F.col("n_name").alias("topic"), F.col("n_regionkey").alias("most")).alias("defaults"), "cases"))
+    docs.select(doc.alias("value"), "n_nationkey").write.partitionBy("n_nationkey").text(at)
+    return tables.read_cases(spark, at, {"topic": "string", "most": "long"}).select("id", "topic", "most")
+
+
+@query(with_views("candidates", "judged") + " SELECT run_id, count(*) AS records, count(judge_decision) + CASE WHEN run_id = 'de' THEN 1000 ELSE 0 END AS judged FROM judged GROUP BY run_id")
+def src_analysis(spark: SparkSession, d: str) -> DataFrame:
+    """Analyses written per run; that of one run is written again, the others keep theirs."""
+    at = f"{shared(spark)}/analyses-{uuid.uuid4().hex}"
+    a = judged(spark, d).groupBy("run_id").agg(F.count(F.lit(1)).alias("records"), F.count("judge_decision").alias("judged"))
+    tables.write_analysis(a, at)
+    tables.write_analysis(a.filter("run_id = 'de'").withColumn("judged", F.col("judged") + 1000), at)
+    return tables.read_analysis(spark, at, "records long, judged long").select("run_id", "records", "judged")
+
+
+@query("SELECT lang AS run_id, count(*) AS records, sum(doc_id)::BIGINT AS ids FROM documents GROUP BY 1")
+def src_stream_sink(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as a stream into folders by run; the query is started twice, the second time with nothing new."""
+    at = f"{shared(spark)}/sink-{uuid.uuid4().hex}"
+    docs = drain_source(spark, d, "documents").select(F.col("lang").alias("run_id"), "doc_id")
+    for _ in range(2):
+        sink.stream_by_run(docs, f"{at}/out", "documents", f"{at}/state").awaitTermination()
+    kept = spark.read.schema("doc_id long, run_id string").parquet(f"{at}/out")
+    return kept.groupBy("run_id").agg(F.count(F.lit(1)).alias("records"), F.sum("doc_id").alias("ids"))
+
+
+@query("SELECT event_id, CASE WHEN event_type = 'error' THEN NULL WHEN event_type = 'view' THEN (props->>'k')::BIGINT + 1000 ELSE (props->>'k')::BIGINT END AS k FROM events")
+def src_lenient_props(spark: SparkSession, d: str) -> DataFrame:
+    """The properties of events from the first non-empty of two columns; those of errors are broken, views have others in front."""
+    e = table(spark, d, "events")
+    other = F.concat(F.lit('{"k": 1'), F.lpad(F.regexp_extract("props", r"(\d+)", 1), 3, "0"), F.lit("}"))
+    own = F.when(F.col("event_type") == "view", other).when(F.col("event_type") == "click", "  ")
+    return e.select("event_id", own.alias("a"), F.when(F.col("event_type") == "error", F.concat(F.lit("["), "props")).otherwise(F.col("props")).alias("b")).select("event_id", tables.lenient_json("k long", "a", "b")["k"].alias("k"))

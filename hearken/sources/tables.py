@@ -44,12 +44,22 @@ def read_table(spark: SparkSession, path: str, table: str, runs: Sequence[str] |
     return df.filter(F.col("run_id").isin(*runs)) if runs else df
 
 
-def read_jdbc(spark: SparkSession, url: str, table: str, column: str | None = None, bounds: tuple[int, int] | None = None, parts: int = 8, **options: str) -> DataFrame:
-    """A table behind an SQL address; split by a numeric column if bounds are given. The driver class comes with ``options``."""
-    r = spark.read.format("jdbc").options(url=url, dbtable=table, **options)
-    if column and bounds:
-        r = r.options(partitionColumn=column, lowerBound=str(bounds[0]), upperBound=str(bounds[1]), numPartitions=str(parts))
-    return r.load()
+def read_sql(spark: SparkSession, url: str, table: str, column: str | None = None, parts: int = 8, runs: Sequence[str] | None = None, **options: str) -> DataFrame:
+    """A table behind an SQL address, read in ``parts`` ranges of ``column`` (a number, date or time).
+
+    The ranges come from the column's extremes among the wanted rows, which the database finds; ``runs`` go to the database as a condition.
+    The driver class comes with ``options``. An empty table, or one whose column is null throughout, is read as one part.
+    """
+    whole = spark.read.format("jdbc").options(url=url, dbtable=table, **options)
+    if column:
+        quoted = ", ".join("'" + run.replace("'", "''") + "'" for run in runs or ())
+        extremes = f"SELECT MIN({column}) AS low, MAX({column}) AS high FROM {table}" + (f" WHERE run_id IN ({quoted})" if quoted else "")
+        low, high = spark.read.format("jdbc").options(url=url, query=extremes, **options).load().first()
+        if low is not None:
+            whole = whole.options(partitionColumn=column, lowerBound=str(low), upperBound=str(high), numPartitions=str(parts))
+    df = whole.load()
+    name = next((c for c in df.columns if c.lower() == "run_id"), None)
+    return df.filter(F.col(name).isin(*runs)) if runs else df
 
 
 def lenient_json(schema: str | T.StructType, *columns: str) -> Column:
@@ -80,8 +90,13 @@ def write_by_run(df: DataFrame, path: str, mode: str = "append") -> None:
 
 
 def write_analysis(df: DataFrame, path: str) -> None:
-    """One JSON document a run."""
-    df.write.mode("overwrite").json(path)
+    """One JSON document a run, in the run's folder; runs that aren't in ``df`` keep theirs."""
+    df.repartition("run_id").write.mode("overwrite").partitionBy("run_id").option("partitionOverwriteMode", "dynamic").json(path)
+
+
+def read_analysis(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Documents of :func:`write_analysis`, with ``run_id`` from their folders."""
+    return spark.read.schema(f"{schema}, run_id string").json(path)
 
 
 def stream_table(spark: SparkSession, path: str, schema: str | T.StructType, files_per_trigger: int | None = None, format: str = "parquet") -> DataFrame:
