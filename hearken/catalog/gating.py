@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import terms as T
-from ..functions.text import clean_payload
-from ..operators import batches, dedupe, gates, profiles, scoring
+from ..functions.text import clean_payload, normalize_text
+from ..functions.text import collapse as collapse_
+from ..operators import batches, dedupe, gates, profiles, scoring, termscan
 from ..views import candidates, judged, table, with_views
 from .text import collapse, norm
 
@@ -72,6 +73,53 @@ def gating_survival(spark: SparkSession, d: str) -> DataFrame:
     return s.groupBy("run_id", "status").agg(F.count(F.lit(1)).alias("records"), F.round(F.avg("score"), 6).alias("mean_score"))
 
 
+PARENTS = f"""t AS (SELECT *, CASE ordinal % 3 WHEN 0 THEN 'ACCEPTED' WHEN 1 THEN 'UNCERTAIN' ELSE 'REJECTED' END AS st, {norm('content')} AS key FROM posts),
+    c AS (SELECT c.post_id, c.record_type = 'COMMENT' AS comment, c.key, coalesce(p.key, '') AS pk, p.st AS ps FROM t c LEFT JOIN t p ON p.run_id = c.run_id AND p.post_id = c.parent_post_id),
+    h AS (SELECT *, {hits('key', ANCHORS)} AS a, {hits('key', RELATED)} AS r, {hits('key', NEGATIVE)} AS n, {any_of('pk', ANCHORS)} AS near FROM c),
+    f AS (SELECT *, least(a * 0.22::DOUBLE, 0.44::DOUBLE) AS fa, least(r * 0.06::DOUBLE, 0.24::DOUBLE) AS fr, (CASE WHEN length(key) >= 24 THEN 0.10::DOUBLE ELSE 0 END) + (CASE WHEN length(key) >= 80 THEN 0.08::DOUBLE ELSE 0 END) AS fq, least(n * 0.18::DOUBLE, 0.54::DOUBLE) AS fn,
+        CASE WHEN comment THEN (CASE WHEN ps = 'ACCEPTED' THEN 0.18::DOUBLE ELSE 0 END) + (CASE WHEN pk <> '' THEN 0.06::DOUBLE ELSE 0 END) + (CASE WHEN pk <> '' AND near THEN 0.06::DOUBLE ELSE 0 END) ELSE 0::DOUBLE END AS fp FROM h),
+    g AS (SELECT *, round(fa + fr + fq + 0.06::DOUBLE + fp - fn, 4) AS t FROM f)"""
+
+
+@query(with_views("posts") + f", {PARENTS}" + """ SELECT post_id, CASE WHEN t >= CASE WHEN comment THEN 0.36 ELSE 0.48 END THEN CASE WHEN fn >= 0.36 THEN 'UNCERTAIN' ELSE 'ACCEPTED' END
+    WHEN t >= CASE WHEN comment THEN 0.20 ELSE 0.30 END OR comment AND fp >= 0.18 THEN 'UNCERTAIN' ELSE 'REJECTED' END AS status, greatest(t, 0::DOUBLE) AS score, round(fp, 4) AS parent_context_score FROM g""")
+def sc_parent_relevance(spark: SparkSession, d: str) -> DataFrame:
+    """Scores of posts and comments, comments with what their parents add."""
+    from ..operators.threads import parent_context
+    from ..views import posts
+
+    none = F.lit(None).cast("string")
+    status = F.element_at(F.array(*map(F.lit, ("ACCEPTED", "UNCERTAIN", "REJECTED"))), (F.col("ordinal") % 3 + 1).cast("int"))
+    p = posts(spark, d).withColumns({"judge_decision": none, "pre_ai_status": status, "source_url": none, "parent_post_url": none})
+    cleaned = F.struct(F.col("content").alias("cleaned"), F.array().cast("array<string>").alias("quality_flags"))
+    profile = scoring.normalized_profile(scoring.lit_profile(ANCHORS, RELATED, NEGATIVE))
+    s = parent_context(p, p).withColumn("s", scoring.relevance("content", "record_type", F.lit("CRAWL_FEED"), profile, "parent_text", "parent_status", cleaned=cleaned))
+    return s.select("post_id", "s.status", "s.score", F.col("s.breakdown.parent_context_score").alias("parent_context_score"))
+
+
+# some ten thousand terms a run: the words of all conversations, by length, each in three of four runs
+TERMS = f"""words AS (SELECT DISTINCT word FROM (SELECT unnest(string_split({norm('text')}, ' ')) AS word FROM conversations) WHERE length(word) >= 4),
+    terms AS (SELECT run_id, word, CASE WHEN length(word) >= 9 THEN 'a' WHEN length(word) >= 6 THEN 'r' ELSE 'n' END AS kind FROM words, (SELECT DISTINCT lang AS run_id FROM documents) WHERE substr(md5(run_id || word), 1, 1) < 'c')"""
+
+
+def _term_profiles(spark: SparkSession, d: str) -> DataFrame:
+    words = table(spark, d, "conversations").select(F.explode(F.split(normalize_text("text"), " ")).alias("word")).filter(F.length("word") >= 4).distinct()
+    runs = F.explode(F.array(*[F.lit(r[0]) for r in table(spark, d, "documents").select("lang").distinct().collect()])).alias("run_id")  # a handful
+    t = words.select("word", runs).filter(F.substring(F.md5(F.concat("run_id", "word")), 1, 1) < "c")
+    of = lambda c, name: F.collect_list(F.when(c, F.col("word"))).alias(name)
+    n = F.length("word")
+    return t.groupBy("run_id").agg(of(n >= 9, "anchors"), of((n >= 6) & (n < 9), "related_terms"), of(n < 6, "negative_terms"))
+
+
+@query(f"WITH {TERMS}, keys AS (SELECT doc_id AS ordinal, lang AS run_id, {norm('text')} AS key FROM documents)" + """, n AS (SELECT ordinal, kind, count(*) AS n FROM keys JOIN terms USING (run_id) WHERE contains(key, word) GROUP BY ALL)
+    SELECT ordinal, coalesce(sum(n) FILTER (kind = 'a'), 0)::BIGINT AS anchors, coalesce(sum(n) FILTER (kind = 'r'), 0)::BIGINT AS related, coalesce(sum(n) FILTER (kind = 'n'), 0)::BIGINT AS negative FROM keys LEFT JOIN n USING (ordinal) GROUP BY 1""")
+def sc_term_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Terms of large lists per run that occur in each document, by one automaton a run."""
+    keys = candidates(spark, d).select("ordinal", "run_id", normalize_text("content").alias("key"))
+    s = termscan.scan_terms(keys, _term_profiles(spark, d), "run_id", "key")
+    return s.select("ordinal", F.col("hits.anchors").alias("anchors"), F.col("hits.related_terms").alias("related"), F.col("hits.negative_terms").alias("negative"))
+
+
 JUDGED = f"""ruled AS (SELECT ordinal, path_id, run_id, CASE WHEN {any_of('x', MARKERS['promotional'] + MARKERS['transactional'])} THEN 'REJECTED' WHEN {any_of('x', MARKERS['experience'] + MARKERS['comparison'])} THEN 'ACCEPTED' ELSE 'UNCERTAIN' END AS decision
     FROM (SELECT *, lower({collapse('content')}) AS x FROM candidates)),
     verdicts AS (SELECT *, CASE decision WHEN 'REJECTED' THEN 0.08::DOUBLE WHEN 'ACCEPTED' THEN 0.86::DOUBLE ELSE 0.42::DOUBLE END AS relevance_score, CASE decision WHEN 'REJECTED' THEN 0.9::DOUBLE WHEN 'ACCEPTED' THEN 0.82::DOUBLE ELSE 0.58::DOUBLE END AS confidence_score,
@@ -292,6 +340,43 @@ def pr_pick_query(spark: SparkSession, d: str) -> DataFrame:
     return t.withColumn("v", v).select("doc_id", profiles.pick_search_query("v", F.lit("")).alias("picked"))
 
 
+LIKE_BROKERS, LIKE_TALK, LIKE_LEADS = ("ering", "oning", "thble"), ("hand", "ertion"), ("erble", "there", "mente")
+
+
+@query(with_views("posts") + f""", k AS (SELECT post_id, content, {norm('content')} AS key FROM posts), n AS (SELECT *, {hits('key', LIKE_BROKERS)} AS n FROM k)
+    SELECT post_id, key <> '' AND (n >= 2 OR n >= 1 AND (regexp_matches(content, '[0-9]{{7,}}') OR NOT {any_of('key', LIKE_TALK)} AND {any_of('key', LIKE_LEADS)})) AS broker FROM n""")
+def gt_broker_names(spark: SparkSession, d: str) -> DataFrame:
+    """Whole texts as names of groups, under terms that occur in them."""
+    from ..views import posts
+
+    return posts(spark, d).select("post_id", gates.broker_group("content", LIKE_BROKERS, LIKE_TALK, LIKE_LEADS).alias("broker"))
+
+
+@query(with_views("posts") + f" SELECT post_id, {any_of(norm('content'), LIKE_TALK)} AS enabled FROM posts")
+def pr_source_filter_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Whole texts as what a spec is after: every other word as signals to reject, the rest as objective."""
+    from ..views import posts
+
+    none, words = F.array().cast("array<string>"), F.split(collapse_("content"), " ")
+    half = F.size(words) - F.floor(F.size(words) / 2)
+    spec = F.struct(none.alias("target_author_types"), none.alias("non_target_author_types"), F.slice(words, F.lit(1), half.cast("int")).alias("hard_reject_signals"), none.alias("target_signal_types"), F.array_join(F.slice(words, (half + 1).cast("int"), F.size(words)), " ").alias("research_objective"))
+    return posts(spark, d).select("post_id", gates.source_filter_enabled(spec, LIKE_TALK).alias("enabled"))
+
+
+@query(with_views("posts") + f""", x AS (SELECT post_id, {collapse('content')} AS x FROM (SELECT post_id, regexp_replace(content, '[:\\r\\n]', ' ', 'g') AS content FROM posts)),
+    w AS (SELECT post_id, unnest(ps) AS p, generate_subscripts(ps, 1) AS i FROM (SELECT post_id, regexp_split_to_array(regexp_replace(x, '\\((.*?)\\)', ' ', 'g'), '[,;|/]+') AS ps FROM x)),
+    c AS (SELECT post_id, i, regexp_replace({collapse('p')}, '^[ -]+|[ -]+$', '', 'g') AS p FROM w), o AS (SELECT *, row_number() OVER (PARTITION BY post_id, lower(p) ORDER BY i) AS again FROM c WHERE p <> ''),
+    v AS (SELECT *, len(string_split(p, ' ')) AS n FROM o WHERE again = 1),
+    b AS (SELECT post_id, p, row_number() OVER (PARTITION BY post_id ORDER BY (n >= 2)::INT DESC, least(n, 5) DESC, length(lower(p)) DESC, i) AS r FROM v WHERE n <= 5 AND NOT {any_of('lower(p)', T.PLACEHOLDERS)} AND lower(p) NOT IN ({lst([*T.KEYWORD_GROUPS, 'pain points'])[1:-1]})),
+    f AS (SELECT post_id, array_to_string(string_split(p, ' ')[1:5], ' ') AS p FROM (SELECT *, row_number() OVER (PARTITION BY post_id ORDER BY i) AS r FROM v) WHERE r = 1)
+    SELECT post_id, coalesce(b.p, f.p, 'research') AS picked FROM posts LEFT JOIN (SELECT * FROM b WHERE r = 1) b USING (post_id) LEFT JOIN f USING (post_id)""")
+def pr_pick_query_texts(spark: SparkSession, d: str) -> DataFrame:
+    """The best search query among the pieces of whole texts (none has a group's prefix)."""
+    from ..views import posts
+
+    return posts(spark, d).select("post_id", profiles.pick_search_query(F.regexp_replace("content", "[:\\r\\n]", " "), F.lit("")).alias("picked"))
+
+
 def _contexts(spark: SparkSession, d: str) -> DataFrame:
     """A context for each source: its topic and keywords are the words that most of its documents have."""
     words = F.array_distinct(F.filter(F.split("text", r"[\s.,]+"), lambda x: x != ""))
@@ -307,7 +392,39 @@ def _spec():
     return F.struct(F.lit("find real fee and trust problems").alias("research_objective"), F.array(F.lit("pain_point")).alias("target_signal_types"), F.array(F.lit("fee")).alias("must_have_signals"))
 
 
-@query()
+def _once(c: str) -> str:
+    """Elements of a list whose comparison key occurs first there; empty ones go."""
+    return f"list_filter({c}, lambda x, i: {norm('x')} <> '' AND list_position(list_transform({c}, lambda y: {norm('y')}), {norm('x')}) = i)"
+
+
+_SIGNALS = "find real fee and trust problems pain point fee"
+PROFILES = f"""t AS (SELECT source, unnest(list_distinct(list_filter(regexp_split_to_array(text, '[\\s.,]+'), lambda x: x <> ''))) AS word FROM documents), n AS (SELECT source, word, count(*) AS c FROM t GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY c DESC, word) AS rn FROM n), w AS (SELECT source AS context_id, list(word ORDER BY rn) AS ws FROM r WHERE rn <= 32 GROUP BY 1),
+    p AS (SELECT context_id, array_to_string(ws[1:2], ' ') AS topic, ws[3:8] AS w1, ws[9:14] AS w2, ws[15:20] AS w3, ws[21:26] AS w4, ws[27:32] AS w5, ws[3:32] AS flat FROM w),
+    q AS (SELECT *, {_once('w1')} AS brand, {_once('w2')} AS pain, {_once('w3')} AS sentiment, {_once('w4')} AS behavior, {_once('w5')} AS comparison, {norm('topic')} AS nq FROM p),
+    l AS (SELECT *, list_concat(brand, [topic]) AS al, list_concat(pain, behavior, comparison, sentiment) AS rl, {any_of('nq', T.IMAGE_TERMS)} AS pictures, {any_of(f"(nq || ' {_SIGNALS}')", T.IMAGE_TERMS)} AS seen,
+        nq LIKE '% vs' OR contains(nq, ' vs ') AS unfinished FROM q),
+    a AS (SELECT *, {_once('al')} AS anchors, ({_once('rl')})[1:16] AS related FROM l),
+    e AS (SELECT context_id, nq, unnest(anchors) AS c, generate_subscripts(anchors, 1) AS i FROM a), ek AS (SELECT *, {norm('c')} AS k FROM e),
+    b AS (SELECT context_id, trim(c) AS base FROM (SELECT *, row_number() OVER (PARTITION BY context_id ORDER BY (k = nq)::INT DESC, (nq <> '' AND contains(k, nq))::INT DESC,
+        len(list_intersect(list_distinct(string_split(k, ' ')), list_distinct(string_split(nq, ' ')))) DESC, contains(k, ' ')::INT DESC, len(string_split(k, ' ')) DESC, i) AS best FROM ek) WHERE best = 1),
+    f AS (SELECT a.*, base, list_concat([{{'i': 'brand', 'q': base}}], list_transform(pain[1:2], lambda x: {{'i': 'pain_point', 'q': x}}), [{', '.join(f"{{'i': 'question', 'q': base || ' {x}'}}" for x in T.QUESTION_SUFFIXES[:2])}],
+        list_transform(comparison[1:2], lambda x: {{'i': 'comparison', 'q': x}}), [{', '.join(f"{{'i': 'complaint', 'q': '{x} ' || base}}" for x in T.COMPLAINT_PREFIXES[:2])}],
+        CASE WHEN pictures THEN [{{'i': 'image_review', 'q': base || ' review co hinh anh'}}, {{'i': 'before_after', 'q': base || ' truoc va sau'}}] ELSE [] END)[1:8] AS fs FROM a JOIN b USING (context_id)),
+    g AS (SELECT *, coalesce((list_filter(fs, lambda x: {norm('x.q')} <> '' AND (contains(nq, {norm('x.q')}) OR contains({norm('x.q')}, nq))))[1].i, CASE WHEN contains(topic, '?') OR contains(lower(topic), 'co ') THEN 'question' ELSE 'generic' END) AS family,
+        CASE WHEN seen THEN ['image_review', 'before_after', 'pain_point', 'question', 'comparison', 'complaint', 'brand'] WHEN unfinished THEN ['comparison', 'pain_point', 'question', 'complaint'] WHEN {any_of('nq', T.COMPLAINT_TERMS)} THEN ['complaint', 'pain_point', 'question', 'comparison']
+            ELSE ['complaint', 'pain_point', 'question', 'comparison', 'brand'] END AS intents,
+        list_concat(CASE WHEN seen THEN [base || ' review co hinh anh', base || ' truoc va sau', base || ' screenshot'] ELSE [] END, [base || ' bi lua', base || ' phi cao', base || ' lai suat cao', base || ' review', base || ' co uy tin khong'], list_transform(related[1:2], lambda x: trim(base || ' ' || x))) AS wide FROM f),
+    h AS (SELECT *, list_concat(CASE WHEN unfinished THEN [] ELSE list_concat([topic], list_filter({_once('wide')}, lambda x: {norm('x')} <> nq)) END,
+        flatten(list_transform(intents, lambda t, i: list_concat(list_transform(list_filter(fs, lambda x: x.i = t AND trim(x.q) <> ''), lambda x: trim(x.q)), CASE WHEN unfinished AND i = 1 THEN [topic] ELSE [] END))), [topic]) AS every FROM g),
+    s AS (SELECT *, {_once('every')} AS best FROM h), z AS (SELECT *, list_concat([base || ' phi cao', base || ' lai suat cao'], best[1:3]) AS again FROM s),
+    m AS (SELECT context_id, unnest(flat) AS c, generate_subscripts(flat, 1) AS i, list_distinct(regexp_extract_all(lower(topic), '[\\pL\\pN\\pM_]+')) AS own FROM p),
+    mk AS (SELECT *, len(list_intersect(list_distinct(regexp_extract_all(lower(c), '[\\pL\\pN\\pM_]+')), own)) AS n FROM m), mb AS (SELECT *, row_number() OVER (PARTITION BY context_id ORDER BY n DESC, length(c) DESC, i) AS rn FROM mk WHERE n > 0),
+    md AS (SELECT context_id, string_agg(c, '|' ORDER BY rn) AS related_keywords FROM (SELECT *, row_number() OVER (PARTITION BY context_id, lower(c) ORDER BY rn) AS again FROM mb WHERE rn <= 5) WHERE again = 1 GROUP BY 1)"""
+
+
+@query(f"WITH {PROFILES}" + f""" SELECT context_id, array_to_string(anchors[1:8], '|') AS anchors, array_to_string(related, '|') AS related, array_to_string(list_transform(fs, lambda x: x.i || '=' || x.q), '|') AS families, family,
+    array_to_string(best[1:4], '|') AS suggested, array_to_string((list_filter({_once('again')}, lambda x: {norm('x')} <> nq))[1:2], '|') AS rewrites, coalesce(related_keywords, '') AS related_keywords FROM z LEFT JOIN md USING (context_id)""")
 def pr_profiles(spark: SparkSession, d: str) -> DataFrame:
     """Profiles with suggested queries and rewrites; tested against a plain model on small inputs."""
     p = profiles.build_profile(_contexts(spark, d))

@@ -90,6 +90,18 @@ def tx_dedupe_words(spark: SparkSession, d: str) -> DataFrame:
     return w.select("doc_id").join(out, "doc_id", "left").select("doc_id", F.nullif("by_key", F.lit("")).alias("by_key"), "by_case", "exact")
 
 
+@query(f"""WITH k AS (SELECT doc_id, unnest(ws) AS v, generate_subscripts(ws, 1) AS i FROM (SELECT doc_id, list_filter(string_split({collapse('text')}, ' '), lambda x: x <> '') AS ws FROM documents)),
+    c AS (SELECT doc_id, count(*) AS n_ci, md5(string_agg(v, ' ' ORDER BY i)) AS ci FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(v) ORDER BY i) AS rn FROM k) WHERE rn = 1 GROUP BY 1),
+    e AS (SELECT doc_id, count(*) AS n_exact, md5(string_agg(v, ' ' ORDER BY i)) AS exact FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, v ORDER BY i) AS rn FROM k) WHERE rn = 1 GROUP BY 1)
+    SELECT doc_id, coalesce(n_ci, 0) AS n_ci, coalesce(ci, md5('')) AS ci, coalesce(n_exact, 0) AS n_exact, coalesce(exact, md5('')) AS exact FROM documents LEFT JOIN c USING (doc_id) LEFT JOIN e USING (doc_id)""")
+def tx_dedupe_lists(spark: SparkSession, d: str) -> DataFrame:
+    """The words of each text as a list, without repeats by lower case and without exact ones, as digests."""
+    w = table(spark, d, "documents").select("doc_id", F.split(text.collapse("text"), " ").alias("ws"))
+    digest = lambda c: F.md5(F.array_join(c, " "))
+    w = w.withColumns({"_ci": text.dedupe_ci("ws"), "_exact": text.dedupe_exact("ws")})
+    return w.select("doc_id", F.size("_ci").cast("long").alias("n_ci"), digest("_ci").alias("ci"), F.size("_exact").cast("long").alias("n_exact"), digest("_exact").alias("exact"))
+
+
 @query("""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '\\b0\\d{9,10}\\b', '[PHONE]', 'g'), '\\b\\d{9,12}\\b', '[ID_NUMBER]', 'g'),
     '[\\pL\\pN_.+-]+@[\\pL\\pN_-]+\\.[\\pL\\pN_.]+', '[EMAIL]', 'g') AS masked FROM documents""")
 def tx_mask_pii(spark: SparkSession, d: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """Batches of a search path, their health, and the rules that stop a path.
 
-Windows run over batch rows, which are far fewer than records; only the numbering needs the records in order.
+Windows run over batch rows, which are far fewer than records; the numbering sorts keys over ranges (:mod:`.numbering`).
 """
 
 from __future__ import annotations
@@ -8,11 +8,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .numbering import numbered
+
 
 def assign_batches(records: DataFrame, path: list[str], order: list[str], size: int = 20) -> DataFrame:
-    """Add ``batch_index``, from 1: records of a path in order of arrival, ``size`` to a batch."""
-    w = Window.partitionBy(*path).orderBy(*order)
-    return records.withColumn("batch_index", (F.floor((F.row_number().over(w) - 1) / size) + 1).cast("int"))
+    """Add ``batch_index``, from 1: records of a path in order of arrival, ``size`` to a batch. A path may have any number of records."""
+    n = numbered(records, path, order, "_place")
+    return n.withColumn("batch_index", (F.floor((F.col("_place") - 1) / size) + 1).cast("int")).drop("_place")
 
 
 def _ratio(n: Column, total: Column) -> Column:

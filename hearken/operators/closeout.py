@@ -53,32 +53,40 @@ def search_step_metrics(steps: DataFrame) -> DataFrame:
     )
 
 
-def _most_common(steps: DataFrame, lists: str, alias: str) -> DataFrame:
-    each = steps.select("run_id", F.struct(*STEP_ORDER).alias("_s"), F.posexplode(lists).alias("_i", "v")).withColumn("_at", F.struct("_s", "_i"))
-    return top_k_first_seen(each, ["run_id"], "v", "_at", 1).select("run_id", F.col("v").alias(alias))
-
-
 def exhaustion(steps: DataFrame, min_steps: int = 2, min_scanned: int = 120, weak_clusters: Sequence[str] = T.WEAK_CLUSTERS, weak_stops: Sequence[str] = T.WEAK_STOPS) -> DataFrame:
     """Runs that should give up: steps still pending, nothing accepted, enough searched, and for weak reasons.
 
     ``steps``: ``run_id, run_status, step_run_id, step_id, step_order, started_at, action_type, status, actual_count,
-    checkpoint``. One row a run that fires: the summary and the steps to skip.
+    checkpoint``. One row a run that fires: the summary and the steps to skip. The dominant cluster and reason are the most
+    common ones, ties to the one seen first. One pass over the steps: each becomes a row of its own and one for each cluster
+    and reason that it lists; these are counted per run and value, then put together per run.
     """
     live = ~F.col("run_status").isin("DONE", "FAILED", "CANCELLED")
-    flags = steps.filter(live).groupBy("run_id").agg(
-        F.sort_array(F.collect_list(F.when(F.col("status") == "PENDING", F.struct("step_order", "step_id")))).alias("_pending"),
-        F.max(F.coalesce((F.col("status") == "SKIPPED") & (F.col("checkpoint.skip_reason") == "goal_aware_exhaustion"), F.lit(False))).alias("_fired"),
-    )
-    done = steps.filter(live & (F.col("status") == "DONE") & F.col("action_type").isin(*T.SEARCH_ACTIONS))
-    done = search_step_metrics(done).filter("scanned > 0")
-    totals = done.groupBy("run_id").agg(
-        F.count(F.lit(1)).alias("completed_search_steps"), F.count_if(F.col("accepted") == 0).alias("zero_accept_search_steps"), F.sum("accepted").alias("_accepted"), F.sum("scanned").alias("scanned_records"),
-        F.max(F.exists("stop_reasons", lambda r: r.isin(*weak_stops))).alias("_weak"),
+    searched = search_step_metrics(steps.filter(live))
+    counts = F.coalesce((F.col("status") == "DONE") & F.col("action_type").isin(*T.SEARCH_ACTIONS) & (F.col("scanned") > 0), F.lit(False))
+    listed = lambda kind, c: F.when(counts, F.transform(c, lambda v, i: F.struct(F.lit(kind).alias("kind"), v.alias("v"), i.alias("i")))).otherwise(F.expr("cast(array() as array<struct<kind:string,v:string,i:int>>)"))
+    itself = F.array(F.struct(F.lit("step").alias("kind"), F.lit(None).cast("string").alias("v"), F.lit(0).alias("i")))
+    rows = searched.select(
+        "run_id", F.struct(*STEP_ORDER).alias("_s"), "accepted", "scanned", counts.alias("_counts"),
+        F.when(F.col("status") == "PENDING", F.struct("step_order", "step_id")).alias("_pending"),
+        F.coalesce((F.col("status") == "SKIPPED") & (F.col("checkpoint.skip_reason") == "goal_aware_exhaustion"), F.lit(False)).alias("_fired"),
+        F.explode(F.concat(itself, listed("cluster", F.col("reason_clusters")), listed("stop", F.col("stop_reasons")))).alias("e"),
+    )
+    step = (F.col("kind") == "step") & F.col("_counts")
+    each = rows.select("*", "e.kind", "e.v").groupBy("run_id", "kind", "v").agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.struct("_s", "e.i")).alias("_at"),
+        F.count_if(step).alias("steps"), F.count_if(step & (F.col("accepted") == 0)).alias("zero"), F.sum(F.when(step, F.col("accepted"))).alias("accepted"), F.sum(F.when(step, F.col("scanned"))).alias("scanned"),
+        F.collect_list(F.when(F.col("kind") == "step", F.col("_pending"))).alias("_pending"), F.max(F.col("_fired")).alias("_fired"),
+    )
+    first = lambda kind: F.min(F.when(F.col("kind") == kind, F.struct(-F.col("n"), "_at", "v")))["v"]
+    t = each.groupBy("run_id").agg(
+        F.sum("steps").alias("completed_search_steps"), F.sum("zero").alias("zero_accept_search_steps"), F.sum("accepted").alias("_accepted"), F.sum("scanned").alias("scanned_records"),
+        first("cluster").alias("dominant_reason_cluster"), first("stop").alias("dominant_stop_reason"), F.max((F.col("kind") == "stop") & F.col("v").isin(*weak_stops)).alias("_weak"),
+        F.sort_array(F.flatten(F.collect_list("_pending"))).alias("_pending"), F.max("_fired").alias("_fired"),
     )
-    t = totals.join(_most_common(done, "reason_clusters", "dominant_reason_cluster"), "run_id", "left").join(_most_common(done, "stop_reasons", "dominant_stop_reason"), "run_id", "left")
     fire = (F.size("_pending") > 0) & ~F.col("_fired") & (F.col("_accepted") == 0) & (F.col("completed_search_steps") >= max(1, min_steps)) & (F.col("scanned_records") >= max(20, min_scanned))
-    fire &= F.coalesce(F.col("dominant_reason_cluster").isin(*weak_clusters), F.lit(False)) | F.col("_weak")
-    return flags.join(t, "run_id").filter(fire).select(
+    fire &= F.coalesce(F.col("dominant_reason_cluster").isin(*weak_clusters), F.lit(False)) | F.coalesce("_weak", F.lit(False))
+    return t.filter(fire).select(
         "run_id", F.lit("goal_aware_exhaustion").alias("trigger"), "completed_search_steps", "zero_accept_search_steps", "scanned_records", "dominant_reason_cluster", "dominant_stop_reason",
         F.col("_pending.step_id").alias("skipped_step_ids"),
     )

@@ -16,15 +16,28 @@ def dedupe_key(url: str = "source_url", post_id: str = "post_id") -> Column:
 def mark_duplicates(records: DataFrame, run: str, batch: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Add ``key``, ``dup_in_batch`` and ``dup_in_run``. First within a batch, by key; then not before in the run, by address.
 
-    Records without an address are compared within their batch only.
+    Records without an address are compared within their batch only. Of records with one key and one ``order`` in a batch the first is any one, in several batches that of the
+    smallest batch.
+    Firsts are least orders, which combine before the shuffle, so that many copies of an address are one row a task; records are
+    joined with them, and a frequent address is a skewed join, which Spark splits.
     """
-    r = records.withColumns({"key": dedupe_key(), "_has": F.coalesce("source_url", F.lit("")) != ""})
-    in_batch = F.row_number().over(Window.partitionBy(run, *batch, "key").orderBy(*order)) > 1
-    r = r.withColumn("dup_in_batch", in_batch)
+    r = records.withColumns({"key": dedupe_key(), "_has": F.coalesce("source_url", F.lit("")) != "", "_o": F.struct(*order)})
+    own = [run, *batch]
+    firsts = r.groupBy(*own, "key").agg(F.min("_o").alias("_first"), F.min_by("_has", "_o").alias("_url"))
     # among a batch's firsts, the earliest batch of a run keeps an address
-    scope = F.when(F.col("_has"), F.lit("")).otherwise(F.concat_ws("|", *batch))
-    firsts = Window.partitionBy(run, "key", "_has", scope, "dup_in_batch").orderBy(*order)
-    return r.withColumn("dup_in_run", ~F.col("dup_in_batch") & F.col("_has") & (F.row_number().over(firsts) > 1)).drop("_has")
+    earliest = firsts.filter("_url").groupBy(run, "key").agg(F.min(F.struct("_first", *batch)).alias("_run_first"))
+    firsts = firsts.join(earliest.select(F.col(run).alias("_e_run"), F.col("key").alias("_e_key"), "_run_first"), F.col(run).eqNullSafe(F.col("_e_run")) & F.col("key").eqNullSafe(F.col("_e_key")), "left")
+    firsts = firsts.select(*[F.col(c).alias(f"_f_{c}") for c in [*own, "key"]], "_first", "_run_first")
+    on = None
+    for c in [*own, "key"]:
+        same = r[c].eqNullSafe(firsts[f"_f_{c}"])
+        on = same if on is None else on & same
+    again = F.col("_o") != F.col("_first")
+    if not r.groupBy(*own, "key", "_o").count().filter("count > 1").isEmpty():  # rows of one order: only then are they told apart by a window
+        again = again | (F.row_number().over(Window.partitionBy(*own, "key", "_o").orderBy(F.lit(0))) > 1)
+    marked = r.join(firsts, on).withColumn("dup_in_batch", again)
+    in_run = ~F.col("dup_in_batch") & F.col("_has") & (F.struct(F.col("_o").alias("_first"), *batch) != F.col("_run_first"))
+    return marked.withColumn("dup_in_run", F.coalesce(in_run, F.lit(False))).select(*records.columns, "key", "dup_in_batch", "dup_in_run")
 
 
 def keep_first(records: DataFrame, run: str, batch: Sequence[str], order: Sequence[str]) -> DataFrame:

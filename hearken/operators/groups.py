@@ -55,12 +55,21 @@ def _first_seen(checkpoints: DataFrame, lists) -> DataFrame:
 
 
 def last_previews(records: DataFrame, path: list[str], order: list[str], kept: int = 3, chars: int = 180) -> DataFrame:
-    """The last records collected on each path, with their place and a preview."""
+    """The last records collected on each path, with their place and a preview.
+
+    Only the last ones of each path are sorted (ranks up to ``kept`` are cut before the shuffle); the place is the path's number of
+    records less those behind."""
     from ..functions.images import has_visual
     from ..functions.text import preview
 
-    asc, desc = Window.partitionBy(*path).orderBy(*order), Window.partitionBy(*path).orderBy(*[F.desc(c) for c in order])
-    r = records.withColumns({"position": F.row_number().over(asc), "_back": F.row_number().over(desc)}).filter(F.col("_back") <= kept)
+    desc = Window.partitionBy(*path).orderBy(*[F.desc(c) for c in order])
+    last = records.withColumn("_back", F.row_number().over(desc)).filter(F.col("_back") <= kept)
+    sizes = records.groupBy(*[F.col(c).alias(f"_p_{c}") for c in path]).agg(F.count(F.lit(1)).alias("_n"))
+    on = None
+    for c in path:
+        same = last[c].eqNullSafe(sizes[f"_p_{c}"])
+        on = same if on is None else on & same
+    r = last.join(sizes, on).withColumn("position", (F.col("_n") - F.col("_back") + 1).cast("int"))
     cols = set(records.columns)
     pick = lambda n, kind="string": F.col(n) if n in cols else F.lit(None).cast(kind)
     seen = has_visual(pick("image_urls", "array<string>"), pick("image_alt_text"), pick("image_summary"))

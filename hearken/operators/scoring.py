@@ -25,16 +25,17 @@ def normalized_profile(profile: Column) -> Column:
     return F.struct(*[keys(n) for n in ("anchors", "related_terms", "negative_terms")])
 
 
-def relevance(content, record_type, source_type, profile: Column, parent_text=None, parent_status=None, cleaned: Column | None = None) -> Column:
+def relevance(content, record_type, source_type, profile: Column, parent_text=None, parent_status=None, cleaned: Column | None = None, found: Column | None = None) -> Column:
     """Struct ``status, score, reason, breakdown, cleaned, quality_flags`` of a record under a normalized profile.
 
     Totals are rounded to four digits before they are compared; thresholds count as reached. ``cleaned``: what
-    :func:`clean_payload` gave, if at hand.
+    :func:`clean_payload` gave, if at hand. ``found``: counts of the profile's terms, if :func:`.termscan.scan_terms` has
+    made them over the comparison key of ``cleaned`` (for large lists).
     """
     comment = as_col(record_type) == "COMMENT"
     p_text = normalize_text(F.coalesce(as_col(parent_text), F.lit(""))) if parent_text is not None else F.lit("")
     p_status = as_col(parent_status) if parent_status is not None else F.lit(None).cast("string")
-    hits = lambda key, n: count_terms(key, profile[n])
+    hits = lambda key, n: count_terms(key, profile[n]) if found is None else found[n]
     num = lambda c, x: F.when(c, x).otherwise(0.0)
 
     def scored(x: Column) -> Column:

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..lineage import cut
@@ -63,24 +62,30 @@ def thread_context(records: DataFrame) -> DataFrame:
 
 
 def nest_by_indent(comments: DataFrame, step: float = 18.0, same: float = 8.0) -> DataFrame:
-    """``post, ordinal, parent``: the comment above that is ``step`` or more to the left of each, else the post (null).
+    """``post, ordinal, parent``: the comment that each one answers, or null if it answers the post.
 
-    Inherently in order within a post, so each post's comments are one group.
+    Indents count from that of the post's first comment, to the left of it as zero. A comment closes all open ones that it doesn't exceed by more
+    than ``same``. If it exceeds the last that is still open by ``step`` or more, it answers that one and is open below it, else it answers the post and is
+    the only one open. A null indent is zero. One fold over a post's comments in order; a post's comments are one array.
     """
+    entry = F.struct(F.col("ordinal").cast("long").alias("ordinal"), F.coalesce(F.col("indent").cast("double"), F.lit(0.0)).alias("indent"))
+    posts = comments.select("post", entry.alias("c")).groupBy("post").agg(F.array_sort(F.collect_list("c")).alias("cs"))
+    pairs, links = "array<struct<ordinal:bigint,x:double>>", "array<struct<ordinal:bigint,parent:bigint>>"
+    start = F.struct(F.expr(f"cast(array() as {pairs})").alias("open"), F.expr(f"cast(array() as {links})").alias("some"), F.expr(f"cast(array() as array<{links}>)").alias("full"))
 
-    def nest(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("ordinal", kind="stable")
-        parents, stack, base = [], [], None
-        for ordinal, indent in zip(g["ordinal"], g["indent"].fillna(0.0), strict=True):
-            base = indent if base is None else base
-            x = max(0.0, indent - base)
-            while stack and x <= stack[-1][1] + same:
-                stack.pop()
-            if stack and x >= stack[-1][1] + step:
-                parents.append(stack[-1][0])
-            else:
-                stack, _ = [], parents.append(None)
-            stack.append((ordinal, x))
-        return pd.DataFrame({"post": g["post"], "ordinal": g["ordinal"], "parent": pd.array(parents, dtype="Int64")})
+    def place(s: Column, c: Column) -> Column:
+        x = F.greatest(c["indent"] - F.element_at("cs", 1)["indent"], F.lit(0.0))
+        still = F.filter(s["open"], lambda o: x > o["x"] + same)
+        below = F.try_element_at(still, F.lit(-1))
+        own = F.struct(c["ordinal"].alias("ordinal"), x.alias("x"))
+        fits = F.coalesce(x >= below["x"] + step, F.lit(False))
+        some = F.concat(s["some"], F.array(F.struct(c["ordinal"].alias("ordinal"), F.when(fits, below["ordinal"]).alias("parent"))))
+        full = F.size(some) >= 256  # so that a long thread doesn't copy all its links for each comment
+        return F.struct(
+            F.when(fits, F.concat(still, F.array(own))).otherwise(F.array(own)).alias("open"),
+            F.when(full, F.expr(f"cast(array() as {links})")).otherwise(some).alias("some"),
+            F.when(full, F.concat(s["full"], F.array(some))).otherwise(s["full"]).alias("full"),
+        )
 
-    return comments.select("post", F.col("ordinal").cast("long"), F.col("indent").cast("double")).groupBy("post").applyInPandas(nest, f"post {comments.schema['post'].dataType.simpleString()}, ordinal long, parent long")
+    folded = posts.select("post", F.aggregate("cs", start, place, lambda s: F.concat(F.flatten(s["full"]), s["some"])).alias("links"))
+    return folded.select("post", F.explode("links").alias("l")).select("post", "l.ordinal", "l.parent")
