@@ -61,7 +61,14 @@ OUT_NAMES = {
 # of names of several words, those that count as their first or as their last; and words that make them name something else
 OUT_FIRST = {"ad", "ads", "advert", "breadcrumb", "comment", "comments", "cookie", "footer", "nav", "navbar", "newsletter", "sidebar", "sponsor", "sponsored"}
 OUT_LAST = {"ad", "ads", "advert", "advertisement", "banner", "breadcrumb", "breadcrumbs", "comments", "commentlist", "cookies", "footer", "menu", "nav", "navbar", "navigation", "newsletter", "pagination", "popup", "sidebar", "toolbar"}
-NOT_OUT = {"with", "has", "no", "without", "not", "is", "js", "free", "open", "closed"}
+NOT_OUT = {"with", "has", "no", "without", "not", "is", "js", "free", "open", "closed", "hoc"}
+# within an article: elements of text, on which only names of adverts count, and names that count where there are controls or mostly links
+TEXT_TAGS = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "td", "th", "tr", "table", "tbody", "caption", "blockquote", "pre", "figure", "figcaption"}
+ADVERTS = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "promo", "promotion", "sponsor", "sponsored"}
+IF_CONTROLS = {"search", "social", "share", "sharing", "related", "recommended", "login", "signup", "subscribe", "respond"}
+CONTROLS = {"input", "select", "textarea", "button"}
+# why an element is left out: by what it is, because it is hidden; beyond these, an element that is judged by what it holds
+OUT, HIDES = 1, 2
 OUT_ARTICLES = {"comment", "comments", "ad", "ads", "advert", "sponsored", "promo"}
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 
@@ -102,16 +109,25 @@ def _named_out(tag: str, names: str, inside: bool) -> bool:
     return False
 
 
-def _left_out(tag: str, a: dict[str, str], inside: bool) -> bool:
-    if tag in OUT_TAGS or (tag == "header" and not inside):
-        return True
-    if not a or tag in ("html", "body"):
-        return False
-    if "hidden" in a or a.get("aria-hidden", "").lower() == "true" or HIDDEN.search(a.get("style", "").lower()):
-        return True
-    if tag == "main":
-        return False
-    return a.get("role", "").lower() in OUT_ROLES or _named_out(tag, f"{a.get('class', '')} {a.get('id', '')}", inside)
+def _left_out(tag: str, a: dict[str, str], inside: bool) -> int | None:
+    """Why an element is left out, 0 if it isn't, None if what it holds decides."""
+    if a and tag not in ("html", "body") and ("hidden" in a or a.get("aria-hidden", "").lower() == "true" or HIDDEN.search(a.get("style", "").lower())):
+        return HIDES
+    names = f"{a.get('class', '')} {a.get('id', '')}" if a else ""
+    role = a.get("role", "").lower() if a else ""
+    if tag == "form":
+        return OUT if role in OUT_ROLES or _named_out(tag, names, inside) else None
+    if tag in OUT_TAGS and not (tag == "menu" and inside) or (tag == "header" and not inside):
+        return OUT
+    if not a or tag in ("html", "body", "main"):
+        return 0
+    if role in OUT_ROLES:
+        return OUT
+    if inside and tag in TEXT_TAGS:
+        return OUT if ADVERTS.intersection(names.lower().split()) else 0
+    if not _named_out(tag, names, inside):
+        return 0
+    return None if inside and all(n.lower() in IF_CONTROLS or not _named_out(tag, n, inside) for n in names.split()) else OUT
 
 
 @lru_cache(1 << 16)
@@ -136,8 +152,10 @@ class Page:
         self.tokens: list[int] = []
         self.what: dict[int, str] = {}
         self.blocks: list[tuple[int, str, int, bool, bool, bool]] = []
-        # tag, path, left out, within an article, name of its kind
-        self.stack: list[tuple[str, int, bool, bool, str]] = []
+        # tag, path, why left out, within an article, name of its kind
+        self.stack: list[tuple[str, int, int, bool, str]] = []
+        # elements that what they hold decides on, from number 3: the one around it, whether a form, letters, letters in links, controls
+        self.held: list[list] = []
         self.open: Counter[str] = Counter()
         self.parts: list[str] = []
         self.linked = self.links = 0
@@ -145,11 +163,38 @@ class Page:
         while self.stack:
             self._pop()
         self._flush()
+        self._decide()
+
+    def _decide(self) -> None:
+        """Settle which of the elements that are judged by what they hold are out: forms, unless most of the page's text is theirs, and
+        named parts of an article with controls or mostly links."""
+        rest = 0
+        for _, text, linked, gone, _, _ in self.blocks:
+            if gone > HIDES:
+                self.held[gone - HIDES - 1][2] += len(text)
+                self.held[gone - HIDES - 1][3] += linked
+            elif not gone:
+                rest += len(text)
+        for around, _, letters, linked, controls in reversed(self.held):  # inner ones have larger numbers
+            if around:
+                x = self.held[around - HIDES - 1]
+                x[2] += letters
+                x[3] += linked
+                x[4] += controls
+        out: list[bool] = []
+        for around, form, letters, linked, controls in self.held:
+            own = letters <= rest if form else controls > 0 or linked >= LINKED * letters
+            out.append(own or (around > 0 and out[around - HIDES - 1]))
+        self.blocks = [(at, text, linked, out[gone - HIDES - 1] if gone > HIDES else gone > 0, inside, head) for at, text, linked, gone, inside, head in self.blocks]
+
+    def _control(self) -> None:
+        if self.stack and self.stack[-1][2] > HIDES:
+            self.held[self.stack[-1][2] - HIDES - 1][4] += 1
 
     def _flush(self) -> None:
         text = " ".join("".join(self.parts).split()) if self.parts else ""
         if text:
-            tag, path, gone, inside, _ = self.stack[-1] if self.stack else ("", 0, False, False, "")
+            tag, path, gone, inside, _ = self.stack[-1] if self.stack else ("", 0, 0, False, "")
             token = (path * K2 + xxhash.xxh64_intdigest(text)) & M63
             self.what[token] = "text"
             head = tag == "h1" or self.open["h1"] > 0
@@ -211,6 +256,8 @@ class Page:
             if m[1]:
                 self._close(tag)
             elif tag in RAW and not m[3].rstrip().endswith("/"):
+                if tag in CONTROLS:
+                    self._control()
                 end = None if tag in endless else _end_of(tag).search(html, at)
                 if end:
                     at = end.end()
@@ -240,6 +287,8 @@ class Page:
             self.parts.append(" ")
         if tag == "a":
             self.links += 1
+        if tag in CONTROLS:
+            self._control()
         if tag not in BLOCK:
             return
         self.skipping = False
@@ -248,10 +297,17 @@ class Page:
         ends = CLOSES.get(tag, ())
         while self.stack and (self.stack[-1][0] == "p" or self.stack[-1][0] in ends or (self.stack[-1][0] == "head" and tag == "body")):
             self._pop()
-        _, path, gone, inside, _ = self.stack[-1] if self.stack else ("", 0, False, False, "")
+        _, path, gone, inside, _ = self.stack[-1] if self.stack else ("", 0, 0, False, "")
         a = _attributes(raw)
-        gone = gone or _left_out(tag, a, inside)
+        why = _left_out(tag, a, inside)
         central = tag in ("article", "main") or a.get("itemprop") == "articleBody" or a.get("role") == "main"
+        if central and not why and (gone > HIDES or (gone == OUT and tag != "article")):
+            gone = 0  # a form that holds an article isn't left out, nor is whatever holds the main element
+        if why is None and (not gone or gone > HIDES):
+            self.held.append([gone, tag == "form", 0, 0, 0])
+            gone = len(self.held) + HIDES
+        elif not gone or gone > HIDES:
+            gone = why or gone
         kind = "article" if central and not gone else tag
         path = (path * K1 + _hash(f"{tag}.{'.'.join(sorted(a['class'].split()))}" if a.get("class") else tag)) & M63
         self.what[path] = "+" + kind
@@ -386,15 +442,21 @@ def judge(classes, orders, slots) -> list[tuple[int, ...]] | None:
 
 def main_text(html: str, classes=(), orders=(), kept=frozenset()) -> str:
     """Main text of one page under its host's template, if any; a page of which next to nothing lies in the template's main
-    text is read as if it had none."""
+    text is read as if it had none.
+
+    Where article and main elements hold most of a page's text, fixed text in them stays under any template, and without a template
+    nothing else does but first-rank headings."""
     page = Page(html)
-    texts = [b[1] for b in page.blocks if plain(b)]
+    blocks = [b for b in page.blocks if plain(b)]
+    all_letters = sum(len(b[1]) for b in blocks)
+    marked = sum(len(b[1]) for b in blocks if b[4]) >= MOST * all_letters > 0
     if kept:
         where, _ = chains(page, classes, orders)
-        free = [b[1] for b, (own, *gaps) in zip(page.blocks, where, strict=True) if own < 0 and tuple(gaps) in kept and plain(b)]
-        if free and sum(map(len, free)) >= FREE * sum(map(len, texts)):
-            texts = free
-    return "\n\n".join(texts)
+        fixed = lambda b: marked and b[4] and b[2] < LINKED * len(b[1])
+        free = [b[1] for b, (own, *gaps) in zip(page.blocks, where, strict=True) if plain(b) and (fixed(b) if own >= 0 else tuple(gaps) in kept)]
+        if free and sum(map(len, free)) >= FREE * all_letters:
+            return "\n\n".join(free)
+    return "\n\n".join(b[1] for b in blocks if not marked or b[4] or b[5])
 
 
 def _host() -> Column:
@@ -502,7 +564,10 @@ def templates(rows: DataFrame) -> DataFrame:
 def extract(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars`` of every row of ``pages``; the whole html is read.
 
-    Null or empty html, and pages without main text, give an empty text. Hosts with fewer than ``LEAST_PAGES`` pages, or whose
+    Null or empty html, and pages without main text, give an empty text. A form is left out unless it holds an article, the main element or most of
+    the page's text. Within an article, names of parts count on containers only (those of adverts everywhere), and names like ``search`` or ``share``
+    where there are controls or mostly links. Where articles hold most of a page's text, what all pages of the host share in them stays, and what is
+    outside of them goes but for first-rank headings, whether the host has a template or not. Hosts with fewer than ``LEAST_PAGES`` pages, or whose
     pages are copies of one another, have no template, nor have single pages that don't follow their host's: there the
     tags, roles, classes and link lists of the page itself decide. Null ids and urls are carried; null or odd urls share one host without a name. Repeated rows give equal
     texts and count as pages of their own. Html may be of any length and as broken as it likes. Other columns are ignored;

@@ -47,13 +47,26 @@ def page(body, **kw):
         ("<p>a</p><script>b<p>c</p>", "a"), ("<p>a</p><!-- b <p>c</p>", "a"),
         ('<p>a</p><div class="x>b</div><p>c</p>', "a\n\nb\n\nc"), ("<p>1 < 2 <3 and a<b", "1 < 2 <3 and a<b"), ("<p>x &#99999999999999999999;", "x \ufffd"),
         ("<article><p>" + "long " * 100 + "</p></article>", ("long " * 100).strip()),
+        # forms and named elements that hold the main element or the page's text; small forms
+        ("<form id=aspnetForm><main><p>story</p></main></form>", "story"), ("<form><article><p>a</p></article></form><footer>f</footer>", "a"),
+        ("<nav>n</nav><form id=form1><div><p>The whole story of the page.</p><input type=hidden></div></form>", "The whole story of the page."),
+        ("<p>The page has text here.</p><form><p>Login name</p></form>", "The page has text here."), ("<div class=widget><main><p>a</p></main></div>", "a"),
+        ("<div hidden><main><p>a</p></main></div><p>b</p>", "b"), ("<p>The page has text.</p><form><div><form><p>in</p></form></div></form>", "The page has text."),
+        # names within an article: elements of text, parts with controls or mostly links, adverts
+        ("<article><h2 class='related'>Related work</h2><p class='comment'>b</p><p class='social'>c</p><p class=ad>buy</p></article>", "Related work\n\nb\n\nc"),
+        ("<article><p>a</p><section class='search'><p>How search works</p></section><div class='ad-hoc'>net</div></article>", "a\n\nHow search works\n\nnet"),
+        ("<article><p>a</p><section class='search'><p>Find</p><input name=q></section><div class=share><a href=x>Tweet</a> <a href=y>Mail</a></div></article>", "a"),
+        ("<article><menu><li>one<li>two</menu><section id=comments><article><p>r</p></article></section></article>", "one\n\ntwo"),
+        # an article that holds most of the text is the main text; one that doesn't isn't
+        ("<div>Top stories</div><article><p>" + "long " * 20 + "</p></article><div>Copyright 2024 x</div>", ("long " * 20).strip()),
+        ("<h1>Title</h1><div>Top</div><article><p>" + "long " * 20 + "</p></article>", "Title\n\n" + ("long " * 20).strip()),
     ],
 )
 def test_main_text(html, text):
     assert page_text.main_text(html or "") == text
 
 
-@pytest.mark.parametrize("unit", ['<a b="x ', "<a b='x>", '<x "', "<div>", "<button>", "<p", "</p>", "<!--", "<![CDATA[", "<!", "&#9", "a=", "<li><p>", "<svg>", "<b>&amp;", "<article class=a><h1>"])
+@pytest.mark.parametrize("unit", ['<a b="x ', "<a b='x>", '<x "', "<div>", "<button>", "<p", "</p>", "<!--", "<![CDATA[", "<!", "&#9", "a=", "<li><p>", "<svg>", "<b>&amp;", "<article class=a><h1>", "<form><p>", "<article><div class=share>x"])
 def test_broken_html_takes_linear_time(unit):
     start = time.process_time()
     page_text.main_text(unit * (1_000_000 // len(unit)))
@@ -89,6 +102,20 @@ def test_templates_without_semantic_tags(spark):
     assert sorted(r.text for r in page_text.extract(spark.createDataFrame(rows, PAGES)).filter("page_id is null").collect()) == sorted(text(i) for i in range(5))
 
 
+@pytest.mark.parametrize("n", [3, 8])
+def test_fixed_text_of_articles_stays(spark, n):
+    """Headings and bylines that all pages of a host share stay within the article and go outside of it, on hosts with and without a template."""
+    body = lambda i: (
+        f"<div>Cooking for all</div><div><a href=/>Home</a></div><article><h1>Dish {i}</h1><p>By Ann Lee</p><h2>Ingredients</h2><p>{i} eggs and {i * 3} more things {'word ' * (20 + i)}</p>"
+        f"<h2>Method</h2><p>Stir {i} times.</p><p><a href=/all>All dishes of the site</a></p></article><div>Copyright of the site</div>"
+    )
+    rows = [(i, f"https://dishes.example/{i}", page(body(i)), None, None) for i in range(n)]
+    linked = "" if n > 3 else "\n\nAll dishes of the site"  # only a template tells that a line of links is on every page
+    for r in page_text.extract(spark.createDataFrame(rows, PAGES)).collect():
+        i = r.page_id
+        assert r.text == f"Dish {i}\n\nBy Ann Lee\n\nIngredients\n\n{i} eggs and {i * 3} more things {('word ' * (20 + i)).strip()}\n\nMethod\n\nStir {i} times.{linked}"
+
+
 def test_templates_judge_whole_slots(spark, monkeypatch):
     """An unmarked box that varies lies outside the article; a class of headings inside nests in it; joined by host as well as broadcast."""
     rows = []
