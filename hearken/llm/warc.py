@@ -7,6 +7,7 @@ block and payload digests while the bytes pass, so it holds one record at a time
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -16,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, cut, scratch_path, text_or_empty
+from .common import DROPPED, bounded_batches, cut, scratch_path, text_or_empty
 from .exact_dedup import elect
 
 #: Fixed values of the WARC 1.1 format.
@@ -158,6 +159,12 @@ def plan_records(pages: DataFrame) -> DataFrame:
     return out.select(F.col("page_id").alias("_id"), F.col("sha").alias("_sha"), F.col("keep_id").alias("refers_to")).distinct()
 
 
+def arrow_uri(path: str) -> str:
+    """A qualified Hadoop path as workers open it. Hadoop's names of S3 are those of its own clients. Workers need what the store asks for: its
+    credentials where Arrow looks for them, ``libhdfs`` for ``hdfs``. Stores that only Hadoop reads raise an error."""
+    return re.sub(r"^s3[an]://", "s3://", path)
+
+
 def write_archives(pages: DataFrame, base: str, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
     """Write one record per row of ``pages`` (page_id, url, html) below ``base``; a DataFrame of archive paths.
 
@@ -169,13 +176,15 @@ def write_archives(pages: DataFrame, base: str, date: str = "2024-01-01T00:00:00
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), text_or_empty("html").alias("html")
     ).withColumn("sha", F.sha2(F.col("html").cast("binary"), 256))
-    plan = plan_records(pages).hint("shuffle_hash")
+    plan = cut(plan_records(pages))
+    # few revisits go to the pages; with many, pages meet them by a shuffle
+    plan = F.broadcast(plan) if plan.count() <= DROPPED else plan.hint("shuffle_hash")
     todo = rows.join(plan, rows["page_id"].eqNullSafe(plan["_id"]) & (rows["sha"] == plan["_sha"]), "left").select(
         "page_id", "url", "html", F.when(F.col("_sha").isNull(), "response").otherwise("revisit").alias("record_type"), "refers_to"
     )
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = pafs.FileSystem.from_uri(base)
+        fs, root = pafs.FileSystem.from_uri(arrow_uri(base))
         fs.create_dir(root, recursive=True)
         task = TaskContext.get()
         name = f"{root}/part-{task.partitionId():06d}.warc.gz"
@@ -196,7 +205,7 @@ def read_archives(archives: DataFrame, base: str, with_payload: bool = False) ->
     """Records of all ``archives`` (rows with a ``path``), each read sequentially in one task."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, _ = pafs.FileSystem.from_uri(base)
+        fs, _ = pafs.FileSystem.from_uri(arrow_uri(base))
         for b in batches:
             for path in b.column(0).to_pylist():
                 rows, size = [], 0

@@ -175,6 +175,20 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(spark, spark.createDataFrame([], PAGES)).count() == 0
 
 
+def test_warc_stores(spark, tmp_path):
+    """Hadoop's schemes of S3 are those that workers know; html isn't shuffled while revisits are few, and many give the same."""
+    assert warc.arrow_uri("s3a://b/x") == warc.arrow_uri("s3n://b/x") == "s3://b/x" and warc.arrow_uri("hdfs://n/x") == "hdfs://n/x"
+    rows = [(i % 7, f"u{i}", f"<p>{'x' * (100 + i % 5)}</p>", None, None) for i in range(40)] + [(None, "u", "<p>" + "x" * 100 + "</p>", None, None)]
+    pages_ = spark.createDataFrame(rows, PAGES).repartition(3)
+    plan = warc.write_archives(pages_, f"file://{tmp_path}/a")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "ShuffledHashJoin" not in plan and "SortMergeJoin" not in plan
+    few = sorted(map(repr, warc.round_trip(spark, pages_).collect()))
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(warc, "DROPPED", 0)
+        assert sorted(map(repr, warc.round_trip(spark, pages_).collect())) == few
+    assert sum("revisit" in r for r in few) > 10
+
+
 def test_warc_framing():
     p = b"<p>body</p>" * 30
     d = hashlib.sha256(p).hexdigest()
