@@ -46,13 +46,24 @@ def breakdown(all_: DataFrame, name: str) -> DataFrame:
     return all_.filter(F.col("breakdown") == name).select("run_id", *BREAKDOWNS[name], "count")
 
 
+def _accepted() -> Column:
+    return F.coalesce("judge_decision", "pre_ai_status") == "ACCEPTED"
+
+
+def _times() -> list[Column]:
+    return [F.min("crawled_at").alias("first_record_at"), F.min(F.when(_accepted(), F.col("crawled_at"))).alias("first_accepted_at"), F.max("crawled_at").alias("last_record_at")]
+
+
+def _totals() -> list[Column]:
+    return [F.count_if(F.col("pre_ai_status") == s).alias(f"{s.lower()}_total") for s in ("ACCEPTED", "UNCERTAIN", "REJECTED")]
+
+
 def record_timing(posts: DataFrame) -> DataFrame:
-    accepted = F.coalesce("judge_decision", "pre_ai_status") == "ACCEPTED"
-    return posts.groupBy("run_id").agg(F.min("crawled_at").alias("first_record_at"), F.min(F.when(accepted, F.col("crawled_at"))).alias("first_accepted_at"), F.max("crawled_at").alias("last_record_at"))
+    return posts.groupBy("run_id").agg(*_times())
 
 
 def status_totals(posts: DataFrame, by: tuple[str, ...] = ("run_id",)) -> DataFrame:
-    return posts.groupBy(*by).agg(*[F.count_if(F.col("pre_ai_status") == s).alias(f"{s.lower()}_total") for s in ("ACCEPTED", "UNCERTAIN", "REJECTED")])
+    return posts.groupBy(*by).agg(*_totals())
 
 
 def top_records(posts: DataFrame, k: int = 25) -> DataFrame:
@@ -100,11 +111,8 @@ def run_analysis(runs: DataFrame, posts: DataFrame, steps: DataFrame, themes: Da
     ``runs``: ``run_id, status, failure_class, answer_status, started_at`` (ISO text); ``posts.crawled_at`` is a timestamp;
     ``steps``: ``run_id, step_run_id, action_type, status, actual_count, error_message, checkpoint`` (struct).
     """
-    p = status_totals(posts).join(record_timing(posts), "run_id", "left")
-    image = posts.groupBy("run_id").agg(
-        F.count_if("judge_used_image_understanding").alias("image_fallback_total"),
-        F.count_if(F.col("judge_used_image_understanding") & (F.coalesce("judge_decision", "pre_ai_status") == "ACCEPTED")).alias("accepted_with_image"),
-    )
+    pictures = F.col("judge_used_image_understanding")
+    p = posts.groupBy("run_id").agg(*_totals(), *_times(), F.count_if(pictures).alias("image_fallback_total"), F.count_if(pictures & _accepted()).alias("accepted_with_image"))
     by_step = posts.filter("pre_ai_status = 'ACCEPTED'").groupBy("run_id", "step_run_id").agg(F.count(F.lit(1)).alias("_acc"))
     s = steps.join(by_step, ["run_id", "step_run_id"], "left")
     c = F.col("checkpoint")
@@ -123,7 +131,7 @@ def run_analysis(runs: DataFrame, posts: DataFrame, steps: DataFrame, themes: Da
         cond((F.col("status") == "DONE") & (F.col("action_type") == "SEARCH_IN_GROUP") & (F.coalesce("_acc", F.lit(0)) == 0) & (F.col("actual_count") > 0)).alias("_dry"),
     )
     out = runs
-    for t in (p, image, st):
+    for t in (p, st):
         out = out.join(t, "run_id", "left")
     out = out.join(themes.groupBy("run_id").agg(F.count(F.lit(1)).alias("theme_count")), "run_id", "left") if themes is not None else out.withColumn("theme_count", F.lit(0).cast("long"))
     counts = [x for x in out.columns if x.endswith(("_total", "_steps", "_count")) or x == "accepted_with_image"]
