@@ -76,6 +76,13 @@ def ag_exhaustion(spark: SparkSession, d: str) -> DataFrame:
     return e.select("run_id", "completed_search_steps", "zero_accept_search_steps", "scanned_records", "dominant_reason_cluster", F.array_join("skipped_step_ids", ",").alias("skipped"))
 
 
+@query(SQL["ag_exhaustion"].replace("WITH ", "WITH fired AS (WITH ", 1) + ") " + f", {STEPS} SELECT run_id, CASE WHEN run_id IN (SELECT run_id FROM fired) AND status = 'PENDING' THEN 'SKIPPED' ELSE status END AS status, count(*) AS steps FROM m GROUP BY ALL")
+def ag_skipped_steps(spark: SparkSession, d: str) -> DataFrame:
+    """Steps by status after the pending ones of exhausted runs were skipped."""
+    s = steps(spark, d)
+    return closeout.skip_steps(s, closeout.exhaustion(s)).groupBy("run_id", "status").agg(F.count(F.lit(1)).alias("steps"))
+
+
 @query(f"WITH {STEPS}" + """, dn AS (SELECT * FROM m WHERE status = 'DONE' AND action_type IN ('SEARCH_POSTS', 'SEARCH_IN_GROUP', 'CRAWL_FEED')),
     a AS (SELECT run_id, started_at, step_run_id, k, n, actual_count, dry, broken, unnest(CASE WHEN n = 2 THEN [0, 1] ELSE [0] END) AS j FROM dn)
     SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY started_at, step_run_id, j) AS ordinal, CASE WHEN n = 0 THEN 't' || (k % 7) ELSE 'q' || (k % 17) || '-' || j END AS query,

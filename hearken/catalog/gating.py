@@ -245,6 +245,15 @@ def wn_stop_rules(spark: SparkSession, d: str) -> DataFrame:
     return b.select("path_id", "batch_index", "total_accepted", "total_scanned", "stop_reason", "batch_decision")
 
 
+@query(stop_sql(with_views("candidates").removeprefix("WITH ") + f", {JUDGED}, {B8}", 24) + """, p AS (SELECT path_id, sum(hd.batch_size)::BIGINT AS collected_count, sum(hd.acc)::BIGINT AS accepted_count, max(batch_index) AS n, arg_max(w.stop_reason, batch_index) FILTER (w.stop_reason IS NOT NULL) AS why, max(w.ended::INT) = 1 AS ended
+    FROM walk w JOIN hd USING (path_id, batch_index) GROUP BY 1)
+    SELECT path_id, collected_count, accepted_count, CASE WHEN why IS NOT NULL THEN 'stop' WHEN ended THEN 'reformulate' ELSE 'continue' END AS last_decision, CASE WHEN why IS NOT NULL THEN why WHEN ended THEN 'uncertain_reformulation_triggered' END AS stop_reason, accepted_count = 0 AND ended AS should_reformulate FROM p""")
+def wn_path_summaries(spark: SparkSession, d: str) -> DataFrame:
+    """What each path's caller sees of its batches."""
+    s = batches.path_summaries(batches.apply_stop_rules(_health(spark, d), ["path_id"], max_scanned=24), ["path_id"])
+    return s.select("path_id", "collected_count", "accepted_count", "last_decision", "stop_reason", "should_reformulate")
+
+
 @query(with_views("candidates") + """, k AS (SELECT run_id, path_id, ordinal, coalesce(source_url, post_id) AS key, source_url IS NOT NULL AS has, row_number() OVER (PARTITION BY run_id, path_id, coalesce(source_url, post_id) ORDER BY ordinal) AS rb FROM candidates),
     r AS (SELECT *, row_number() OVER (PARTITION BY run_id, key ORDER BY ordinal) AS rr FROM k WHERE rb = 1)
     SELECT k.run_id, count(*) FILTER (k.rb = 1 AND NOT (k.has AND r.rr > 1)) AS inserted, count(*) FILTER (k.rb > 1) AS duplicate_in_batch, count(*) FILTER (k.rb = 1 AND k.has AND r.rr > 1) AS duplicate_in_run
@@ -377,6 +386,13 @@ def pr_pick_query_texts(spark: SparkSession, d: str) -> DataFrame:
     return posts(spark, d).select("post_id", profiles.pick_search_query(F.regexp_replace("content", "[:\\r\\n]", " "), F.lit("")).alias("picked"))
 
 
+@query("""SELECT doc_id, coalesce(nullif(CASE WHEN doc_id % 2 = 0 THEN trim(regexp_extract(trim(regexp_extract('find: ' || text, '(?s)^[^:]*:(.*)$', 1)), '(?s)^(.*?)(?: in |$)', 1)) ELSE trim(regexp_extract(text, '(?s)^(.*?)(?: in |$)', 1)) END, ''), CASE WHEN doc_id % 2 = 0 THEN '' ELSE 'research' END) AS query FROM documents""")
+def pr_resolve_query(spark: SparkSession, d: str) -> DataFrame:
+    """Whole texts as targets of search steps, every other one with a head."""
+    t = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("find: "), "text")).otherwise(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", profiles.resolve_search_query(t).alias("query"))
+
+
 def _contexts(spark: SparkSession, d: str) -> DataFrame:
     """A context for each source: its topic and keywords are the words that most of its documents have."""
     words = F.array_distinct(F.filter(F.split("text", r"[\s.,]+"), lambda x: x != ""))

@@ -143,3 +143,18 @@ def src_lenient_props(spark: SparkSession, d: str) -> DataFrame:
     other = F.concat(F.lit('{"k": 1'), F.lpad(F.regexp_extract("props", r"(\d+)", 1), 3, "0"), F.lit("}"))
     own = F.when(F.col("event_type") == "view", other).when(F.col("event_type") == "click", "  ")
     return e.select("event_id", own.alias("a"), F.when(F.col("event_type") == "error", F.concat(F.lit("["), "props")).otherwise(F.col("props")).alias("b")).select("event_id", tables.lenient_json("k long", "a", "b")["k"].alias("k"))
+
+
+@query("""WITH c AS (SELECT lang AS context_id, min(text) AS topic FROM documents GROUP BY 1), p AS (SELECT source AS plan_id, min(lang) AS context_id FROM documents GROUP BY 1),
+    a AS (SELECT *, list_filter(string_split(regexp_replace(topic, '\\s+', ' ', 'g'), ' '), lambda x: x <> '') AS ws FROM c)
+    SELECT doc_id, md5(topic) AS topic, CASE WHEN len(topic) % 2 = 0 THEN ws[1] END AS anchor, CASE WHEN len(topic) % 2 = 0 THEN len(ws) END AS anchors FROM documents LEFT JOIN p ON plan_id = source LEFT JOIN a USING (context_id)""")
+def jn_run_context_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as runs, sources as plans, languages as contexts: the topic is a text, the profile's anchors its words; half of the profiles are broken JSON."""
+    docs = table(spark, d, "documents")
+    plans = docs.groupBy(F.col("source").alias("plan_id")).agg(F.min("lang").alias("context_id"))
+    words = F.filter(F.split(F.regexp_replace("topic", r"\s+", " "), " "), lambda w: w != "")
+    json = F.to_json(F.struct(words.alias("anchors")))
+    contexts = docs.groupBy(F.col("lang").alias("context_id")).agg(F.min("text").alias("topic"))
+    contexts = contexts.select("context_id", "topic", F.when(F.length("topic") % 2 == 0, json).otherwise(F.concat(F.lit("{"), json)).alias("retrieval_profile_json"), F.lit("").alias("validity_spec_json"))
+    out = profiles.contexts_of_runs(docs.select("doc_id", F.col("source").alias("plan_id")), plans, contexts)
+    return out.select("doc_id", F.md5("topic").alias("topic"), F.element_at("profile.anchors", 1).alias("anchor"), F.when(F.col("profile.anchors").isNotNull(), F.size("profile.anchors").cast("long")).alias("anchors"))

@@ -81,6 +81,15 @@ def test_dedupe_stream(spark, tmp_path):
     assert sorted((r.run_id, r.source_url or "") for r in out.collect()) == [("r", ""), ("r", "u"), ("s", "u")]
 
 
+def test_dedupe_forgets_after_the_delay(spark, tmp_path):
+    """A copy within the delay goes; one that comes when the watermark has long passed the first is new again."""
+    t = lambda h: datetime(2024, 1, 1) + timedelta(hours=h)
+    schema = "run_id string, post_id string, source_url string, at timestamp"
+    parts = [[("r", "a", "u", t(0))], [("r", "b", "u", t(1))], [("r", "x", "v", t(50))], [("r", "y", "w", t(51))], [("r", "c", "u", t(52))], [("r", "d", "u", t(53))]]
+    out = run_stream(spark, tmp_path, parts, schema, lambda s: gating.dedupe_stream(s, "at", "2 hours"))
+    assert sorted(r.post_id for r in out.collect()) == ["a", "c", "x", "y"]
+
+
 def test_progress(spark):
     t = lambda m: datetime(2024, 1, 1) + timedelta(minutes=m)
     df = spark.createDataFrame([("r", "1", t(0), 1, 5, None, None), ("r", "1", t(1), 2, None, 2, 1), ("r", "2", t(30), 3, None, None, None)], "run_id string, step_id string, ts timestamp, event_id long, collected long, persisted long, images long")
