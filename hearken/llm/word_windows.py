@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from .superkmers import BLOCK, NONE, Hashes, demoted, find_covered, mask, sliding_min, unpacked, with_spans
 
 WINDOW, GRAM = 13, 3
+#: Windows whose words are compared at once.
+COMPARED = 1 << 15
 
 
 def _grams(texts: list[bytes], size: int):
@@ -82,22 +84,24 @@ def settle(doc, tag, at, start, size, text: bytes, frequent: np.ndarray) -> np.n
     block = (np.cumsum(size[order], dtype=np.int64) - 1) // BLOCK
     found = [_windows(text, start, size, own) for own in np.split(order, np.flatnonzero(np.diff(block)) + 1)]
     h, s, e, o, word = (np.concatenate(x) for x in zip(*found, strict=True))
+    del found
     by = np.lexsort((doc[o], h))
     h, s, e, o, word = h[by], s[by], e[by], o[by], word[by]
     head = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
     lead = np.repeat(head, np.diff(np.append(head, len(h))))
     later = np.flatnonzero(doc[o] > doc[o[lead]])
-    equal = np.fromiter(
-        (text[i:j] == text[k:m] for i, j, k, m in zip(s[later].tolist(), e[later].tolist(), s[lead[later]].tolist(), e[lead[later]].tolist(), strict=True)),
-        bool,
-        len(later),
-    )
-    hit = later[equal].tolist()
+    equal = np.zeros(len(later), bool)
+    for k in range(0, len(later), COMPARED):
+        w = later[k : k + COMPARED]
+        first = lead[w]
+        places = zip(s[w].tolist(), e[w].tolist(), s[first].tolist(), e[first].tolist(), strict=True)
+        equal[k : k + COMPARED] = [text[a:b] == text[c:d] for a, b, c, d in places]
+    more = []
     for k in later[~equal].tolist():  # another window with the same hash: look at the others of the run
         others = range(int(lead[k]) + 1, k)
         if any(text[s[x] : e[x]] == text[s[k] : e[k]] and doc[o[x]] < doc[o[k]] for x in others):
-            hit.append(k)
-    hit = np.array(hit, np.int64)
+            more.append(k)
+    hit = np.concatenate([later[equal], np.array(more, np.int64)])
     begin = at[o[hit]] + word[hit]
     own = o[hit]
     # neighbouring windows of one string make one span
