@@ -28,6 +28,8 @@ from .common import bounded_batches, stored, text_or_empty
 
 #: Words of a window.
 WINDOW = 10
+#: Bytes of a text whose words are held at once.
+PIECE = 1 << 22
 #: (Window, item) pairs and their bytes in one automaton.
 PAIRS, PAIR_BYTES = 1 << 18, 1 << 26
 
@@ -79,23 +81,42 @@ class Automaton:
                 self.items.append([])
                 self.sizes.append(len(words))
             self.items[k].append(item)
+        self.longest = max(self.sizes, default=0)
         if at:
             self.machine.make_automaton()
 
-    def matches(self, words: list[bytes]) -> Iterator[tuple[int, int]]:
-        """``(window, end)`` of every occurrence."""
-        if not self.items:
-            return
-        for end, k in self.machine.iter(tuple(map(self.numbers.get, words, repeat(0)))):
-            yield k, end
-
-    def hits(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
-        """Maximal runs of words that are hit (first, last), in order, and the items of the windows that occur."""
-        found, spans = set(), []
-        for k, end in self.matches(words):
-            found.add(k)
-            spans.append((end - self.sizes[k] + 1, end))
-        return merged(spans), {i for k in found for i in self.items[k]}
+    def matches(self, numbers: tuple[int, ...]) -> Iterator[tuple[int, int]]:
+        """``(end, window)`` of every occurrence."""
+        return self.machine.iter(numbers) if self.items else iter(())
+
+    def hits(self, text: bytes) -> tuple[int, list[tuple[int, int]], set[str]]:
+        """The number of words of a normalised text, its maximal runs of words that are hit (first, last), in order, and the items of
+        the windows that occur. Long texts are read a piece at a time, each with the last words of the one before."""
+        n, found, spans = 0, set(), []
+        last: tuple[int, ...] = ()
+        for piece in pieces(text, PIECE):
+            words = piece.split()
+            numbers = (*last, *map(self.numbers.get, words, repeat(0)))
+            before = len(last)
+            for end, k in self.matches(numbers):
+                if end >= before:
+                    found.add(k)
+                    spans.append((n + end - before - self.sizes[k] + 1, n + end - before))
+            n += len(words)
+            last = numbers[len(numbers) - self.longest + 1 :] if self.longest > 1 else ()
+            if len(spans) > 1 << 16:
+                spans = merged(spans)
+        return n, merged(spans), {i for k in found for i in self.items[k]}
+
+
+def pieces(text: bytes, size: int) -> Iterator[bytes]:
+    """A normalised text in pieces of about ``size`` bytes that don't cut words."""
+    at = 0
+    while at < len(text):
+        end = text.find(b" ", at + size)
+        end = len(text) if end < 0 else end
+        yield text[at:end] if at or end < len(text) else text
+        at = end
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -110,12 +131,23 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def original_spans(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Runs of words as places in the original text: first code point, and the one behind the last."""
+    """Runs of words (of a normalised text: the original with each byte in its place) as places in the original: first code point, and
+    the one behind the last."""
     if not spans:
         return []
-    at = [m.span() for m in re.finditer(rb"[^ ]+", text.translate(_NORMAL))]
-    points = np.append(0, np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80))
-    return [(int(points[at[a][0]]), int(points[at[b][1]])) for a, b in spans]
+    wanted = iter(x for span in spans for x in zip(span, (0, 1), strict=True))
+    word, side = next(wanted)
+    places, at, points = [], 0, 0
+    a = np.frombuffer(text, np.uint8)
+    for k, m in enumerate(re.finditer(rb"[^ ]+", text.translate(_NORMAL))):
+        while k == word:
+            upto = m.span()[side]
+            points, at = points + int(np.count_nonzero((a[at:upto] & 0xC0) != 0x80)), upto
+            places.append(points)
+            word, side = next(wanted, (-1, 0))
+        if word < 0:
+            break
+    return list(zip(places[::2], places[1::2], strict=True))
 
 
 #: The automaton that this worker built last, by the name of its scan.
@@ -143,11 +175,10 @@ def _scan(rows: DataFrame, pairs: list[tuple[bytes, str]], all_rows: bool) -> Da
         for batch in batches:
             out: list[dict] = []
             for row, doc, text in zip(*(batch.column(c).to_pylist() for c in ("_row", "doc_id", "text")), strict=True):
-                words = words_of(text)
-                runs, items = automaton.hits(words)
+                n, runs, items = automaton.hits(text.translate(_NORMAL))
                 if runs or all_rows:
                     pairs_of = lambda spans: [{"start": a, "end": b} for a, b in spans]
-                    out.append({"_row": row, "doc_id": doc, "n_words": len(words), "hit": pairs_of(runs), "spans": pairs_of(original_spans(text, runs)), "items": sorted(items)})
+                    out.append({"_row": row, "doc_id": doc, "n_words": n, "hit": pairs_of(runs), "spans": pairs_of(original_spans(text, runs)), "items": sorted(items)})
             yield pa.RecordBatch.from_pylist(out, _HITS)
 
     return rows.mapInArrow(scan, _HITS_DDL)

@@ -29,6 +29,8 @@ LEAST_LENGTH, LEAST_COUNT, TIMES = 6, 5, 5
 #: Words held per task before their counts go on; words longer than this are turned as digests, so that their rotations take
 #: memory in proportion to the word.
 HELD, LONG = 1 << 17, 64
+#: Letters of a text whose runs are held at once.
+PIECE = 1 << 22
 #: One of so many runs, by its digest, loses a character.
 SLIPS = 199
 
@@ -59,8 +61,9 @@ def counted_words(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                begun = zlib.crc32(f"{doc}:".encode())
-                for run, n in Counter(RUN.findall(text.lower().decode(errors="replace"))).items():
+                begun, text = zlib.crc32(f"{doc}:".encode()), text.lower().decode(errors="replace")
+                runs = RUN.findall(text) if len(text) < PIECE else (m[0] for m in RUN.finditer(text))  # not all runs of a very long text at once
+                for run, n in Counter(runs).items():
                     h = zlib.crc32(run.encode(), begun)
                     if h % SLIPS == 0:
                         run = slipped(run, h)

@@ -47,9 +47,10 @@ def rows_of(rnd):
     return docs, items
 
 
-@pytest.mark.parametrize("pairs", [1 << 18, 25])
-def test_contamination_equals_a_plain_search(spark, monkeypatch, pairs):
-    """Short items, windows inside others, letters of all kinds, null and repeated ids; one automaton and several."""
+@pytest.mark.parametrize("pairs, piece", [(1 << 18, 1 << 22), (25, 1 << 22), (1 << 18, 7)])
+def test_contamination_equals_a_plain_search(spark, monkeypatch, pairs, piece):
+    """Short items, windows inside others, letters of all kinds, null and repeated ids; one automaton and several; texts in pieces."""
+    monkeypatch.setattr(decontamination, "PIECE", piece)
     monkeypatch.setattr(decontamination, "PAIRS", pairs)
     docs, items = rows_of(random.Random(3))
     frame = spark.createDataFrame([(*r, 1, "h", "w", "i", 2) for r in docs], DOCS).repartition(4)

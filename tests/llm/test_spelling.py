@@ -62,6 +62,7 @@ def rows_of(rnd):
 def test_variants_equal_a_plain_comparison(spark, monkeypatch, long):
     monkeypatch.setattr(spelling, "LONG", long)
     monkeypatch.setattr(spelling, "HELD", 50)
+    monkeypatch.setattr(spelling, "PIECE", 1000)
     docs = rows_of(random.Random(long))
     out = spelling.variants(spark.createDataFrame([(*r, "w", 1, "k", 2, "r") for r in docs], DOCS).repartition(3))
     got = sorted((tuple(r) for r in out.select("word", "form", "root", "n", "n_near", "form_n").collect()), key=repr)
