@@ -148,10 +148,14 @@ def _settle_part(k, own, left, right, doc, tag, at, start, size, text: bytes) ->
         edge[first[o] - i] += 1
         edge[first[o] - i + n[o] - LENGTH + 1] -= 1
         valid[i:j] = np.cumsum(edge, dtype=np.int8) > 0
+    # chunks come in the order of the suffixes; neighbouring places meet only when all are known
+    covered_at = room(len(t), bool, MEMORY, False)
     for rows in equal_groups(t, LENGTH, valid):
-        if not len(rows):
+        covered_at[rows[:, 0]] = True
+    for x in range(0, len(t), BLOCK):
+        p = np.flatnonzero(covered_at[x : x + BLOCK]) + x
+        if not len(p):
             continue
-        p = np.sort(rows[:, 0])
         o = np.searchsorted(first, p, side="right") - 1
         i = np.flatnonzero(np.append(True, (o[1:] != o[:-1]) | (p[1:] != p[:-1] + 1)))
         j = np.append(i[1:], len(p)) - 1

@@ -126,6 +126,16 @@ def test_repeated_minimiser_against_single_one():
     assert removed >= 60 * 150
 
 
+def test_spans_are_whole_whatever_the_chunks(monkeypatch):
+    """Chunks of the sorting hold places from all over the text; a run is one span all the same."""
+    monkeypatch.setattr(suffix_sort, "CHUNK", 64)
+    text = "".join(random.Random(3).choices("abcdefgh", k=3000)).encode()
+    size = np.array([len(text), len(text) + 1], np.int32)
+    ids, none = np.array([1, 2]), np.zeros(2, np.int64)
+    spans = byte_windows.settle(ids, none, none, np.array([0, len(text)]), size, text + text + b"z", NONE)
+    assert spans.tolist() == [[2, 0, 0, len(text)]]
+
+
 @pytest.mark.parametrize("op", [byte_windows.dedup, word_windows.dedup, exact_dedup.exact_groups, exact_dedup.drop_copies, simhash.near_groups, simhash.one_of_each])
 def test_empty_tables_and_null_ids(spark, op):
     assert op(docs(spark, [])).count() == 0
