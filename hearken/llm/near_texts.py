@@ -140,7 +140,7 @@ def linked(key: np.ndarray, name: np.ndarray, root: np.ndarray, sets: list[np.nd
         begin = np.append(np.flatnonzero(fresh), len(flat))
         where = np.empty(len(flat), np.int64)
         where[order] = group
-        at, own, others = 0, name[i:j], root[i:j]
+        at, own, label = 0, name[i:j], root[i:j].copy()  # what is linked by now has one label, so at most j - i links are held
         for k in range(j - i):
             g = where[at : at + n[k]]
             at += n[k]
@@ -150,28 +150,33 @@ def linked(key: np.ndarray, name: np.ndarray, root: np.ndarray, sets: list[np.nd
                 continue
             place = np.repeat(begin[g] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
             both = np.bincount(holder[place], minlength=j - i)[:k]
-            hit = np.flatnonzero((both >= SIMILARITY * (n[:k] + n[k] - both)) & (others[:k] != others[k]))
-            got.append((own[hit], np.full(len(hit), own[k])))
+            hit = np.flatnonzero((both >= SIMILARITY * (n[:k] + n[k] - both)) & (label[:k] != label[k]))
+            if len(hit):
+                old, one = np.unique(label[hit], return_index=True)
+                got.append((own[hit[one]], np.full(len(one), own[k])))
+                label[np.isin(label, old)] = label[k]
     return forest(*(np.concatenate(x) for x in zip(*got, strict=True)))
 
 
 def agreeing(key: np.ndarray, name: np.ndarray, root: np.ndarray, n: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A forest over the pairs of equal ``key`` and different roots that may be similar by their sizes and sketches."""
-    got, held = [(name[:0], name[:0])], 0
+    got = [(name[:0], name[:0])]
     cuts = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else []
     for i, j in zip(cuts, np.append(cuts[1:], len(key)), strict=True):
         order = i + np.argsort(n[i:j], kind="stable")  # by size: what may be similar to one stands next to it
         size = n[order]
         upto = np.searchsorted(size, size / SIMILARITY + 1e-9, side="right")
+        # what is linked by now has one label and isn't compared again, so at most j - i links are held; texts of one root get
+        # no common label, as those of another root may be similar to either
+        label, own = np.arange(len(order)), root[order]
         for k, o in enumerate(order.tolist()):
-            others = order[k + 1 : upto[k]]
-            others = others[root[others] != root[o]]
+            others = k + 1 + np.flatnonzero((own[k + 1 : upto[k]] != own[k]) & (label[k + 1 : upto[k]] != label[k]))
             if len(others):
-                hit = others[(x[others] == x[o]).sum(axis=1) >= AGREE]
-                got.append((name[hit], np.full(len(hit), name[o])))
-                held += len(hit)
-        if held > 1 << 20:
-            got, held = [forest(*(np.concatenate(c) for c in zip(*got, strict=True)))], 0
+                hit = others[(x[order[others]] == x[o]).sum(axis=1) >= AGREE]
+                if len(hit):
+                    old, one = np.unique(label[hit], return_index=True)
+                    got.append((name[order[hit[one]]], np.full(len(one), name[o])))
+                    label[np.isin(label, old)] = label[k]
     return forest(*(np.concatenate(c) for c in zip(*got, strict=True)))
 
 

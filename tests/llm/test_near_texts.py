@@ -1,8 +1,12 @@
 """The pipeline's near-duplicate stage against brute-force Jaccard similarity of five-word shingles."""
 
 import random
+import tracemalloc
+
+import numpy as np
 
 import corpus_pipeline
+from hearken.llm import near_texts
 
 
 def brute(rows):
@@ -44,3 +48,26 @@ def test_near_stage_is_exact(spark):
     want = brute(rows)
     assert 30 < len(want) < len(rows) // 2
     assert sorted(r.doc_id for r in corpus_pipeline.no_near_copies(spark, docs, "").collect()) == want
+
+
+def test_large_buckets_hold_few_links():
+    """All pairs of a bucket may be similar: links are held for each text, not for each pair."""
+    n = 2500
+    key, name, root = np.zeros(n, np.int64), np.arange(n), np.arange(n)
+    x, same = np.zeros((n, near_texts.SKETCH), np.uint8), np.arange(30, dtype=np.uint64)
+    for links in (lambda: near_texts.agreeing(key, name, root, np.full(n, 30), x), lambda: near_texts.linked(key, name, root, [same] * n)):
+        tracemalloc.start()
+        a, b = links()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert sorted(a) == list(range(1, n)) and (b == 0).all()
+        assert peak < 16 << 20, peak
+
+
+def test_links_across_roots_meet():
+    """Two roots whose first texts only seem to be similar: what truly links them still shares a group of candidates."""
+    key, name, root = np.zeros(4, np.int64), np.array([1, 2, 3, 4]), np.array([1, 2, 1, 2])
+    x = np.zeros((4, near_texts.SKETCH), np.uint8)
+    x[2:] = 1
+    a, b = near_texts.agreeing(key, name, root, np.full(4, 30), x)
+    assert sorted(zip(a.tolist(), b.tolist(), strict=True)) == [(2, 1), (4, 3)]
