@@ -1,4 +1,8 @@
-"""Near copies by the exact similarity of their shingles: the verified mode of near-duplicate removal.
+"""Near copies by SimHash and the exact similarity of their shingles: the verified mode of near-duplicate removal.
+
+Fingerprints of the sets of shingles are linked by the generalised pigeonhole (:mod:`.simhash`); each text of such a group is
+compared with the group's first one on the whole sets. A fingerprint can't tell all pairs: at a similarity of 0.8 about 10 of its 64
+bits differ. So a prefix filter finds the links between what is still apart, and only that.
 
 Two sets of shingles with a Jaccard similarity of 0.8 or more share one of the first fifth of each, in any order that holds
 for all. In the order taken here shingles that are frequent in the whole table come last, so texts that only share a common
@@ -20,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, cut, scratch, stored, text_or_empty, without
 from .components import HUBS, components, few, join_hubs, meet_least
-from .simhash import forest
+from .simhash import bit_counts, forest, links as near_fingerprints, majority
 from .superkmers import COUNTERS, HEAVY, LEAST_PLACES, demoted, frequent_grams
 
 SEED = 42
@@ -207,6 +211,15 @@ def _whole_runs(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Tab
         yield pa.Table.from_batches(held).combine_chunks()
 
 
+def _simhash_links(named: DataFrame, sets_of) -> DataFrame:
+    """Links ``a, b`` of names (name, fp): in each group of near fingerprints, its least name and those that are similar to it."""
+    groups = components(near_fingerprints(cut(named.select("fp").distinct())))
+    rows = named.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select(F.coalesce("root", "fp").alias("a"), F.col("name").alias("b"))
+    rows = cut(rows)
+    pairs = cut(meet_least(rows, rows.count(), F.min("b")).filter("m <> b").select(F.col("m").alias("a"), "b"))
+    return _verified(pairs, sets_of(pairs.select(F.explode(F.array("a", "b")).alias("name"))))
+
+
 def _apart_links(apart: DataFrame, sketches: DataFrame, sets_of) -> DataFrame:
     """Links ``a, b`` between rows (key, name, root) with one key and different roots; tasks send forests of links, no pairs.
 
@@ -255,23 +268,15 @@ def near_groups(docs: DataFrame) -> DataFrame:
             hs = [shingles(x.as_py()) for x in b.column(1)]
             keys = pa.array([first_ones(h, frequent) for h in hs], pa.list_(pa.int64()))
             sizes = pa.array([len(h) for h in hs], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(_name, hs), pa.int64()), sizes, pa.array(map(sketch, hs), pa.binary()), keys], names_)
+            fps = pa.array(np.array([majority(bit_counts(h), len(h)) for h in hs], np.uint64).view(np.int64))
+            cols = [b.column(0), pa.array(map(_name, hs), pa.int64()), sizes, pa.array(map(sketch, hs), pa.binary()), fps, keys]
+            yield pa.RecordBatch.from_arrays(cols, names_)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             hs = [shingles(x.as_py()) for x in b.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array([_name(h) for h in hs], pa.int64()), pa.array([h.tobytes() for h in hs], pa.binary())], ["name", "hashes"])
 
-    names_ = ["doc_id", "name", "n", "sketch", "keys"]
-    rows = stored(texts.mapInArrow(named, "doc_id long, name long, n long, sketch binary, keys array<long>"), "shingled")
-    names = rows.groupBy("name").agg(F.min("doc_id").alias("first"))
-    sketches = rows.dropDuplicates(["name"]).select("name", "n", "sketch")
-    keyed = rows.dropDuplicates(["name"]).select(F.explode("keys").alias("a"), F.col("name").alias("b"))
-    shared = keyed.groupBy("a").count().filter("count > 1").select("a")
-    keyed = stored(keyed.join(shared, "a", "left_semi"), "keyed")
-    stars = cut(meet_least(keyed, keyed.count(), F.min("b")).filter("m <> b").select(F.col("m").alias("a"), "b").distinct())
-    near = _sketched(stars, sketches)
-
     def sets_of(used: DataFrame) -> DataFrame:
         """``name, hashes`` of the names ``used``: the shingles of one text of each."""
         ids = cut(rows.join(used.distinct(), "name", "left_semi").groupBy("name").agg(F.min("doc_id").alias("_id")).select("_id").distinct())
@@ -279,7 +284,21 @@ def near_groups(docs: DataFrame) -> DataFrame:
         sets = texts.join(ids, texts["doc_id"].eqNullSafe(ids["_id"]), "left_semi").select("text").mapInArrow(hashed, "name long, hashes binary")
         return stored(sets.dropDuplicates(["name"]), "sets")
 
-    links = _verified(near, sets_of(near.select(F.col("a").alias("name")).unionByName(near.select(F.col("b").alias("name")))))
+    names_ = ["doc_id", "name", "n", "sketch", "fp", "keys"]
+    rows = stored(texts.mapInArrow(named, "doc_id long, name long, n long, sketch binary, fp long, keys array<long>"), "shingled")
+    names = rows.groupBy("name").agg(F.min("doc_id").alias("first"))
+    sketches = rows.dropDuplicates(["name"]).select("name", "n", "sketch")
+    by_simhash = _simhash_links(rows.select("name", "fp").distinct(), sets_of)
+    by_simhash = few(by_simhash, by_simhash.count())
+    # what a group of near fingerprints has joined isn't compared again: keys that only such texts have are left out
+    keyed = rows.dropDuplicates(["name"]).select("keys", "name").join(components(by_simhash).withColumnRenamed("node", "name"), "name", "left")
+    keyed = keyed.select(F.explode("keys").alias("a"), F.col("name").alias("b"), F.coalesce("root", "name").alias("root"))
+    several = keyed.groupBy("a").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 <> r2").select("a")
+    keyed = stored(keyed.join(several, "a", "left_semi"), "keyed")
+    stars = meet_least(keyed, keyed.count(), F.min(F.struct("b", "root"))).filter("m.root <> root")
+    stars = cut(stars.select(F.col("m.b").alias("a"), "b").distinct())
+    near = _sketched(stars, sketches)
+    links = _verified(near, sets_of(near.select(F.explode(F.array("a", "b")).alias("name")))).unionByName(by_simhash)
     links = few(links, links.count())
     roots = components(links)
     # of what is still apart in a bucket, every pair

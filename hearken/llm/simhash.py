@@ -33,6 +33,20 @@ BROADCAST_KEYS = 1 << 18
 PROBE_COST = 20.0
 
 
+def bit_counts(h: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit set."""
+    counts = np.zeros(64, np.int64)
+    for k in range(0, len(h), 1 << 16):
+        part = np.ascontiguousarray(h[k : k + (1 << 16)])
+        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return counts
+
+
+def majority(counts: np.ndarray, n: int) -> int:
+    """The fingerprint of ``n`` hashes: a bit is 1 if set in over half of them."""
+    return int(np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0])
+
+
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     """A bit is 1 if set in over half of the hashes of the shingles; no words: 0. White space and case as stated."""
     words = text.lower().split()  # bytes: lower-cases A-Z only, splits at \\x20 and \\x09-\\x0D only
@@ -48,8 +62,8 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     for at in range(0, n, 1 << 16):
         part = range(at, min(n, at + (1 << 16)))
         h = np.fromiter((h64(joined[starts[k] : ends[k]], SEED) for k in part), np.uint64, len(part))
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0])
+        counts += bit_counts(h)
+    return majority(counts, n)
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 import tracemalloc
 
 import numpy as np
+import xxhash
 
 import corpus_pipeline
 from hearken.llm import near_texts
@@ -71,3 +72,51 @@ def test_links_across_roots_meet():
     x[2:] = 1
     a, b = near_texts.agreeing(key, name, root, np.full(4, 30), x)
     assert sorted(zip(a.tolist(), b.tolist(), strict=True)) == [(2, 1), (4, 3)]
+
+
+def edited(seed):
+    """Texts with one word of 300 changed and such with many, and their fingerprints by a plain model."""
+    rnd = random.Random(seed)
+    words, rows = [f"w{i}" for i in range(500)], []
+    for _ in range(12):
+        own = rnd.choices(words, k=300)
+        for n in (0, 1, 1, 9):
+            for _ in range(n):
+                own[rnd.randrange(len(own))] = rnd.choice(words)
+            rows.append((len(rows), " ".join(own)))
+
+    def fp(t):
+        w = t.encode().split()
+        hs = [xxhash.xxh64_intdigest(x, 42) for x in {b" ".join(w[i : i + 5]) for i in range(len(w) - 4)}]
+        return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+
+    return rows, {d: fp(t) for d, t in rows}
+
+
+def test_near_fingerprints_are_joined_by_simhash(spark, monkeypatch):
+    """Without the prefix filter the groups of near fingerprints are still joined, and with it the rest, too."""
+    rows, fps = edited(8)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    group = {d: d for d in fps}
+    for d in fps:
+        for e in range(d):
+            if (fps[d] ^ fps[e]).bit_count() <= 3:
+                group = {k: min(group[d], group[e]) if g in (group[d], group[e]) else g for k, g in group.items()}
+    want = sorted(set(group.values()))
+    whole = brute(rows)
+    assert len(whole) < len(want) < len(rows)
+    kept = lambda: sorted(r.doc_id for r in corpus_pipeline.no_near_copies(spark, docs, "").collect())
+    assert kept() == whole
+    none = spark.createDataFrame([], "a long, b long")
+    monkeypatch.setattr(near_texts, "_sketched", lambda *_: none)
+    monkeypatch.setattr(near_texts, "_apart_links", lambda *_: none)
+    assert kept() == want
+
+
+def test_groups_of_fingerprints_are_verified(spark, monkeypatch):
+    """All fingerprints are equal: what is not similar is kept, and what is similar to another one than the first still goes."""
+    monkeypatch.setattr(near_texts, "majority", lambda counts, n: 0)
+    rows, _ = edited(9)
+    rows = [*rows, (100, None), (101, " "), (102, "one two")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.no_near_copies(spark, docs, "").collect()) == brute(rows)
