@@ -21,7 +21,8 @@ def no_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, that of the smallest id: texts linked by a Jaccard similarity of 0.8 or more
-    of their five-word shingles, verified. Groups of null ids only stay; rows that share an id stay or go together."""
+    of their five-word shingles, verified. SimHash fingerprints group them; a prefix filter then finds the links that fingerprints
+    can't tell. Groups of null ids only stay; rows that share an id stay or go together."""
     return near_texts.one_of_each(docs)
 
 
@@ -38,7 +39,7 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality classifier", good_quality),
     ("exact dedup", no_exact_copies),
-    ("near-dedup", no_near_copies),
+    ("simhash near-dedup", no_near_copies),
     ("mixing to target weights", mixed),
     ("sentencepiece encoding", encoded),
 ]
