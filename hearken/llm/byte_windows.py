@@ -18,8 +18,9 @@ from .suffix_sort import MEMORY, equal_groups, room
 from .superkmers import BLOCK, GRAM, K1, MB, NONE, demoted, find_covered, gram_hashes, mixed, mask, sliding_min, unpacked, with_spans, words_at
 
 LENGTH = 100
-#: Bytes next to a minimiser that two equal strings must share on one side at least: half of what is not the minimiser.
-SIDE = (LENGTH - GRAM) // 2
+#: What is not the minimiser in steps of bytes: two equal strings share all but one step of it, some on the left, the rest on the right.
+STEP = 11
+STEPS = (LENGTH - GRAM) // STEP
 #: Packed strings of a bucket, and of the parts of it that are settled at once.
 BUCKET_BYTES, PART_BYTES = 16 * MB, 6 * MB
 
@@ -57,22 +58,24 @@ def byte_runs(texts: list[bytes], frequent: np.ndarray):
 
 
 def _grams_of(a: np.ndarray, s: np.ndarray, n: np.ndarray, frequent: np.ndarray):
-    """For each string its minimiser, and for each place where it stands there (``own``: the string's number) hashes of it
-    with ``SIDE`` bytes to its left and to its right (unique numbers where there are fewer). A block of strings at a time."""
+    """For each string its minimiser, and for each place where it stands there (``own``: the string's number) ``STEPS`` hashes of it
+    with 0, 1, ... steps to its left and the others, but one, to its right (zero where there are fewer). A block of strings at a time."""
     least = np.empty(len(s), np.uint64)
-    got: list[tuple[np.ndarray, ...]] = []
-    span = SIDE + GRAM
-    offsets = [*range(0, span - 8, 8), span - 8]
-
-    def slice_hash(w: np.ndarray, at: np.ndarray) -> np.ndarray:
-        h = np.zeros(len(at), np.uint64)
-        for k in offsets:
-            h = mixed(h ^ w[at + k]) * K1
-        return h
+    got: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def chained(w: np.ndarray, places: np.ndarray, begin: np.ndarray, end: np.ndarray, to: int) -> list[np.ndarray]:
+        """Hashes of 0, 1, ... steps next to the grams at ``places``, zero where these leave ``begin`` to ``end``."""
+        out = [np.ones(len(places), np.uint64)]
+        for k in range(1, STEPS):
+            at = places - k * STEP if to < 0 else places + GRAM + (k - 1) * STEP
+            ok = (at >= begin) & (at + STEP <= end)
+            h = np.zeros(len(places), np.uint64)
+            h[ok] = mixed(mixed(out[-1][ok] ^ w[at[ok]]) * K1 + w[at[ok] + STEP - 8]) | np.uint64(1)
+            out.append(h)
+        return out
 
     by = np.argsort(s)
     block = (np.cumsum(n[by]) - 1) // BLOCK
-    seen = 0
     for own in np.split(by, np.flatnonzero(np.diff(block)) + 1):
         begin, end = int(s[own[0]]), int(s[own[-1]] + n[own[-1]])
         part = a[begin:end]
@@ -86,15 +89,14 @@ def _grams_of(a: np.ndarray, s: np.ndarray, n: np.ndarray, frequent: np.ndarray)
         where = np.searchsorted(bounds, places, side="right") - 1
         # odd ones lie between two strings
         places, where = places[where % 2 == 0], where[where % 2 == 0]
-        alone = mixed(np.arange(seen, seen + len(places), dtype=np.uint64) + K1)
-        seen += len(places)
-        left, right = alone, alone + K1
-        ok = places - SIDE >= bounds[where]
-        left[ok] = slice_hash(w, places[ok] - SIDE)
-        ok = places + span <= bounds[where] + n[own[where // 2]]
-        right[ok] = slice_hash(w, places[ok])
-        got.append((own[where // 2], left, right))
-    return least, *(np.concatenate(x) for x in zip(*got, strict=True))
+        begin, end = bounds[where], bounds[where] + n[own[where // 2]]
+        left, right = (chained(w, places, begin, end, to) for to in (-1, 1))
+        keys = np.empty((STEPS, len(places)), np.uint32)
+        for k in range(STEPS):
+            x, y = left[k], right[STEPS - 1 - k]
+            keys[k] = np.where((x != 0) & (y != 0), mixed((x ^ grams[places]) * K1 + y) >> np.uint64(32) | np.uint64(1), np.uint64(0))
+        got.append((own[where // 2], keys))
+    return least, np.concatenate([x for x, _ in got]), np.concatenate([x for _, x in got], axis=1)
 
 
 def _several(x: np.ndarray) -> np.ndarray:
@@ -105,13 +107,13 @@ def _several(x: np.ndarray) -> np.ndarray:
 def settle(doc, tag, at, start, size, text: bytes, frequent: np.ndarray) -> np.ndarray:
     """Spans of bytes under strings that start earlier too. The runs stand in the order of their owners."""
     a = np.frombuffer(text, np.uint8)
-    least, own, left, right = _grams_of(a, start, size.astype(np.int64), frequent)
+    least, own, keys = _grams_of(a, start, size.astype(np.int64), frequent)
     parts = max(1, len(text) // PART_BYTES)
     part = (least // np.uint64(parts)) % np.uint64(parts)
-    return np.concatenate([_settle_part(np.flatnonzero(part == p), own, left, right, doc, tag, at, start, size, text) for p in range(parts)])
+    return np.concatenate([_settle_part(np.flatnonzero(part == p), own, keys, doc, tag, at, start, size, text) for p in range(parts)])
 
 
-def _settle_part(k, own, left, right, doc, tag, at, start, size, text: bytes) -> np.ndarray:
+def _settle_part(k, own, keys, doc, tag, at, start, size, text: bytes) -> np.ndarray:
     """The same for runs ``k``, among which are all that share a minimiser with one of them."""
     fresh = np.ones(len(k), bool)
     if int(size[k].sum()) <= 2 * PART_BYTES:  # beyond that copies of whole runs are found by the sorting only
@@ -123,13 +125,15 @@ def _settle_part(k, own, left, right, doc, tag, at, start, size, text: bytes) ->
         del seen
     copies, k = k[~fresh], k[fresh]
     gone = [np.stack([doc[copies], tag[copies], at[copies], at[copies] + size[copies]], axis=1)]
-    # two equal strings share their minimiser and what is next to it, on the left or on the right, at the place where it
-    # stands first in them, which may be any of its places in their runs; a run that shares none of these needs no sorting
+    # two equal strings share their minimiser and whole steps next to it, all but one, at the place where it stands first in
+    # them, which may be any of its places in their runs; a run that shares none of these hashes needs no sorting
     inside = np.zeros(len(start), bool)
     inside[k] = True
     among = np.flatnonzero(inside[own])
     inside[:] = False
-    inside[own[among[_several(left[among]) | _several(right[among])]]] = True
+    for x in keys:
+        x = x[among]
+        inside[own[among[_several(x) & (x > 0)]]] = True
     k = k[inside[k]]
     if not len(k):
         return gone[0]

@@ -136,6 +136,38 @@ def test_spans_are_whole_whatever_the_chunks(monkeypatch):
     assert spans.tolist() == [[2, 0, 0, len(text)]]
 
 
+def phrased(n, pool, phrase, own, seed=3):
+    """One shard of ``n`` texts of phrases from a pool, each between letters of the text's own; every tenth text holds a copy."""
+    rnd = random.Random(seed)
+    letters = lambda k: bytes(rnd.choices(range(97, 123), k=k))
+    phrases = [letters(phrase) for _ in range(pool)]
+    texts = [b"".join(letters(own) + rnd.choice(phrases) for _ in range(4)) for _ in range(n)]
+    for k in range(10, n, 10):
+        texts[k] += texts[k - 7][30:200]
+    big, text, first, _, (begin, end), _ = byte_windows.byte_runs(texts, NONE)
+    strings = [big[b:e] for b, e in zip(begin.tolist(), end.tolist(), strict=True)]
+    size = np.array([len(x) for x in strings], np.int32)
+    start = np.cumsum(size, dtype=np.int64) - size
+    return texts, (text.astype(np.int64), np.zeros(len(text), np.int64), first.astype(np.int64), start, size, b"".join(strings), NONE)
+
+
+def test_phrases_shorter_than_a_string_are_not_sorted(monkeypatch):
+    """Phrases of 80 bytes that many texts share are no repeats of 100 bytes: only real repeats are sorted, and all are found."""
+    texts, shard = phrased(400, 40, 80, 60)
+    seen, want = {}, {}
+    for d, t in enumerate(texts):
+        for i in range(len(t) - 99):
+            if seen.setdefault(t[i : i + 100], (d, i)) != (d, i):
+                want.setdefault(d, set()).update(range(i, i + 100))
+    symbols, sort = [], byte_windows.equal_groups
+    monkeypatch.setattr(byte_windows, "equal_groups", lambda t, *a: (symbols.append(len(t)), sort(t, *a))[1])
+    got = {}
+    for d, _, i, j in byte_windows.settle(*shard).tolist():
+        got.setdefault(d, set()).update(range(i, j))
+    assert got == want and len(want) == 39
+    assert sum(symbols) < len(shard[5]) / 4, (symbols, len(shard[5]))
+
+
 @pytest.mark.parametrize("op", [byte_windows.dedup, word_windows.dedup, exact_dedup.exact_groups, exact_dedup.drop_copies, simhash.near_groups, simhash.one_of_each])
 def test_empty_tables_and_null_ids(spark, op):
     assert op(docs(spark, [])).count() == 0
