@@ -291,7 +291,8 @@ def near_groups(docs: DataFrame) -> DataFrame:
     by_simhash = _simhash_links(rows.select("name", "fp").distinct(), sets_of)
     by_simhash = few(by_simhash, by_simhash.count())
     # what a group of near fingerprints has joined isn't compared again: keys that only such texts have are left out
-    keyed = rows.dropDuplicates(["name"]).select("keys", "name").join(components(by_simhash).withColumnRenamed("node", "name"), "name", "left")
+    joined = by_simhash.select(F.col("b").alias("name"), F.col("a").alias("root"))  # a name is in one group
+    keyed = rows.dropDuplicates(["name"]).select("keys", "name").join(joined, "name", "left")
     keyed = keyed.select(F.explode("keys").alias("a"), F.col("name").alias("b"), F.coalesce("root", "name").alias("root"))
     several = keyed.groupBy("a").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 <> r2").select("a")
     keyed = stored(keyed.join(several, "a", "left_semi"), "keyed")

@@ -197,11 +197,13 @@ def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """``a, b``: a forest with the components of all pairs of distinct ``fp`` within ``distance`` (3 at most) bits."""
     groups = bit_groups(fps)
     spark = fps.sparkSession
-    value = F.array(*[F.struct(F.lit(i).alias("i"), _take(F.col("fp"), g).alias("v")) for i, g in enumerate(groups)])
-    each = fps.select("fp", F.explode(value).alias("p")).select("fp", "p.i", "p.v")
+    values = F.array(*[F.struct(F.lit(i).alias("i"), _take(F.col("fp"), g).alias("v")) for i, g in enumerate(groups)])
+    each = fps.select("fp", F.explode(values).alias("p")).select("fp", "p.i", "p.v")
     hist = [np.zeros(1 << WIDTH) for _ in groups]
-    for i, v, n in each.groupBy("i", "v").count().collect():  # at most PARTS * 2 ** WIDTH rows
-        hist[i][v] = n
+    counts = each.groupBy("i", "v").count().toArrow()  # at most PARTS * 2 ** WIDTH rows, as columns
+    part, value, n = (counts.column(k).to_numpy() for k in range(3))
+    for i in range(len(groups)):
+        hist[i][value[part == i]] = n[part == i]
     ts = thresholds(hist, distance)
     rows = None
     for i, t in enumerate(ts):
