@@ -198,7 +198,7 @@ def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     groups = bit_groups(fps)
     spark = fps.sparkSession
     values = F.array(*[F.struct(F.lit(i).alias("i"), _take(F.col("fp"), g).alias("v")) for i, g in enumerate(groups)])
-    each = fps.select("fp", F.explode(values).alias("p")).select("fp", "p.i", "p.v")
+    each = cut(fps.select("fp", F.explode(values).alias("p")).select("fp", "p.i", "p.v"))  # else each part below repeats the bits in its plan
     hist = [np.zeros(1 << WIDTH) for _ in groups]
     counts = each.groupBy("i", "v").count().toArrow()  # at most PARTS * 2 ** WIDTH rows, as columns
     part, value, n = (counts.column(k).to_numpy() for k in range(3))
