@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, cut
-from .components import components, join_hubs
+from .components import components, forest, join_hubs
 
 SEED = 42
 SHINGLE = 3
@@ -153,25 +153,6 @@ def _popcount(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x.view(np.uint64))
 
 
-def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Star edges (node, smallest node of its tree) with the same components as the links ``a - b``."""
-    nodes, inv = np.unique(np.concatenate([a, b]), return_inverse=True)
-    ia, ib, label = inv[: len(a)], inv[len(a) :], np.arange(len(nodes))
-    while True:
-        m = np.minimum(label[ia], label[ib])
-        new = label.copy()
-        np.minimum.at(new, ia, m)
-        np.minimum.at(new, ib, m)
-        np.minimum.at(new, label[ia], m)
-        np.minimum.at(new, label[ib], m)
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    off = label != np.arange(len(nodes))
-    return nodes[off], nodes[label[off]]
-
-
 def bucket_links(key: np.ndarray, probe: np.ndarray, fp: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     """A forest of the links within each run of equal ``key``; rows sorted by key. Two probes aren't compared."""
     ends = np.append(np.flatnonzero(key[1:] != key[:-1]) + 1, len(key))

@@ -436,3 +436,15 @@ def test_components(spark, monkeypatch, degree):
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, 50: 50, 60: 50, 100: 50, **{200 + i: 200 for i in range(30)}}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_components_of_few_links_need_few_jobs(spark, monkeypatch):
+    """A chain of any length takes the same jobs; the rounds, for larger graphs, give the same components."""
+    edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 30)], "a long, b long")
+    jobs = spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs
+    before = jobs()
+    got = sorted(components(edges).collect())
+    assert jobs() - before <= 12
+    assert got == [(i, 0) for i in range(301)] + [(1000 + i, 1000) for i in range(30)]
+    monkeypatch.setattr(components_module, "FEW_LINKS", 0)
+    assert sorted(components(edges).collect()) == got
