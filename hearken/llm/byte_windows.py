@@ -1,8 +1,8 @@
 """Substring deduplication over bytes with suffix arrays.
 
 Every 100-byte string goes to a shard with its minimiser (see :mod:`.superkmers`), as part of a run of neighbouring
-ones. A shard settles repeats of whole runs, then sorts the suffixes of those runs that share a minimiser by external
-induced sorting (:mod:`.suffix_sort`): suffixes with 100 common symbols are neighbours and the earliest one stays.
+ones. A shard settles repeats of whole runs and, of those that share a minimiser, of the pieces whose strings may have an
+equal one, then sorts the suffixes of what is left by external induced sorting (:mod:`.suffix_sort`): suffixes with 100 common symbols are neighbours and the earliest one stays.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .suffix_sort import MEMORY, equal_groups, room
-from .superkmers import BLOCK, GRAM, K1, MB, NONE, demoted, find_covered, gram_hashes, mixed, mask, sliding_min, unpacked, with_spans, words_at
+from .superkmers import BLOCK, GRAM, K1, MB, NONE, Hashes, demoted, find_covered, gram_hashes, mixed, mask, sliding_min, unpacked, with_spans, words_at
 
 LENGTH = 100
 #: What is not the minimiser in steps of bytes: two equal strings share all but one step of it, some on the left, the rest on the right.
@@ -104,6 +104,36 @@ def _several(x: np.ndarray) -> np.ndarray:
     return counts[which] > 1
 
 
+def _in_blocks(size: np.ndarray) -> Iterator[np.ndarray]:
+    """Numbers of strings of these sizes, about ``BLOCK`` bytes at a time."""
+    return iter(np.split(np.arange(len(size)), np.flatnonzero(np.diff((np.cumsum(size) - size) // BLOCK)) + 1))
+
+
+def _met_again(run: np.ndarray, s: np.ndarray, n: np.ndarray, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Strings ``s, n`` of runs cut down to the 100-byte strings whose hash stands in them at several places."""
+    hashes = []
+    for o in _in_blocks(n):
+        h = Hashes(np.frombuffer(b"".join([text[x : x + m] for x, m in zip(s[o].tolist(), n[o].tolist(), strict=True)]), np.uint8))
+        count = n[o] - LENGTH + 1
+        i = np.repeat(np.cumsum(n[o]) - n[o] - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
+        hashes.append((h.of(i, i + LENGTH) >> np.uint64(32)).astype(np.uint32))
+    h = np.concatenate(hashes)
+    order = np.argsort(h)
+    x = h[order]
+    same = x[1:] == x[:-1]
+    again = np.zeros(len(h), bool)
+    again[order[1:][same]] = True
+    again[order[:-1][same]] = True
+    count = n - LENGTH + 1
+    begin = np.cumsum(count) - count
+    first = np.zeros(len(h), bool)
+    first[begin] = True
+    i = np.flatnonzero(again & (first | ~np.append(False, again[:-1])))
+    j = np.flatnonzero(again & np.append(first[1:] | ~again[1:], True)) + 1
+    own = np.searchsorted(begin, i, side="right") - 1
+    return run[own], s[own] + i - begin[own], j - i + LENGTH - 1
+
+
 def settle(doc, tag, at, start, size, text: bytes, frequent: np.ndarray) -> np.ndarray:
     """Spans of bytes under strings that start earlier too. The runs stand in the order of their owners."""
     a = np.frombuffer(text, np.uint8)
@@ -138,6 +168,24 @@ def _settle_part(k, own, keys, doc, tag, at, start, size, text: bytes) -> np.nda
     if not len(k):
         return gone[0]
     s, n = start[k], size[k].astype(np.int64)
+    # of what is left only strings that may have an equal one are sorted, and of pieces that are the same thereby the first one
+    while len(k) and int(n.sum()) <= MEMORY:  # larger parts are sorted whole
+        before = int(n.sum())
+        k, s, n = _met_again(k, s, n, text)
+        seen, fresh = set(), np.ones(len(k), bool)
+        for i, (b, m) in enumerate(zip(s.tolist(), n.tolist(), strict=True)):
+            x = text[b : b + m]
+            fresh[i] = x not in seen
+            seen.add(x)
+        del seen
+        o, begin = k[~fresh], (at[k] + s - start[k])[~fresh]
+        gone.append(np.stack([doc[o], tag[o], begin, begin + n[~fresh]], axis=1))
+        k, s, n = k[fresh], s[fresh], n[fresh]
+        if fresh.all() or int(n.sum()) > 0.9 * before:
+            break
+    if not len(k):
+        return np.concatenate(gone)
+    place = at[k] + s - start[k]
     first = np.cumsum(n + 1) - n - 1
     # symbols: byte + 2; 1 between strings, 0 at the end
     t, valid = room(int(n.sum()) + len(n) + 1, np.uint16, MEMORY, 1), room(int(n.sum()) + len(n) + 1, bool, MEMORY, False)
@@ -163,7 +211,7 @@ def _settle_part(k, own, keys, doc, tag, at, start, size, text: bytes) -> np.nda
         o = np.searchsorted(first, p, side="right") - 1
         i = np.flatnonzero(np.append(True, (o[1:] != o[:-1]) | (p[1:] != p[:-1] + 1)))
         j = np.append(i[1:], len(p)) - 1
-        own, begin = k[o[i]], at[k[o[i]]] - first[o[i]]
+        own, begin = k[o[i]], place[o[i]] - first[o[i]]
         gone.append(np.stack([doc[own], tag[own], begin + p[i], begin + p[j] + LENGTH], axis=1))
     return np.concatenate(gone)
 

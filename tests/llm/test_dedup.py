@@ -168,6 +168,32 @@ def test_phrases_shorter_than_a_string_are_not_sorted(monkeypatch):
     assert sum(symbols) < len(shard[5]) / 4, (symbols, len(shard[5]))
 
 
+@pytest.mark.parametrize("phrase", [95, 110, 300])
+def test_only_strings_that_may_have_an_equal_one_are_sorted(monkeypatch, phrase):
+    """Where texts go on differently after common phrases, most of their runs hold few repeats; sorting whole parts finds the same."""
+    texts, shard = phrased(400, 40, phrase, 60)
+    seen, want = {}, {}
+    for d, t in enumerate(texts):
+        for i in range(len(t) - 99):
+            if seen.setdefault(t[i : i + 100], (d, i)) != (d, i):
+                want.setdefault(d, set()).update(range(i, i + 100))
+    symbols, sort = [], byte_windows.equal_groups
+    monkeypatch.setattr(byte_windows, "equal_groups", lambda t, *a: (symbols.append(len(t)), sort(t, *a))[1])
+
+    def found():
+        got = {}
+        for d, _, i, j in byte_windows.settle(*shard).tolist():
+            got.setdefault(d, set()).update(range(i, j))
+        return got
+
+    assert found() == want
+    assert sum(symbols) < len(shard[5]) / 6, (symbols, len(shard[5]))
+    monkeypatch.setattr(suffix_sort, "CHUNK", 4096)
+    monkeypatch.setattr(byte_windows, "MEMORY", 1)  # larger parts aren't cut down, and are on disk
+    assert found() == want
+    assert sum(symbols) > len(shard[5]) / 6
+
+
 @pytest.mark.parametrize("op", [byte_windows.dedup, word_windows.dedup, exact_dedup.exact_groups, exact_dedup.drop_copies, simhash.near_groups, simhash.one_of_each])
 def test_empty_tables_and_null_ids(spark, op):
     assert op(docs(spark, [])).count() == 0
