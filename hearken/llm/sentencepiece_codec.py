@@ -21,6 +21,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,9 +31,13 @@ from .common import bounded_batches, text_or_empty
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Encoded words that a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 1 << 17
 #: Words longer than this are not remembered.
 SHORT = 64
+#: Bytes of text that are cut into words at once; a longer text is alone.
+AT_ONCE = 1 << 20
+#: Columns of the result.
+MADE = ("ids", "n_ids", "decoded")
 
 
 def _varint(b: bytes, i: int) -> tuple[int, int]:
@@ -248,6 +253,30 @@ class Codec:
         return out
 
 
+def in_slices(b: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """The rows of ``b`` in order, in slices of at most ``AT_ONCE`` bytes of the texts in ``column``, or one longer text."""
+    ends = np.cumsum(pc.binary_length(b.column(column)).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < b.num_rows:
+        upto = int(np.searchsorted(ends, AT_ONCE + (ends[at - 1] if at else 0), side="right"))
+        upto = max(upto, at + 1)
+        yield b.slice(at, upto - at)
+        at = upto
+
+
+def encode_rows(c: Codec, b: pa.RecordBatch, carried: list[str]) -> Iterator[pa.RecordBatch]:
+    """The columns ``carried`` of ``b`` with what :func:`encode` adds; the texts follow them. A word is an object in a worker, a dozen
+    times as large as in the text, and workers keep what they have once taken: so a batch is handled in slices."""
+    for part in in_slices(b, len(carried)):
+        ids = c.encode_batch(part.column(len(carried)).to_pylist())
+        offsets = np.zeros(len(ids) + 1, np.int32)
+        np.cumsum([len(x) for x in ids], out=offsets[1:])
+        flat = np.concatenate([*ids, np.zeros(0, np.int32)])
+        cols = [*part.columns[: len(carried)], pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))]
+        cols += [pa.array(np.diff(offsets)), pa.array([c.model.decode(x.tolist()) for x in ids], pa.string())]
+        yield pa.RecordBatch.from_arrays(cols, [*carried, *MADE])
+
+
 @cache
 def codec(name: str) -> Codec:
     with open(SparkFiles.get(name), "rb") as f:
@@ -270,20 +299,12 @@ def encode(docs: DataFrame, model_path: str = DEFAULT_MODEL, columns: list[str]
     spark = docs.sparkSession
     bounded_batches(spark)
     name = _model_name(spark, model_path)
-    made = ("ids", "n_ids", "decoded")
-    carried = [c for c in (columns or docs.columns) if c not in made]
+    carried = [c for c in (columns or docs.columns) if c not in MADE]
     rows = docs.select(*carried, text_or_empty("text").alias("ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(name)
         for b in batches:
-            ids = c.encode_batch(b.column(len(carried)).to_pylist())
-            offsets = np.zeros(len(ids) + 1, np.int32)
-            np.cumsum([len(x) for x in ids], out=offsets[1:])
-            flat = np.concatenate([*ids, np.zeros(0, np.int32)])
-            cols = [*b.columns[: len(carried)], pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))]
-            cols += [pa.array(np.diff(offsets)), pa.array([c.model.decode(x.tolist()) for x in ids], pa.string())]
-            yield pa.RecordBatch.from_arrays(cols, [*carried, *made])
+            yield from encode_rows(codec(name), b, carried)
 
     from pyspark.sql import types as T
 
