@@ -77,17 +77,13 @@ def tx_clean_payload(spark: SparkSession, d: str) -> DataFrame:
         (SELECT string_agg(v, ' ' ORDER BY i) FROM (SELECT *, row_number() OVER (PARTITION BY v ORDER BY i) AS rn FROM k k2 WHERE k2.doc_id = w.doc_id) WHERE rn = 1) AS exact
     FROM w""".replace("(SELECT string_agg(v, ' ' ORDER BY i) FROM (SELECT *", "(SELECT string_agg(v, ' ' ORDER BY i) FROM (SELECT v, i"))
 def tx_dedupe_words(spark: SparkSession, d: str) -> DataFrame:
-    """Distinct words of each text in order, by three notions of equality."""
-    w = table(spark, d, "documents").select("doc_id", F.filter(F.split(text.collapse("text"), " "), lambda x: x != "").alias("ws"))
-    # one row a word: arrays would be compared word by word within each long text
-    from pyspark.sql import Window
-
-    k = w.select("doc_id", F.posexplode("ws").alias("i", "v")).withColumns({"key": text.normalize_text("v"), "low": F.lower("v")})
-    first = lambda *c: F.row_number().over(Window.partitionBy("doc_id", *c).orderBy("i")) == 1
-    k = k.withColumns({"_a": first("key") & (F.col("key") != ""), "_b": first("low"), "_c": first("v")})
-    agg = lambda c: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col(c), F.struct("i", "v")))), lambda x: x["v"]), " ")
-    out = k.groupBy("doc_id").agg(agg("_a").alias("by_key"), agg("_b").alias("by_case"), agg("_c").alias("exact"))
-    return w.select("doc_id").join(out, "doc_id", "left").select("doc_id", F.nullif("by_key", F.lit("")).alias("by_key"), "by_case", "exact")
+    """Distinct words of each text in order, by three notions of equality; null where there are none, or no id."""
+    ws = F.filter(F.split(text.collapse("text"), " "), lambda x: x != "")
+    # within the row, nothing is shuffled; a word's first place has its first spelling too, so exact repeats go before keys are made
+    w = table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.array_distinct(ws)).alias("ws"))
+    joined = lambda x: F.nullif(F.array_join(x, " "), F.lit(""))
+    by_key, by_case = (text.first_by_keys("ws", keys("ws")) for keys in (text.normalize_words, text.lower_words))
+    return w.select("doc_id", joined(by_key).alias("by_key"), joined(by_case).alias("by_case"), joined("ws").alias("exact"))
 
 
 @query(f"""WITH k AS (SELECT doc_id, unnest(ws) AS v, generate_subscripts(ws, 1) AS i FROM (SELECT doc_id, list_filter(string_split({collapse('text')}, ' '), lambda x: x <> '') AS ws FROM documents)),

@@ -63,10 +63,26 @@ def strip_diacritics_full(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c)))
 
 
+def _plain(c: Column | str) -> Column:
+    """No accents, lower case, URLs as spaces."""
+    return F.regexp_replace(F.lower(strip_diacritics(c)), r"(?U)https?://\S+", " ")
+
+
 def normalize_text(c: Column | str) -> Column:
     """Comparison key: no accents, lower case, URLs and all but a-z, 0-9 as spaces, collapsed."""
-    x = F.regexp_replace(F.lower(strip_diacritics(c)), r"(?U)https?://\S+", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(x, r"(?U)[^a-z0-9\s]", " "), SPACES, " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(_plain(c), r"(?U)[^a-z0-9\s]", " "), SPACES, " "))
+
+
+def normalize_words(words: Column | str) -> Column:
+    """Comparison keys of array elements that are neither null nor hold white space, by one pass over all of them: a step for
+    each element would cost several times as much."""
+    x = F.regexp_replace(_plain(F.array_join(words, "\n")), r"[^a-z0-9\n]+", " ")
+    return F.transform(F.split(x, "\n"), lambda k: F.trim(k))
+
+
+def lower_words(words: Column | str) -> Column:
+    """Lower case of array elements that are neither null nor hold white space, by one pass over all of them."""
+    return F.split(F.lower(F.array_join(words, " ")), " ")
 
 
 def normalize_light(c: Column | str) -> Column:
@@ -117,6 +133,13 @@ def marked_firsts(pairs: Column) -> Column:
     return F.array_sort(let(F.array_sort(numbered), mark))
 
 
+def first_by_keys(values: Column | str, keys: Column) -> Column:
+    """Array elements of which the key, at their place in ``keys``, occurs first there; elements with an empty key go. Sorts too."""
+    numbered = F.filter(F.transform(keys, lambda k, i: F.struct(k.alias("k"), i.alias("i"))), lambda p: p["k"] != "")
+    heads = lambda s: F.transform(F.filter(s, lambda p, i: (i == 0) | (F.get(s, i - 1)["k"] != p["k"])), lambda p: p["i"])
+    return let(as_col(values), lambda vs: F.transform(F.sort_array(let(F.sort_array(numbered), heads)), lambda i: F.get(vs, i)))
+
+
 def first_by_key(values: Column, key: Callable[[Column], Column]) -> Column:
     """Array elements of which the key occurs first there; elements with an empty key go."""
     pairs = F.transform(values, lambda v: F.struct(v.alias("v"), key(v).alias("k")))
